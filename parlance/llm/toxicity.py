@@ -15,17 +15,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bytekit as bk
 
-#: Documents of each class the model is fitted on, drawn by hash from all labelled training rows; the only bound here.
-SAMPLE_PER_CLASS = 2000
-#: A word is evidence if it stands in so many toxic sample documents, and so many times more often there than in clean ones.
-SEED_DOCS, SEED_RATIO = 4, 12.0
+#: Labelled training rows the model is fitted on, drawn by hash from all of them; the only bound here. The field itself is
+#: trained on their toxic documents and CLEAN_DOCS of the clean ones, the score curve on all.
+SAMPLE_ROWS, CLEAN_DOCS = 5000, 1000
+#: A word is evidence if toxic sample documents hold it so many times more often than clean ones, with such a likelihood ratio (G).
+SEED_RATIO, SEED_G = 12.0, 30.0
 #: Sentences longer than this go on in a new chain; no word is left out.
 CHAIN = 200
 FOLDS = 5
-EPOCHS = 60
+EPOCHS = 30
 
 
 @dataclass
@@ -139,7 +141,9 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     doc_y = y[seen % len(texts)]
     df_toxic, df = np.bincount(seen // len(texts), doc_y, len(vocab)), np.bincount(seen // len(texts), minlength=len(vocab))
     rate = (df_toxic + 0.1) / y.sum() / ((df - df_toxic + 0.1) / (len(y) - y.sum()))
-    seed = (df_toxic >= SEED_DOCS) & (rate >= SEED_RATIO)
+    prior = y.mean()
+    part = lambda k, share: k * np.log(np.maximum(k, 1e-9) / (df * share))
+    seed = (rate >= SEED_RATIO) & (2 * (part(df_toxic, prior) + part(df - df_toxic, 1 - prior)) >= SEED_G)
     keep = seed | (df >= 20)
     hashes = vocab[keep]
     model = Model(hashes, np.zeros((3, len(hashes) + 1)), -4.0, np.zeros((2, 2)), np.zeros(2), np.zeros(4))
@@ -149,6 +153,13 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     before, after = _neighbours(word, len(hashes), begin, length)
     inner = np.ones(len(h), bool)
     inner[begin] = False
+    taught = (y == 1) | (np.cumsum(y == 0) <= CLEAN_DOCS)
+    full = (word, before, after, begin, length, row)
+    use = taught[row]
+    moved = np.cumsum(use) - 1
+    word, before, after, gold, inner = word[use], before[use], after[use], gold[use], inner[use]
+    chain = taught[row[begin]]
+    begin, length = moved[begin[chain]], length[chain]
     now = np.flatnonzero(inner)
     gold_pairs = np.zeros((2, 2))
     np.add.at(gold_pairs, (gold[now - 1].astype(int), gold[now].astype(int)), 1)
@@ -170,6 +181,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
             b += 0.02 * (g * g - b)
             t -= 0.15 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.98**step)) + 1e-6)
     model.weights, model.bias, model.transition, model.start = theta[0], float(theta[1][0]), theta[2], theta[3]
+    word, before, after, begin, length, row = full
     m = forward_backward(model.weights[0][word] + model.weights[1][before] + model.weights[2][after] + model.bias, begin, length, model.transition, model.start)
     x = np.hstack([document_features(m, row, len(texts)), np.ones((len(texts), 1))])
     curve = np.zeros(4)
@@ -200,20 +212,16 @@ def _score(column: pa.Array, model: Model, spans: bool):
     return np.round(score, 6), where
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> tuple[list[str], list[int]]:
-    """Texts and labels of up to per_class training documents of each class, first by hash of the id. Fold 0 is never used."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[int]]:
+    """Texts and labels of up to `rows` labelled training documents, first by hash of the id. Fold 0 is never used."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0)
-    picked = None
-    for c in (0, 1):
-        of_class = known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        picked = of_class if picked is None else picked.union(of_class)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").limit(4 * per_class).collect()
-    return [r["text"] or "" for r in rows], [r["toxic"] for r in rows]
+    picked = known.where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).collect()
+    return [r["text"] or "" for r in found], [r["toxic"] for r in found]
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
-    return fit(*sample(docs, labels, per_class))
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
+    return fit(*sample(docs, labels, rows))
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -231,7 +239,8 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array(spans, pa.string())], names=[*batch.schema.names, "toxic_score", "toxic_spans"])
 
     rows = docs.select(*kept)
-    return rows.mapInArrow(run, rows.schema.add("toxic_score", "double").add("toxic_spans", "string"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("toxic_score", T.DoubleType()), T.StructField("toxic_spans", T.StringType())])
+    return rows.mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
