@@ -107,6 +107,12 @@ def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int
     return mixed((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U64) * U64(0xE7037ED1A0B428DB))
 
 
+def gram_hashes(sums: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hash of the `size` bytes at each place."""
+    n = len(sums) - size
+    return mixed((sums[size:] - sums[:-size]) * _Powers.of(0, len(sums))[1][:n])
+
+
 def code_points(data: np.ndarray) -> np.ndarray:
     """Number of characters that start before each byte, and in all."""
     out = np.zeros(len(data) + 1, np.int64)
