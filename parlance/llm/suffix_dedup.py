@@ -202,12 +202,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     twice = not ids.groupBy("doc").count().where("count > 1").isEmpty()
     narrow = ids.select("doc", (F.xxhash64("text") if twice else F.lit(0).cast("long")).alias("var"), F.coalesce("text", F.lit("")).alias("text"))
     name = new_folder(spark, "texts").rsplit("/", 1)[1].replace("-", "_")
-    narrow.write.option("compression", "zstd").bucketBy(max(8, min(2000, docs.rdd.getNumPartitions() // 2)), "doc").saveAsTable(name)
+    buckets = max(8, min(2000, docs.rdd.getNumPartitions() // 2))
+    narrow.write.option("compression", "zstd").bucketBy(buckets, "doc").saveAsTable(name)
     table = spark.table(name)
+    by_doc = lambda rows, **lists: rows.repartition(buckets, "doc").groupBy("doc").agg(*(F.collect_list(c).alias(n) for n, c in lists.items()))  # noqa: E731  dealt as the table is
 
     segments = _segments(narrow, length)
     same = stored(_later(segments, _classes(segments, "segments")).select("doc", "var", F.shiftright("spot", 20).alias("start"), "last"), "same-segments")
-    skip = same.groupBy("doc").agg(F.collect_list(F.struct("var", "start", "last")).alias("skip"))
+    skip = by_doc(same, skip=F.struct("var", "start", "last"))
     texts = table.join(small_or_shuffled(skip, same.count()), "doc", "left").select("doc", "var", "text", "skip")
     grams = _anchor_rows(texts, length).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     cut = stored(_anchor_rows(texts, length, _filter_of(grams)), "anchors")
@@ -217,7 +219,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     classes = _classes(rows, "anchors")
     found.append(_spans(_later(rows, classes), length))
     first = stored(_open(classes), "open")
-    asked = first.groupBy("doc").agg(F.collect_list(F.struct("rank", "spot", "var")).alias("asked"))
+    asked = by_doc(first, asked=F.struct("rank", "spot", "var"))
     whole = F.encode("text", "utf-8")
     take = F.transform("asked", lambda x: F.struct(x["rank"].alias("rank"), x["spot"].alias("spot"), x["var"].alias("whose"), F.substring(whole, (_AT(x["spot"]) - _HI(x["spot"])).cast("int") + 1, _HI(x["spot"]) - _LO(x["spot"]) + length).alias("bytes")))
     rows = table.join(small_or_shuffled(asked, first.count()), "doc").select("doc", "var", F.explode(take).alias("x")).where("x.whose = var")
@@ -233,7 +235,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
             first = stored(_open(classes), f"open-{size}")
             rows = runs.join(small_or_shuffled(first, first.count()), ["rank", "name", "doc", "spot", "var"]).drop("name")
     every = reduce(DataFrame.union, found)
-    return table, every.groupBy("doc").agg(F.collect_list(F.struct("var", "start", "end")).alias("spans")), name
+    return table, by_doc(every, spans=F.struct("var", "start", "end")), name
 
 
 def _keep(batches):
