@@ -116,3 +116,13 @@ def trajectory(cells: DataFrame, by: list[str], least: int = 3) -> DataFrame:
     peak = best_iteration(cells, by).select(*by, F.col("iteration").alias("peak_iteration"))
     out = rows.join(peak, by)
     return out.withColumns({c: F.when(F.col("n_iterations") >= least, F.col(c)) for c in ("rho", "slope")})
+
+
+def vs_base(cells: DataFrame, by: list[str], unit: str = UNIT, value: str = "score") -> DataFrame:
+    """by, iteration: every later iteration against the same units' base, with signed ranks."""
+    base = cells.where("iteration = 0").groupBy(*by, unit).agg(F.avg(value).alias("b"))
+    later = means(cells.where("iteration > 0"), [*by, "iteration", unit], value).withColumnRenamed(value, "a")
+    pairs = later.join(base, [*by, unit]).where("b IS NOT NULL").withColumn("d", F.col("a") - F.col("b"))
+    keys = [*by, "iteration"]
+    out = summary(pairs, keys).join(wilcoxon(pairs, keys), keys)
+    return out.withColumns({c: F.when(F.col("n") >= 3, F.col(c)) for c in ("w", "z", "p")})

@@ -1,4 +1,6 @@
 """Every registered query of the analytics layer and its oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import scores, studies
+from .views import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "scores", "studies"]

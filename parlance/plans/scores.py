@@ -9,13 +9,6 @@ from ..functions.expr import effect_label, favours, ratio, stars
 from ..operators import hypothesis, paired, reshape
 from .views import S, cells, p_sql, query, r6, scores_long, sql6, table
 
-Q5 = ("click", "login", "purchase", "signup", "view")
-
-
-def _names(spark, sf_dir) -> list[str]:
-    return [r[0] for r in scores_long(spark, sf_dir).select("questionnaire").distinct().orderBy("questionnaire").limit(50).collect()]
-
-
 # --- shape -----------------------------------------------------------------------------------------------------------
 
 
@@ -199,7 +192,10 @@ _P6 = sql6(*_STATS, "w", "z", "p", "p_holm")
 _R6 = (*_STATS, "w", "z", "p", "p_holm")
 _EFFECT = "CASE WHEN dz IS NULL THEN NULL WHEN abs(dz)<0.2 THEN 'negligible' WHEN abs(dz)<0.5 THEN 'small' WHEN abs(dz)<0.8 THEN 'medium' ELSE 'large' END"
 _KSQL = _contrast_sql("method, questionnaire, iteration", _pairs_sql("method, questionnaire, iteration", "k=0", "k=5"))
-_K0, _K5 = F.col("k") == 0, F.col("k") == 5
+
+
+def _k(k: int):
+    return F.col("k") == k
 
 
 @query(S + """, lx AS (SELECT *, max(iteration) OVER (PARTITION BY arm) AS la FROM c), mk AS (SELECT * FROM lx WHERE iteration=0 OR iteration=la)"""
@@ -219,7 +215,7 @@ def paired_vs_base(spark, sf_dir):
 
 @query(S + _KSQL + _holm_sql("ct", "method, questionnaire", "iteration") + f"SELECT method, questionnaire, iteration, n, n_nonzero, {_P6}, CASE WHEN p_holm<0.001 THEN '***' WHEN p_holm<0.01 THEN '**' WHEN p_holm<0.05 THEN '*' ELSE '' END AS sig, CASE WHEN mean_delta IS NULL THEN NULL WHEN mean_delta=0 THEN 'tie' WHEN mean_delta>0 THEN 'K0' ELSE 'K5' END AS winner FROM hm")
 def paired_k_contrast(spark, sf_dir):
-    out = paired.holm(paired.contrast(cells(spark, sf_dir), ["method", "questionnaire", "iteration"], _K0, _K5), ["method", "questionnaire"], tiebreak=["iteration"])
+    out = paired.holm(paired.contrast(cells(spark, sf_dir), ["method", "questionnaire", "iteration"], _k(0), _k(5)), ["method", "questionnaire"], tiebreak=["iteration"])
     return out.select("method", "questionnaire", "iteration", "n", "n_nonzero", *r6(*_R6), stars("p_holm").alias("sig"), favours("mean_delta", False, "K0", "K5").alias("winner"))
 
 
@@ -266,7 +262,7 @@ def method_gap(spark, sf_dir):
 @query(S + _KSQL + _holm_sql("ct", "method, questionnaire", "iteration") + """SELECT method, questionnaire, count(*) AS n_iters, count(*) FILTER (p_holm<0.05 AND mean_delta>0) AS n_sig_k0, count(*) FILTER (p_holm<0.05 AND mean_delta<0) AS n_sig_k5,
 coalesce(string_agg(iteration::VARCHAR, ',' ORDER BY iteration) FILTER (mean_delta>0),'') AS iters_k0_higher, """ + sql6("avg(mean_delta) FILTER (iteration>0) AS mean_delta_trained", "avg(dz) FILTER (iteration>0) AS mean_dz_trained", "max(mean_delta) FILTER (iteration=0) AS base_delta", "max(abs(dz)) AS max_abs_dz") + " FROM hm GROUP BY ALL")
 def k_summary(spark, sf_dir):
-    out = paired.holm(paired.contrast(cells(spark, sf_dir), ["method", "questionnaire", "iteration"], _K0, _K5), ["method", "questionnaire"], tiebreak=["iteration"])
+    out = paired.holm(paired.contrast(cells(spark, sf_dir), ["method", "questionnaire", "iteration"], _k(0), _k(5)), ["method", "questionnaire"], tiebreak=["iteration"])
     trained = F.col("iteration") > 0
     higher = F.array_sort(F.collect_list(F.when(F.col("mean_delta") > 0, F.col("iteration"))))
     g = out.groupBy("method", "questionnaire").agg(
@@ -283,7 +279,7 @@ def contrast_by_stratum(spark, sf_dir):
     traits = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("persona_id"), F.col("c_mktsegment").alias("seg"))
     c = cells(spark, sf_dir).join(F.broadcast(traits), "persona_id").withColumn("stratum", F.explode(F.array("seg", F.lit("All"))))
     by = ["method", "stratum", "questionnaire"]
-    return paired.summary(paired.deltas(c, by, _K0, _K5), by).select(*by, "n", *r6(*_STATS))
+    return paired.summary(paired.deltas(c, by, _k(0), _k(5)), by).select(*by, "n", *r6(*_STATS))
 
 
 @query(S + ", st0 AS (SELECT c.*, u.c_mktsegment AS stratum FROM c JOIN customer u ON u.c_custkey=c.persona_id) SELECT arm, coalesce(stratum,'All') AS stratum, count(*) AS n, " + sql6("avg(score) AS mean", "stddev_samp(score) AS sd", "avg((score>=45)::INT) AS share_high") + " FROM st0 GROUP BY GROUPING SETS ((arm, stratum), (arm))")
@@ -308,7 +304,7 @@ _RANKED = ", r AS (SELECT *, rank() OVER (PARTITION BY questionnaire ORDER BY sc
 
 @query(S + _RANKED + ", m AS (SELECT questionnaire, count(*) FILTER (k=0)::DOUBLE AS n1, count(*) FILTER (k=5)::DOUBLE AS n2, sum(CASE WHEN k=0 THEN rk ELSE 0 END) AS r1, sum(t*t-1) AS ti FROM r GROUP BY ALL), u AS (SELECT *, r1-n1*(n1+1)/2 AS u, n1*n2/12*((n1+n2+1)-ti/((n1+n2)*(n1+n2-1))) AS va FROM m) SELECT questionnaire, n1::BIGINT AS n1, n2::BIGINT AS n2, " + sql6("u", "(u-n1*n2/2)/sqrt(va) AS z", p_sql("((u-n1*n2/2)/sqrt(va))") + " AS p") + " FROM u")
 def mann_whitney(spark, sf_dir):
-    return hypothesis.mann_whitney(cells(spark, sf_dir), ["questionnaire"], _K0).select("questionnaire", "n1", "n2", *r6("u", "z", "p"))
+    return hypothesis.mann_whitney(cells(spark, sf_dir), ["questionnaire"], _k(0)).select("questionnaire", "n1", "n2", *r6("u", "z", "p"))
 
 
 @query(S + _RANKED + ", g AS (SELECT questionnaire, arm, count(*)::DOUBLE AS n, sum(rk) AS r, sum(t*t-1) AS ti FROM r GROUP BY ALL), h AS (SELECT questionnaire, sum(n) AS n, count(*) AS k, sum(r*r/n) AS s, sum(ti) AS ti FROM g GROUP BY ALL) SELECT questionnaire, n::BIGINT AS n, k, " + sql6("(12/(n*(n+1))*s-3*(n+1))/(1-ti/(n*n*n-n)) AS h") + " FROM h")
@@ -346,30 +342,30 @@ def friedman(spark, sf_dir):
 
 @query(S + ", m AS (SELECT questionnaire, count(*) FILTER (k=0) AS n1, count(*) FILTER (k=5) AS n2, avg(score) FILTER (k=0)-avg(score) FILTER (k=5) AS df, var_pop(score) FILTER (k=0) AS v1, var_pop(score) FILTER (k=5) AS v2 FROM c GROUP BY ALL) SELECT questionnaire, n1, n2, " + sql6("df/sqrt(((n1-1)*v1+(n2-1)*v2)/(n1+n2-2)) AS d") + " FROM m")
 def cohens_d(spark, sf_dir):
-    return hypothesis.cohens_d(cells(spark, sf_dir), ["questionnaire"], _K0).select("questionnaire", "n1", "n2", *r6("d"))
+    return hypothesis.cohens_d(cells(spark, sf_dir), ["questionnaire"], _k(0)).select("questionnaire", "n1", "n2", *r6("d"))
 
 
 @query(S + ", m AS (SELECT questionnaire, avg(score) FILTER (k=0)-avg(score) FILTER (k=5) AS delta, var_samp(score) FILTER (k=0)/count(*) FILTER (k=0) AS a, var_samp(score) FILTER (k=5)/count(*) FILTER (k=5) AS b, count(*) FILTER (k=0) AS n, count(*) FILTER (k=5) AS m FROM c GROUP BY ALL) SELECT questionnaire, " + sql6("delta", "delta/sqrt(a+b) AS t", "(a+b)*(a+b)/(a*a/(n-1)+b*b/(m-1)) AS df") + " FROM m")
 def welch_t(spark, sf_dir):
-    return hypothesis.welch(cells(spark, sf_dir), ["questionnaire"], _K0).select("questionnaire", *r6("delta", "t", "df"))
+    return hypothesis.welch(cells(spark, sf_dir), ["questionnaire"], _k(0)).select("questionnaire", *r6("delta", "t", "df"))
 
 
 @query(S + ", x AS (" + _pairs_sql("method, questionnaire", "k=0", "k=5") + ") SELECT method, questionnaire, count(*) AS n, " + sql6("corr(a+b, a-b) AS r", "stddev_samp(a)/stddev_samp(b) AS sd_ratio") + " FROM x GROUP BY ALL")
 def pitman_morgan(spark, sf_dir):
     by = ["method", "questionnaire"]
-    return hypothesis.pitman_morgan(paired.deltas(cells(spark, sf_dir), by, _K0, _K5), by).select(*by, "n", *r6("r", "sd_ratio"))
+    return hypothesis.pitman_morgan(paired.deltas(cells(spark, sf_dir), by, _k(0), _k(5)), by).select(*by, "n", *r6("r", "sd_ratio"))
 
 
 @query(S + _KSQL + ", q0 AS (SELECT *, count(p) OVER (PARTITION BY method) AS m, row_number() OVER (PARTITION BY method, p IS NULL ORDER BY p, questionnaire, iteration) AS rn FROM ct) SELECT method, questionnaire, iteration, " + sql6("p", "CASE WHEN p IS NOT NULL THEN min(least(1.0,p*m/rn)) OVER (PARTITION BY method, p IS NULL ORDER BY p, questionnaire, iteration ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) END AS q") + " FROM q0")
 def bh_fdr(spark, sf_dir):
-    out = paired.contrast(cells(spark, sf_dir), ["method", "questionnaire", "iteration"], _K0, _K5)
+    out = paired.contrast(cells(spark, sf_dir), ["method", "questionnaire", "iteration"], _k(0), _k(5))
     return paired.benjamini_hochberg(out, ["method"], tiebreak=["questionnaire", "iteration"]).select("method", "questionnaire", "iteration", *r6("p", "q"))
 
 
 @query(S + _KSQL + f"SELECT method, effect, count(*) AS n FROM (SELECT method, {_EFFECT} AS effect FROM ct) GROUP BY ALL")
 def effect_labels(spark, sf_dir):
     by = ["method", "questionnaire", "iteration"]
-    out = paired.summary(paired.deltas(cells(spark, sf_dir), by, _K0, _K5), by)
+    out = paired.summary(paired.deltas(cells(spark, sf_dir), by, _k(0), _k(5)), by)
     return out.groupBy("method", effect_label("dz").alias("effect")).agg(F.count(F.lit(1)).alias("n"))
 
 
