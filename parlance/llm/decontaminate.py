@@ -45,6 +45,10 @@ def _cut(words: Column, start: Column, length) -> Column:
     return F.array_join(F.slice(words, start + 1, length), " ")
 
 
+def _all_grams(words: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(i.alias("at"), F.xxhash64(_cut(words, i, n)).alias("gram")))
+
+
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Distinct windows of the items, their length, and the ids of the items that have them."""
     words = benchmark.select(F.col("item_id").cast("string").alias("item"), plain_words(F.col("text")).alias("w")).where(F.size("w") > 0)
@@ -70,7 +74,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     found = keyed.select("doc_id", "text_key", F.explode(winnowed(F.col("w"), gram, window)).alias("m")).select("doc_id", "text_key", "m.at", "m.gram")
     hits = [found.join(small_or_shuffled(marks, marks.count()), "gram").select("doc_id", "text_key", "at", F.lit(window).alias("len"))]
     for n in short:
-        every = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i, n=n: F.struct(i.alias("at"), F.xxhash64(_cut(F.col("w"), i, n)).alias("gram")))
+        every = _all_grams(F.col("w"), n)
         tiny = windows.where(F.col("len") == n).select(F.xxhash64("words").alias("gram")).distinct()
         cut = keyed.where(F.size("w") >= n).select("doc_id", "text_key", F.explode(every).alias("m")).select("doc_id", "text_key", "m.at", "m.gram")
         hits.append(cut.join(small_or_shuffled(tiny, n_windows), "gram").select("doc_id", "text_key", "at", F.lit(n).alias("len")))

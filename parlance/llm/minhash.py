@@ -1,6 +1,6 @@
 """Near-duplicate documents by min-max hashing: both ends of every permutation go into the signature.
 
-A band is the minimum and maximum of two permutations, four values for two hash evaluations. Documents with one set are a
+A band is the minimum and maximum of four permutations, eight values for four hash evaluations. Documents with one set are a
 class; classes that share a band are compared on their full sets: first each with the smallest of its bucket, then, in
 buckets that still hold several components, the members outside the largest with those they are not joined to.
 
@@ -9,6 +9,9 @@ Python hashes words and reduces permutations over Arrow batches; grouping, linki
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,10 +22,9 @@ from .common import small_or_shuffled, stored
 from .components import components
 
 WORDS, PERCENT = 3, 85
-#: Bands of two permutations each; a pair at similarity s is missed with probability (1 - s**4)**BANDS, 2e-8 at 0.85.
-BANDS, PER_BAND = 24, 2
+#: Permutations per band, each giving two values, and the chance to miss a pair at the threshold, from which bands are counted.
+PER_BAND, MISS = 4, 1e-6
 _CHUNK = 1 << 19
-_KEYS = bk.mixed(np.arange(1, 2 * BANDS * PER_BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SIGNED = "doc_id long, n long, key_a long, key_b long, bands array<long>"
 
 
@@ -50,14 +52,24 @@ def _sets(column: pa.Array, words: int):
                 yield np.zeros(0, np.uint64)
 
 
-def _band_hashes(values: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """(sets, BANDS): hashes of the minima and maxima of each band's permutations."""
-    out = np.empty((BANDS, len(start)), np.uint64)
-    for b in range(BANDS):
+def bands_for(percent: int) -> int:
+    """Bands that leave a pair of this similarity unseen with probability MISS: 44 at 85, 76 at 80."""
+    return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** (2 * PER_BAND)))
+
+
+@functools.cache
+def _keys(bands: int) -> np.ndarray:
+    return bk.mixed(np.arange(1, 2 * bands * PER_BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _band_hashes(values: np.ndarray, start: np.ndarray, bands: int) -> np.ndarray:
+    """(sets, bands): hashes of the minima and maxima of each band's permutations."""
+    out, keys = np.empty((bands, len(start)), np.uint64), _keys(bands)
+    for b in range(bands):
         acc = np.full(len(start), b + 1, np.uint64)
         for j in range(PER_BAND):
             k = 2 * (b * PER_BAND + j)
-            v = (values ^ _KEYS[k]) * (_KEYS[k + 1] | np.uint64(1))
+            v = (values ^ keys[k]) * (keys[k + 1] | np.uint64(1))
             v ^= v >> np.uint64(29)
             for f in (np.minimum, np.maximum):
                 acc = bk.mixed(acc * np.uint64(0x9E3779B97F4A7C15) + f.reduceat(v, start))
@@ -65,7 +77,7 @@ def _band_hashes(values: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def _sign(words: int):
+def _sign(words: int, n_bands: int):
     def run(batches):
         for batch in batches:
             ids, sets, done = batch.column(0), [], 0
@@ -74,15 +86,15 @@ def _sign(words: int):
             def flush(sets, first):
                 n = np.array([len(s) for s in sets])
                 a, b = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
-                bands = np.zeros((len(sets), BANDS), np.uint64)
+                bands = np.zeros((len(sets), n_bands), np.uint64)
                 full = np.flatnonzero(n)
                 if len(full):
                     values = np.concatenate([sets[i] for i in full])
                     start = np.append(0, np.cumsum(n[full])[:-1])
                     a[full] = np.add.reduceat(bk.mixed(values), start)
                     b[full] = np.add.reduceat(bk.mixed(values ^ np.uint64(0xD6E8FEB86659FD93)), start)
-                    bands[full] = _band_hashes(values, start)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64)))
+                    bands[full] = _band_hashes(values, start, n_bands)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * n_bands), pa.array(bands.ravel().view(np.int64)))
                 return pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), pa.array(n.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists], names=["doc_id", "n", "key_a", "key_b", "bands"])
 
             for s in _sets(batch.column(1), words):
@@ -129,7 +141,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     Null, empty and blank texts have no shingles and no links; texts under `words` words are one shingle. An empty table
     gives an empty one; further columns of docs are left out.
     """
-    signed = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign(words), _SIGNED), "signed")
+    signed = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign(words, bands_for(percent)), _SIGNED), "signed")
     named = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = named.groupBy("n", F.col("key_a").alias("key"), "key_b").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     classes = stored(classes, "classes")

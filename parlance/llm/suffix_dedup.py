@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytekit as bk
-from .common import new_folder, small_or_shuffled, stored
+from .common import new_folder, stored
 
 LENGTH = 100
 #: Size of the filter that keeps grams seen once from being shuffled a second time: 2**26 bits, whatever the corpus. A larger
@@ -170,7 +170,7 @@ def _classes(rows: DataFrame, tag: str) -> DataFrame:
 def _later(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows that are not the first of their class; rows of equal place are all first."""
     many = classes.where("n > 1").select("rank", "name", F.col("doc").alias("_doc"), _AT(F.col("spot")).alias("_at"))
-    met = rows.join(small_or_shuffled(many, many.count()), ["rank", "name"])
+    met = rows.join(many, ["rank", "name"])
     return met.where((F.col("doc") > F.col("_doc")) | ((F.col("doc") == F.col("_doc")) & (_AT(F.col("spot")) > F.col("_at")))).drop("_doc", "_at")
 
 
@@ -210,7 +210,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     segments = _segments(narrow, length)
     same = stored(_later(segments, _classes(segments, "segments")).select("doc", "var", F.shiftright("spot", 20).alias("start"), "last"), "same-segments")
     skip = by_doc(same, skip=F.struct("var", "start", "last"))
-    texts = table.join(small_or_shuffled(skip, same.count()), "doc", "left").select("doc", "var", "text", "skip")
+    texts = table.join(skip, "doc", "left").select("doc", "var", "text", "skip")
     grams = _anchor_rows(texts, length).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     cut = stored(_anchor_rows(texts, length, _filter_of(grams)), "anchors")
     found = [same.select("doc", "var", "start", (F.col("last") + length).alias("end")), _spans(cut.where("repeat"), length)]
@@ -222,7 +222,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     asked = by_doc(first, asked=F.struct("rank", "spot", "var"))
     whole = F.encode("text", "utf-8")
     take = F.transform("asked", lambda x: F.struct(x["rank"].alias("rank"), x["spot"].alias("spot"), x["var"].alias("whose"), F.substring(whole, (_AT(x["spot"]) - _HI(x["spot"])).cast("int") + 1, _HI(x["spot"]) - _LO(x["spot"]) + length).alias("bytes")))
-    rows = table.join(small_or_shuffled(asked, first.count()), "doc").select("doc", "var", F.explode(take).alias("x")).where("x.whose = var")
+    rows = table.join(asked, "doc").select("doc", "var", F.explode(take).alias("x")).where("x.whose = var")
     rows = rows.select("doc", "var", "x.rank", "x.spot", "x.bytes", F.lit(0).alias("low"))
     size = spread_of(length)
     while size > 1:
@@ -233,7 +233,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
         found.append(_spans(_later(runs.drop("bytes", "low"), classes), length))
         if size > 1:
             first = stored(_open(classes), f"open-{size}")
-            rows = runs.join(small_or_shuffled(first, first.count()), ["rank", "name", "doc", "spot", "var"]).drop("name")
+            rows = runs.join(first, ["rank", "name", "doc", "spot", "var"]).drop("name")
     every = reduce(DataFrame.union, found)
     return table, by_doc(every, spans=F.struct("var", "start", "end")), name
 
