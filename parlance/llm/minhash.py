@@ -1,7 +1,7 @@
 """Near-duplicate documents by min-max hashing: both ends of every permutation go into the signature.
 
 A band is the minimum and maximum of four permutations, eight values for four hash evaluations. Documents with one set are a
-class; classes that share a band are compared on their full sets: first each with the smallest of its bucket, then, in
+class; classes that share a band are compared on their full sets: first each with the centre of its bucket, then, in
 buckets that still hold several components, the members outside the largest with those they are not joined to.
 
 Python hashes words and reduces permutations over Arrow batches; grouping, linking and verifying are DataFrame work.
@@ -146,9 +146,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     classes = named.groupBy("n", F.col("key_a").alias("key"), "key_b").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     classes = stored(classes, "classes")
     buckets = classes.select("key", "id", "n", F.explode("bands").alias("bucket"))
-    first = F.min(F.struct("id", "key", "n")).alias("top")
-    shared = buckets.groupBy("bucket").agg(first, F.count("*").alias("size")).where("size > 1").select("bucket", "top")
-    members = stored(buckets.join(shared, "bucket"), "members")
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    inside = stored(buckets.join(sizes, "bucket"), "inside")
+    # the centre of a bucket is the member that meets most others: in a family of copies, the text they were made from
+    met = inside.groupBy("key").agg(F.sum("size").alias("met"))
+    centre = inside.join(met, "key").groupBy("bucket").agg(F.max(F.struct(F.col("met"), (-F.col("id")).alias("first"), F.col("key"), F.col("n"))).alias("top"))
+    members = stored(inside.join(centre, "bucket").drop("size"), "members")
     fits = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
     star = members.where((F.col("key") != F.col("top.key")) & fits(F.col("n"), F.col("top.n")))
     pairs = stored(_pair(star, "key", "top.key").distinct(), "pairs")
@@ -166,8 +169,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     found = stored(components(links), "components")
     at = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "key", "n", F.coalesce("component", "id").alias("at"))
     at = stored(at, "placed")
-    sizes = at.groupBy("bucket", "at").agg(F.count("*").alias("k"))
-    several = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("at", F.struct("k", "at")).alias("most")).where("parts > 1")
+    parts = at.groupBy("bucket", "at").agg(F.count("*").alias("k"))
+    several = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("at", F.struct("k", "at")).alias("most")).where("parts > 1")
     rest = stored(at.join(several, "bucket").select("bucket", "key", "n", "at", (F.col("at") != F.col("most")).alias("minor")), "open")
     one, other = rest.where("minor").alias("p"), rest.alias("q")
     cross = one.join(other, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.at") != F.col("q.at")) & fits(F.col("p.n"), F.col("q.n")))

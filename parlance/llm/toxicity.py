@@ -21,7 +21,7 @@ from . import bytekit as bk
 
 #: Labelled training rows the model is fitted on, drawn by hash from all of them; the only bound here. The field itself is
 #: trained on their toxic documents and CLEAN_DOCS of the clean ones, the score curve on all.
-SAMPLE_ROWS, CLEAN_DOCS = 5000, 1000
+SAMPLE_ROWS, CLEAN_DOCS = 3000, 1000
 #: A word is evidence if toxic sample documents hold it so many times more often than clean ones, with such a likelihood ratio (G).
 SEED_RATIO, SEED_G = 12.0, 30.0
 #: Sentences longer than this go on in a new chain; no word is left out.
@@ -154,7 +154,6 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     inner = np.ones(len(h), bool)
     inner[begin] = False
     taught = (y == 1) | (np.cumsum(y == 0) <= CLEAN_DOCS)
-    full = (word, before, after, begin, length, row)
     use = taught[row]
     moved = np.cumsum(use) - 1
     word, before, after, gold, inner = word[use], before[use], after[use], gold[use], inner[use]
@@ -181,9 +180,8 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
             b += 0.02 * (g * g - b)
             t -= 0.15 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.98**step)) + 1e-6)
     model.weights, model.bias, model.transition, model.start = theta[0], float(theta[1][0]), theta[2], theta[3]
-    word, before, after, begin, length, row = full
-    m = forward_backward(model.weights[0][word] + model.weights[1][before] + model.weights[2][after] + model.bias, begin, length, model.transition, model.start)
-    x = np.hstack([document_features(m, row, len(texts)), np.ones((len(texts), 1))])
+    del word, before, after, gold, inner, use, moved, h, row
+    x = np.concatenate([x for *_, x in _passes(pa.array(texts, pa.large_string()), model)])
     curve = np.zeros(4)
     for _ in range(50):  # Newton steps with a little ridge
         p = _sigmoid(x @ curve)
@@ -193,20 +191,24 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     return model
 
 
-def _score(column: pa.Array, model: Model, spans: bool):
-    score, where = np.empty(len(column)), [""] * len(column)
+def _passes(column: pa.Array, model: Model):
+    """For each run of texts: first row, end row, bytes, offsets, words (start, end, row), marginals and curve inputs."""
     for first, end, data, offsets in bk.chunks(column):
         start, stop, row, h, begin, length = _cut(data, offsets)
         word = model.ids(h)
         before, after = _neighbours(word, len(model.hashes), begin, length)
         e = model.weights[0][word] + model.weights[1][before] + model.weights[2][after] + model.bias
         m = forward_backward(e, begin, length, model.transition, model.start)
-        x = np.hstack([document_features(m, row, end - first), np.ones((end - first, 1))])
+        yield first, end, data, offsets, start, stop, row, m, np.hstack([document_features(m, row, end - first), np.ones((end - first, 1))])
+
+
+def _score(column: pa.Array, model: Model, spans: bool):
+    score, where = np.empty(len(column)), [""] * len(column)
+    for first, end, data, offsets, start, stop, row, m, x in _passes(column, model):
         score[first:end] = _sigmoid(x @ model.curve)
         if spans:
-            hit = np.flatnonzero(m >= 0.5)
             chars = bk.code_points(data)
-            for i in hit:
+            for i in np.flatnonzero(m >= 0.5):
                 own = chars[offsets[row[i]]]
                 where[first + row[i]] += f"{',' if where[first + row[i]] else ''}{chars[start[i]] - own}:{chars[stop[i]] - own}"
     return np.round(score, 6), where
