@@ -2,7 +2,7 @@
 
 A band is the minimum and maximum of four permutations, eight values for four hash evaluations. Documents with one set are a
 class; classes that share a band are compared on their full sets: first each with the centre of its bucket, then, in
-buckets that still hold several components, the members outside the largest with those they are not joined to.
+buckets that still hold several components, those members that differ from the centre in the same shingles.
 
 Python hashes words and reduces permutations over Arrow batches; grouping, linking and verifying are DataFrame work.
 """
@@ -14,7 +14,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytekit as bk
@@ -134,6 +134,29 @@ def _pair(rows: DataFrame, x: str, y: str) -> DataFrame:
     return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
 
+def _alike_off_centre(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may reach the similarity, for rest (centre, key, n, at, apart).
+
+    `apart` marks members outside their centre's component. Let D be the shingles in which a member differs from the centre.
+    Two sets differ in |Dx| + |Dy| - 2 |Dx and Dy| shingles, so a linked pair shares at least
+    o = (|Dx| + |Dy| - (100 - p) / (100 + p) (|x| + |y|)) / 2 of them, and one in the first |D| - o + 1 of either, rarest first.
+    As x is not linked with the centre, o is above p / (100 + p) |Dy| for any y: copies that differ from the centre each in
+    its own way never meet, however many they are.
+    """
+    whole = rest.join(sets.select("key", F.col("items").alias("x")), "key").join(sets.select(F.col("key").alias("centre"), F.col("items").alias("y")), "centre")
+    apart = whole.select("centre", "key", "n", "at", "apart", F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("d"))
+    items = stored(apart.select("centre", "key", "n", "at", "apart", F.size("d").alias("nd"), F.explode("d").alias("item")), "differences")
+    held = items.groupBy("centre", "item").agg(F.count("*").alias("held"), F.max("apart").alias("asked"))
+    first = Window.partitionBy("centre", "key").orderBy("held", "item")
+    placed = items.join(held, ["centre", "item"]).withColumn("left", F.col("nd") + 1 - F.row_number().over(first)).where("held > 1 AND asked")
+    placed = stored(placed.where(F.col("apart") | (F.col("left") * (100 + percent) > F.col("nd") * percent)), "prefixes")
+    x, y = placed.where("apart").alias("p"), placed.alias("q")
+    shared = (100 + percent) * (F.col("p.nd") + F.col("q.nd")) - (100 - percent) * (F.col("p.n") + F.col("q.n"))
+    met = (F.col("p.centre") == F.col("q.centre")) & (F.col("p.item") == F.col("q.item")) & (F.col("p.at") != F.col("q.at"))
+    near = (2 * (100 + percent) * F.least("p.left", "q.left") >= shared) & (F.lit(100) * F.least("p.n", "q.n") >= F.lit(percent) * F.greatest("p.n", "q.n"))
+    return _pair(x.join(y, met & near), "p.key", "q.key").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text).
 
@@ -167,14 +190,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     links = stored(documents(_verified(pairs, sets, percent)).union(copies), "links")
     found = stored(components(links), "components")
-    at = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "key", "n", F.coalesce("component", "id").alias("at"))
+    at = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "key", "n", F.col("top.key").alias("centre"), F.coalesce("component", "id").alias("at"))
     at = stored(at, "placed")
-    parts = at.groupBy("bucket", "at").agg(F.count("*").alias("k"))
-    several = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("at", F.struct("k", "at")).alias("most")).where("parts > 1")
-    rest = stored(at.join(several, "bucket").select("bucket", "key", "n", "at", (F.col("at") != F.col("most")).alias("minor")), "open")
-    one, other = rest.where("minor").alias("p"), rest.alias("q")
-    cross = one.join(other, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.at") != F.col("q.at")) & fits(F.col("p.n"), F.col("q.n")))
-    more = stored(_pair(cross, "p.key", "q.key").distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    parts = at.groupBy("bucket").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.max(F.when(F.col("key") == F.col("centre"), F.col("at"))).alias("home")).where("low <> high")
+    rest = at.join(parts, "bucket").where("key <> centre").select("centre", "key", "n", "at", (F.col("at") != F.col("home")).alias("apart")).distinct()
+    more = stored(_alike_off_centre(rest, sets, percent).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     if not more.isEmpty():
         extra = stored(documents(_verified(more, sets, percent)), "more-links")
         if not extra.isEmpty():
