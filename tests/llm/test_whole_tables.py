@@ -67,7 +67,7 @@ def test_suffix_dedup(rows, docs):
     assert sorted((key(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digest(docs).collect()) == sorted(want)
 
 
-def test_minhash(rows, docs):
+def check_near_duplicates(rows, got):
     sets = []
     for i, t in rows:
         w = words(t)
@@ -75,7 +75,28 @@ def test_minhash(rows, docs):
     links = [(i, j) for n, (i, a) in enumerate(sets) for j, b in sets[:n] if a and b and i is not None and j is not None and 100 * len(a & b) >= 85 * len(a | b)]
     top = components_of({i for i, _ in sets}, links)
     want = sorted((str(i), len(s), str(top[i]), i == top[i] or i is None) for i, s in sets)
-    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in minhash.digest(docs).collect()) == want
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got.collect()) == want
+    return len({top[i] for i, _ in sets})
+
+
+def test_minhash(rows, docs):
+    check_near_duplicates(rows, minhash.digest(docs))
+
+
+def test_minhash_families(spark):
+    """Copies of copies: each edits one to four words of an earlier member, so that many links bypass the centre."""
+    rng, out = np.random.default_rng(3), []
+    for f in range(8):
+        family = [[f"w{rng.integers(5000)}" for _ in range(70)]]
+        while len(family) < 45:
+            new = list(family[int(rng.integers(len(family)))])
+            for _ in range(int(rng.integers(1, 5))):
+                k = int(rng.integers(len(new)))
+                new[k : k + int(rng.integers(2))] = [f"v{rng.integers(30 if f % 2 else 5000)}"] * int(rng.integers(2))
+            family.append(new)
+        out += [(100 * f + i, " ".join(t)) for i, t in enumerate(family)]
+    docs = spark.createDataFrame(out, "doc_id long, text string")
+    assert 8 < check_near_duplicates(out, minhash.digest(docs)) < len(out)
 
 
 def test_components_of_a_chain(spark):
