@@ -18,6 +18,8 @@ DIMS = ("source", "lang", "topic")
 TEMPERATURE = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 KEPT_SHARE, SEED = 0.5, 17
 _NONE = "\u0000"
+#: Tables of cells up to this many rows are raked in one task, where windows and sums need no shuffle; larger ones are dealt out.
+CELLS_TOGETHER = 10_000
 
 
 def topic_of(text: Column) -> Column:
@@ -42,6 +44,10 @@ def _with_cells(docs: DataFrame, topic: Column | None) -> DataFrame:
     return docs.withColumns(key | {"_topic": F.coalesce(topic, F.lit(_NONE)), "_tokens": n_tokens(F.col("text"))})
 
 
+def _gathered(cells: DataFrame, rows: int) -> DataFrame:
+    return cells.coalesce(1) if rows <= CELLS_TOGETHER else cells
+
+
 def default_targets(cells: DataFrame) -> dict[str, DataFrame]:
     """Per dimension (value, share): tokens to the power TEMPERATURE, normalised."""
     out = {}
@@ -65,14 +71,16 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
     for d in DIMS:
         w = w.join(targets[d], f"_{d}", "left")
     w = stored(w, "cells")
+    rows = w.count()
+    have = {d: F.sum("weight").over(Window.partitionBy(f"_{d}")) for d in DIMS}
     for _ in range(0, max_rounds, per_job):
+        w = _gathered(w, rows)
         for _ in range(per_job):
             for d in DIMS:
-                have = F.sum("weight").over(Window.partitionBy(f"_{d}"))
-                w = w.withColumn("weight", F.col("weight") * F.coalesce(F.col(f"target_{d}"), have) / have)
+                w = w.withColumn("weight", F.col("weight") * F.coalesce(F.col(f"target_{d}"), have[d]) / have[d])
         w = stored(w, "raked")
-        off = [w.groupBy(f"_{d}").agg(F.abs(F.sum("weight") - F.coalesce(F.first(f"target_{d}"), F.sum("weight"))).alias("off")).agg(F.max("off")).first()[0] for d in DIMS]
-        if max((x or 0.0) for x in off) <= tolerance:
+        off = F.greatest(*(F.abs(have[d] - F.coalesce(F.col(f"target_{d}"), have[d])) for d in DIMS))
+        if (_gathered(w, rows).select(off.alias("off")).agg(F.max("off")).first()[0] or 0.0) <= tolerance:
             break
     return w.select(*(f"_{d}" for d in DIMS), "tokens", "n_docs", "weight")
 
@@ -104,6 +112,7 @@ def mix(docs: DataFrame, share: float = KEPT_SHARE, seed: int = SEED, topic: Col
     keyed = _with_cells(docs, topic)
     keys = [f"_{d}" for d in DIMS]
     cells = stored(keyed.groupBy(*keys).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("n_docs")), "token-cells")
+    cells = _gathered(cells, cells.count())
     raked = rake(cells, targets or default_targets(cells))
     probs = stored(calibrated(raked, share).select(*keys, F.col("probability").alias("_p")), "probabilities")
     joined = keyed.join(small_or_shuffled(probs, probs.count()), keys, "left").withColumn("_p", F.coalesce("_p", F.lit(float(share))))
