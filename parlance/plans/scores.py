@@ -160,6 +160,29 @@ def one_sided_iterations(spark, sf_dir):
     return _iterations(spark, sf_dir, "A_K0").subtract(_iterations(spark, sf_dir, "A_K5"))
 
 
+_ALL_IT = S + ", a AS (SELECT iteration, persona_id FROM c WHERE arm='A_K0'), b AS (SELECT iteration, persona_id FROM c WHERE arm='A_K5') "
+
+
+def _units(spark, sf_dir, arm) -> DataFrame:
+    """(iteration, persona_id) of an arm's cells, of every persona; the queries above keep to the seventh their SQL names."""
+    return cells(spark, sf_dir).where(F.col("arm") == arm).select("iteration", "persona_id")
+
+
+@query(_ALL_IT + "SELECT * FROM a INTERSECT SELECT * FROM b")
+def common_units(spark, sf_dir):
+    return _units(spark, sf_dir, "A_K0").intersect(_units(spark, sf_dir, "A_K5"))
+
+
+@query(_ALL_IT + "SELECT * FROM a UNION SELECT * FROM b")
+def all_units(spark, sf_dir):
+    return _units(spark, sf_dir, "A_K0").union(_units(spark, sf_dir, "A_K5")).distinct()
+
+
+@query(_ALL_IT + "SELECT * FROM a EXCEPT SELECT * FROM b")
+def one_sided_units(spark, sf_dir):
+    return _units(spark, sf_dir, "A_K0").subtract(_units(spark, sf_dir, "A_K5"))
+
+
 # --- paired contrasts ------------------------------------------------------------------------------------------------
 
 _STAT = "count(*) AS n, CASE WHEN count(*)>=3 THEN avg(a) END AS mean_a, CASE WHEN count(*)>=3 THEN avg(b) END AS mean_b, CASE WHEN count(*)>=3 THEN avg(d) END AS mean_delta, CASE WHEN count(*)>=3 THEN avg(d)/nullif(stddev_samp(d),0) END AS dz"

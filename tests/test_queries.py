@@ -1,4 +1,5 @@
 import glob
+import json
 import math
 import os
 
@@ -35,3 +36,12 @@ def test_query_equals_sql(spark, con, name):
     names = [d[0] for d in done.description]
     assert sorted(names) == columns
     assert got == sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in done.fetchall())
+
+
+def test_set_queries_keep_every_persona(spark):
+    rows = spark.read.parquet(f"{SF}/events.parquet").where("value IS NOT NULL").select("user_id", "ts", "props").collect()
+    arm = lambda r: json.loads(r.props)["k"] % 4
+    a, b = ({((r.ts.day - 1) // 6, r.user_id) for r in rows if arm(r) == k} for k in (0, 1))
+    for name, want in {"common_units": a & b, "all_units": a | b, "one_sided_units": a - b}.items():
+        assert sorted(map(tuple, QUERIES[name](spark, SF).collect())) == sorted(want)
+        assert {p % 7 for _, p in want} - {3}
