@@ -281,6 +281,18 @@ def budget_sweep(spark, sf_dir):
     return best.select("arm", "best_iter", *r6("budget", "level", "cum_cost"))
 
 
+_WHOLE_BUDGET = C + ", b AS (SELECT DISTINCT cum_cost AS budget FROM comp WHERE arm='1-URGENT'), x AS (SELECT arm, budget, iteration, median_step, comp.cum_cost, row_number() OVER (PARTITION BY arm, budget ORDER BY median_step DESC, iteration) AS r FROM comp JOIN b ON cum_cost<=budget+1e-9) "
+
+
+@query(_WHOLE_BUDGET + "SELECT arm, iteration AS best_iter, " + sql6("budget", "median_step AS level", "cum_cost") + " FROM x WHERE r=1")
+def budget_sweep_whole(spark, sf_dir):
+    """Every total of the arm is a budget; budget_sweep keeps to those of every sixth iteration, which its SQL names."""
+    comp = compute(spark, sf_dir)
+    budgets = comp.where("arm = '1-URGENT'").select(F.col("cum_cost").alias("budget")).distinct()
+    best = cost.best_within(comp.withColumnRenamed("median_step", "level"), budgets, ["arm"], value="level")
+    return best.select("arm", "best_iter", *r6("budget", "level", "cum_cost"))
+
+
 @query(C + ", p AS (SELECT iteration, max(median_step) FILTER (arm='1-URGENT') AS a, max(median_step) FILTER (arm='5-LOW') AS b FROM comp GROUP BY ALL) SELECT iteration, " + sql6("a AS step_a", "b AS step_b", "b/a AS ratio") + " FROM p")
 def step_multiplier(spark, sf_dir):
     side = lambda a: F.max(F.when(F.col("arm") == a, F.col("median_step")))

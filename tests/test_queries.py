@@ -45,3 +45,9 @@ def test_set_queries_keep_every_persona(spark):
     for name, want in {"common_units": a & b, "all_units": a | b, "one_sided_units": a - b}.items():
         assert sorted(map(tuple, QUERIES[name](spark, SF).collect())) == sorted(want)
         assert {p % 7 for _, p in want} - {3}
+
+
+def test_every_total_is_a_budget(spark):
+    totals = QUERIES["cost_cumsum"](spark, SF).where("arm = '1-URGENT'").collect()
+    assert {r.budget for r in QUERIES["budget_sweep_whole"](spark, SF).collect()} == {r.cum_cost for r in totals}
+    assert len({r.iteration % 6 for r in totals}) == 6
