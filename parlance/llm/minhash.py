@@ -35,9 +35,10 @@ def _sets(column: pa.Array, words: int):
         start, end, row = bk.words(small, offsets)
         h = bk.range_hash(bk.prefix(small), start, end)
         at = np.searchsorted(row, np.arange(len(offsets)))
-        mixed = np.zeros(max(0, len(h) - words + 1), np.uint64)
+        m = max(0, len(h) - words + 1)
+        mixed = np.zeros(m, np.uint64)
         for k in range(words):
-            mixed = bk.mixed(mixed + h[k : len(h) - words + 1 + k] + np.uint64(k + 1))
+            mixed = bk.mixed(mixed + h[k : k + m] + np.uint64(k + 1))
         for i in range(len(offsets) - 1):
             a, b = at[i], at[i + 1]
             if b - a >= words:

@@ -99,6 +99,15 @@ def test_minhash_families(spark):
     assert 8 < check_near_duplicates(out, minhash.digest(docs)) < len(out)
 
 
+def test_minhash_runs_of_few_words(spark):
+    """Five-word shingles over runs that hold fewer words in all: each edge row in a partition of its own."""
+    rows = EDGE + [(900012, "two more words"), (900013, "Two more words"), (900014, "a b c d"), (900015, "a b c d e")]
+    lone = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_shingles) for r in minhash.near_duplicates(lone, words=5, percent=80).collect())
+    assert got == sorted((str(i), len({tuple(w[k : k + 5]) for k in range(len(w) - 4)}) if len(w) >= 5 else bool(w)) for i, w in ((i, words(t)) for i, t in rows))
+    assert {r.doc_id for r in minhash.without_near_duplicates(lone, words=5, percent=80).collect()} >= {900012, 900014, 900015}
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 100), (200, 201), (201, 200), (None, 7)], "a long, b long")
     got = {r.node: r.component for r in components.components(links).collect()}
