@@ -154,6 +154,33 @@ def test_ngram_scores(rows, docs):
         assert any((r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4] and abs(r.base_score - w[4]) < 1e-5 and abs(r.score - w[5]) < 0.02 * w[1] for w in want[str(r.doc_id)])
 
 
+def test_ngram_shards_do_not_grow_with_a_word(spark, docs, monkeypatch):
+    """Rare and frequent keys take different ways to one result; no shard gets all that follows a frequent word."""
+    rng = np.random.default_rng(2)
+    context, word = np.full(6400, 7, np.uint64), rng.integers(1, 1 << 62, 6400).astype(np.uint64)
+    assert np.bincount(ngram_lm._pair_shard_of(context, word, 64), minlength=64).max() < 200
+    rows = [(i, "the same " * 40 + f"the x{i} the y{i}") for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    sent = {}
+    for often in (1, ngram_lm.OFTEN):
+        monkeypatch.setattr(ngram_lm, "OFTEN", often)
+        sent[often] = sorted((r.doc_id, r.n_known, r.base_score, r.score) for r in ngram_lm.score(frame).collect())
+    one, other = sent.values()
+    assert len(one) == 400 and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-5 and abs(a[3] - b[3]) < 0.02 * 84 for a, b in zip(one, other, strict=True))
+
+    class Shared:
+        value = ngram_lm._Often([np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)] + [np.zeros(0)] * 3)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["doc", "text"])
+    cut = lambda: sum(len(k.as_py()) // 8 for b in ngram_lm._ask_pairs(8, Shared)([batch]) for k in b.column("x"))
+    whole = cut()
+    x, y = (np.concatenate(v) for v in zip(*((ngram_lm._before(h, o), h) for h, o in [ngram_lm._tokens(*ngram_lm.bk.column_bytes(batch.column(1)))]), strict=True))
+    (x, y), (n,) = ngram_lm._merged([x, y], [np.ones(len(x), np.int64)])
+    Shared.value = ngram_lm._Often([x[n > 99], y[n > 99], n[n > 99]], [np.zeros(0, np.uint64)] + [np.zeros(0)] * 3)
+    assert cut() == n[n <= 99].sum() < whole
+
+
 def test_elias_fano(tmp_path):
     rng = np.random.default_rng(0)
     for top in (3, 1000, 1 << 40):
