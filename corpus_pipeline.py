@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parlance.llm import decontaminate, minhash, mixing, secrets, toxicity
 from parlance.llm.common import stored
@@ -29,7 +30,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with credentials replaced; n_chars follows the new text."""
-    return secrets.redact(docs)
+    redacted = secrets.redact(docs.withColumn("_text", F.col("text")))
+    new = F.when(F.col("text") != F.col("_text"), F.length("text")).otherwise(F.col("n_chars"))
+    return redacted.withColumn("n_chars", new.cast(docs.schema["n_chars"].dataType)).drop("_text")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

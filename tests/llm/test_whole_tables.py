@@ -283,3 +283,13 @@ def test_pipeline(spark, tmp_path):
         before, kept = kept, spark.read.parquet(f"{tmp_path}/{n}")
         assert 0 < kept.count() <= before.count()
     assert corpus_pipeline.run(spark, SF).select("doc_id", "text", "probability").exceptAll(kept.select("doc_id", "text", "probability")).count() == 0
+
+
+def test_redaction_renews_n_chars(spark):
+    import corpus_pipeline
+
+    secret = "key AKIA" + "Q7ZP2M4XN8RT6WVB" + " end"
+    docs = spark.createDataFrame([(1, secret, 99), (2, "plain", 98), (3, None, None)], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: r for r in corpus_pipeline.redact_secrets(spark, docs, SF).collect()}
+    assert got[1].text != secret and got[1].n_chars == len(got[1].text)
+    assert (got[2].n_chars, got[3].n_chars) == (98, None)
