@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +15,10 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 _MARK = np.ones(256, bool)
 _MARK[48:58] = _MARK[65:91] = _MARK[97:123] = _MARK[128:] = False
-#: Odd multipliers of the two range hashes.
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Range hashes are polynomials modulo this prime, at one of these bases; no text pattern collides at every base.
+PRIME = (1 << 61) - 1
+BASES = (0x0F3C1D59E2A7B684 % PRIME, 0x1B56C4E9D38F2A71 % PRIME)
+_P, _P32, _P29 = U64(PRIME), U64((1 << 32) - 1), U64((1 << 29) - 1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -27,6 +28,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+_SYMBOLS = mixed(np.arange(1, 257, dtype=np.uint64) * U64(0xA0761D6478BD642F))
+
+
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a text column; nulls are empty."""
     column = column.fill_null("") if column.null_count else column
@@ -69,48 +73,114 @@ def words(data: np.ndarray, offsets: np.ndarray, plain: bool = False) -> tuple[n
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
-@functools.cache
-def _symbols(which: int) -> np.ndarray:
-    return mixed(np.arange(1, 257, dtype=np.uint64) * U64(0xA0761D6478BD642F + 2 * which))
+def pieces(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+    """As chunks(), but a text longer than `limit` comes in several runs of one row, cut after a blank; last: whether the row ends with the run.
+
+    Only a single word of more than `limit` bytes makes a longer run.
+    """
+    for first, end, data, offsets in chunks(column, limit):
+        if end - first > 1 or len(data) <= 2 * limit:
+            yield first, end, data, offsets, True
+            continue
+        at = 0
+        while at < len(data):
+            stop = min(at + limit, len(data))
+            while stop < len(data):
+                blank = np.flatnonzero(_BLANK[data[stop : stop + limit]])
+                if len(blank):
+                    stop += int(blank[0])
+                    break
+                stop = min(stop + limit, len(data))
+            yield first, end, data[at:stop], np.array([0, stop - at]), stop == len(data)
+            at = stop
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime."""
+    x = (x & _P) + (x >> U64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, for factors below it, by halves of 32 bits."""
+    a1, a0, b1, b0 = a >> U64(32), a & _P32, b >> U64(32), b & _P32
+    low, cross, high = a0 * b0, a1 * b0 + a0 * b1, a1 * b1
+    cross = _reduced(cross)  # 2**32 of it, that is its upper 32 of 61 bits and its lower 29 bits moved up
+    return _reduced(_reduced(low) + ((cross & _P29) << U64(32)) + (cross >> U64(29)) + _reduced(high << U64(3)))
 
 
 class _Powers:
-    """Powers of a base and of its inverse modulo 2**64, grown as needed."""
+    """Powers of a base modulo the prime (upper and lower 32 bits) and of its inverse, grown as needed up to a run of usual length."""
 
-    kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    kept: dict[int, tuple[np.ndarray, ...]] = {}
+
+    @staticmethod
+    def made(base: int, size: int) -> np.ndarray:
+        p = np.ones(1, U64)
+        while len(p) < size:
+            p = np.append(p, _times(p, np.full(1, pow(base, len(p), PRIME), U64)))
+        return p[:size]
 
     @classmethod
-    def of(cls, which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    def of(cls, which: int, size: int) -> tuple[np.ndarray, ...]:
         have = cls.kept.get(which)
         if have is None or len(have[0]) < size:
-            size = max(size, CHUNK_BYTES + (1 << 18))
-            made = []
-            for base in (BASES[which], pow(BASES[which], -1, 1 << 64)):
-                p = np.full(size, base, U64)
-                p[0] = 1
-                made.append(np.multiply.accumulate(p))
-            cls.kept[which] = have = tuple(made)
+            power, inverse = (cls.made(b, max(size, CHUNK_BYTES + (1 << 18))) for b in (BASES[which], pow(BASES[which], -1, PRIME)))
+            have = (power >> U64(32), power & _P32, inverse)
+            if size <= 1 << 22:
+                cls.kept[which] = have
         return have
 
 
 def prefix(data: np.ndarray, which: int = 0) -> np.ndarray:
-    """Prefix sums from which range_hash() takes the hash of any range."""
-    power, _ = _Powers.of(which, len(data) + 1)
-    out = np.zeros(len(data) + 1, U64)
-    np.cumsum(_symbols(which)[data] * power[: len(data)], out=out[1:])
+    """(2, size + 1) prefix sums, by halves of the powers, from which range_hash() takes the hash of any range.
+
+    A sum holds 2**22 terms of 41 bits without a carry; longer runs wrap modulo 2**64, which differences of ranges below that length undo.
+    """
+    upper, lower, _ = _Powers.of(which, len(data) + 1)
+    out = np.zeros((2, len(data) + 1), U64)
+    symbol = data.astype(U64) + U64(1)
+    np.cumsum(symbol * upper[: len(data)], out=out[0, 1:])
+    np.cumsum(symbol * lower[: len(data)], out=out[1, 1:])
     return out
 
 
 def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hash of data[start:end] for arrays of ranges; equal bytes have equal hashes wherever they stand."""
-    _, inverse = _Powers.of(which, len(sums))
-    return mixed((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U64) * U64(0xE7037ED1A0B428DB))
+    """64-bit hash of data[start:end] for arrays of ranges of less than 2**22 bytes; equal bytes have equal hashes wherever they stand.
+
+    Longer ranges are hashed by parts of 2**21 bytes, part after part.
+    """
+    inverse = _Powers.of(which, sums.shape[1])[2]
+    length = (end - start).astype(np.int64)
+
+    def value(a, b):
+        upper, lower = _reduced(sums[0, b] - sums[0, a]), _reduced(sums[1, b] - sums[1, a])
+        upper = ((upper & _P29) << U64(32)) + (upper >> U64(29))
+        return _times(_reduced(upper + lower), inverse[a])
+
+    if len(length) == 0 or length.max() < 1 << 21:
+        return mixed(value(start, end) + length.astype(U64) * U64(0xE7037ED1A0B428DB))
+    out, at = length.astype(U64), start.copy()
+    while (open_ := np.flatnonzero((at < end) | (length == 0))).size:
+        stop = np.minimum(at[open_] + (1 << 21), end[open_])
+        part = mixed(value(at[open_], stop) + (stop - at[open_]).astype(U64) * U64(0xE7037ED1A0B428DB))
+        out[open_] = np.where(length[open_] < 1 << 21, part, mixed(out[open_] + part))
+        at[open_] = stop
+        length = np.where(length == 0, -1, length)
+    return out
 
 
-def gram_hashes(sums: np.ndarray, size: int) -> np.ndarray:
-    """64-bit hash of the `size` bytes at each place."""
-    n = len(sums) - size
-    return mixed((sums[size:] - sums[:-size]) * _Powers.of(0, len(sums))[1][:n])
+def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hash of the `size` bytes at each place, modulo 2**64: for choosing places, and for grams far shorter than any pattern that collides."""
+    n = len(data)
+    power = np.full(n + 1, U64(0x9E3779B97F4A7C15))
+    power[0] = 1
+    inverse = np.full(n + 1, U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)))
+    inverse[0] = 1
+    power, inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
+    sums = np.zeros(n + 1, U64)
+    np.cumsum(_SYMBOLS[data] * power[:n], out=sums[1:])
+    return mixed((sums[size:] - sums[:-size]) * inverse[: n - size + 1])
 
 
 def code_points(data: np.ndarray) -> np.ndarray:

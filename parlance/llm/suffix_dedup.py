@@ -55,7 +55,7 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, length: int):
     if n < spread:
         return None
     sums = bk.prefix(data)
-    h = bk.gram_hashes(sums, gram)
+    h = bk.gram_hashes(data, gram)
     bits = np.uint64(n.bit_length())
     low = ((h >> bits) << bits) | np.arange(n, dtype=np.uint64)
     step = 1
