@@ -1,17 +1,62 @@
-"""Resampling by hashed draws: replicate b, slot i always draws the same unit, however the data is partitioned."""
+"""Resampling by hashed draws: replicate b always draws a unit as often, however the data is partitioned.
+
+How often a unit is drawn follows a Poisson distribution of mean one, as for draws with replacement from many units. The counts come
+from a hash of (seed, replicate, unit), so a group is never put in order or kept together: each row adds to eight replicates of a block,
+sums are combined before the shuffle, and series with the same units are resampled jointly.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import ratio
+
+REPLICATES, SEED = 2000, 12345
+#: 65,536 times the distribution function of Poisson(1) at 0 to 7.
+POISSON = (24109, 48218, 60273, 64291, 65296, 65497, 65530, 65535)
+SLOTS = 8
+
+
+def counts(seed: int, block: Column, unit: Column) -> list[Column]:
+    """How often a unit is drawn in each of the eight replicates of a block, from four hexadecimal digits each."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), block.cast("string"), unit.cast("string")))
+    drawn = []
+    for i in range(SLOTS):
+        u = F.conv(F.substring(digest, 4 * i + 1, 4), 16, 10).cast("int")
+        w = (u >= POISSON[0]).cast("int")
+        for t in POISSON[1:]:
+            w = w + (u >= t).cast("int")
+        drawn.append(w)
+    return drawn
+
+
+def replicates(rows: DataFrame, by: list[str], unit: str, values: list[str], n: int = REPLICATES, seed: int = SEED) -> DataFrame:
+    """by, b and the mean of each value over the units drawn in replicate b; rows of one unit share its draws."""
+    blocks = rows.select(*by, F.col(unit).alias("_u"), *values).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(-(-n // SLOTS) - 1))))
+    blocks = blocks.withColumns({f"_w{i}": w for i, w in enumerate(counts(seed, F.col("_j"), F.col("_u")))})
+    sums = [F.sum(F.when(F.col(v).isNotNull(), F.col(f"_w{i}")) * w).alias(f"_{k}{i}_{at}") for at, v in enumerate(values) for i in range(SLOTS) for k, w in (("n", F.lit(1)), ("s", F.col(v)))]
+    g = blocks.groupBy(*by, "_j").agg(*sums)
+    slots = F.array(*(F.struct(F.lit(i).alias("i"), *(ratio(f"_s{i}_{at}", f"_n{i}_{at}").alias(v) for at, v in enumerate(values))) for i in range(SLOTS)))
+    out = g.select(*by, "_j", F.explode(slots).alias("_x"))
+    return out.select(*by, (F.col("_j") * SLOTS + F.col("_x.i")).alias("b"), *(F.col(f"_x.{v}").alias(v) for v in values)).where(F.col("b") < n)
+
+
+def interval(draws: DataFrame, by: list[str], value: Column, alpha: float = 0.05) -> DataFrame:
+    """by, lo, hi: percentiles of a value over replicates, of which there is a fixed number in a group."""
+    return draws.groupBy(*by).agg(F.percentile(value, alpha / 2).alias("lo"), F.percentile(value, 1 - alpha / 2).alias("hi"))
+
+
+def bootstrap_mean(deltas: DataFrame, by: list[str], unit: str, value: str, n: int = REPLICATES, seed: int = SEED, alpha: float = 0.05) -> DataFrame:
+    """by, n, lo, hi: percentile interval of the mean."""
+    size = deltas.groupBy(*by).agg(F.count(value).alias("n"))
+    return interval(replicates(deltas, by, unit, [value], n, seed), by, F.col(value), alpha).join(size, by)
+
+
+def shuffled_groups(rows: DataFrame, by: list[str], ident: list[str], size: int, seed: int) -> DataFrame:
+    """rows with `draw`, a group number: rows of a stratum in hashed order, cut in groups of `size`; the last may be smaller.
 
-def bootstrap_mean(deltas: DataFrame, by: list[str], unit: str, value: str, replicates: int, seed: int, alpha: float = 0.05) -> DataFrame:
-    """by, n, lo, hi: percentile interval of the mean over hashed resamples of each group's units, in order of the unit."""
-    ranked = deltas.withColumns({"i": F.row_number().over(Window.partitionBy(*by).orderBy(unit)) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy(*by))})
-    ranked = ranked.select(*by, "i", "n", F.col(value).alias("v"))
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    slots = ranked.select(*by, "i", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b")).withColumn("pick", F.floor(u * F.col("n")).cast("int"))
-    drawn = slots.join(ranked.select(*by, F.col("i").alias("pick"), "v"), [*by, "pick"])
-    means = drawn.groupBy(*by, "n", "b").agg(F.avg("v").alias("m"))
-    return means.groupBy(*by, "n").agg(F.percentile("m", alpha / 2).alias("lo"), F.percentile("m", 1 - alpha / 2).alias("hi"))
+    The order is that of the hash; a stratum is one window, so strata should be settings crossed with something that grows.
+    """
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in ident)))
+    return rows.withColumn("draw", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(key, *ident)) - 1) / size))

@@ -139,10 +139,11 @@ def missing_cells(spark, sf_dir):
 
 
 def _iterations(spark, sf_dir, arm) -> DataFrame:
-    return cells(spark, sf_dir).where((F.col("arm") == arm) & (F.col("persona_id") % 7 == 3)).select("iteration", "persona_id")
+    """(iteration, persona_id) of an arm's cells."""
+    return cells(spark, sf_dir).where(F.col("arm") == arm).select("iteration", "persona_id")
 
 
-_IT = S + ", a AS (SELECT iteration, persona_id FROM c WHERE arm='A_K0' AND persona_id%7=3), b AS (SELECT iteration, persona_id FROM c WHERE arm='A_K5' AND persona_id%7=3) "
+_IT = S + ", a AS (SELECT iteration, persona_id FROM c WHERE arm='A_K0'), b AS (SELECT iteration, persona_id FROM c WHERE arm='A_K5') "
 
 
 @query(_IT + "SELECT * FROM a INTERSECT SELECT * FROM b")
@@ -160,27 +161,19 @@ def one_sided_iterations(spark, sf_dir):
     return _iterations(spark, sf_dir, "A_K0").subtract(_iterations(spark, sf_dir, "A_K5"))
 
 
-_ALL_IT = S + ", a AS (SELECT iteration, persona_id FROM c WHERE arm='A_K0'), b AS (SELECT iteration, persona_id FROM c WHERE arm='A_K5') "
-
-
-def _units(spark, sf_dir, arm) -> DataFrame:
-    """(iteration, persona_id) of an arm's cells, of every persona; the queries above keep to the seventh their SQL names."""
-    return cells(spark, sf_dir).where(F.col("arm") == arm).select("iteration", "persona_id")
-
-
-@query(_ALL_IT + "SELECT * FROM a INTERSECT SELECT * FROM b")
+@query(_IT + "SELECT * FROM a INTERSECT SELECT * FROM b")
 def common_units(spark, sf_dir):
-    return _units(spark, sf_dir, "A_K0").intersect(_units(spark, sf_dir, "A_K5"))
+    return _iterations(spark, sf_dir, "A_K0").intersect(_iterations(spark, sf_dir, "A_K5"))
 
 
-@query(_ALL_IT + "SELECT * FROM a UNION SELECT * FROM b")
+@query(_IT + "SELECT * FROM a UNION SELECT * FROM b")
 def all_units(spark, sf_dir):
-    return _units(spark, sf_dir, "A_K0").union(_units(spark, sf_dir, "A_K5")).distinct()
+    return _iterations(spark, sf_dir, "A_K0").union(_iterations(spark, sf_dir, "A_K5")).distinct()
 
 
-@query(_ALL_IT + "SELECT * FROM a EXCEPT SELECT * FROM b")
+@query(_IT + "SELECT * FROM a EXCEPT SELECT * FROM b")
 def one_sided_units(spark, sf_dir):
-    return _units(spark, sf_dir, "A_K0").subtract(_units(spark, sf_dir, "A_K5"))
+    return _iterations(spark, sf_dir, "A_K0").subtract(_iterations(spark, sf_dir, "A_K5"))
 
 
 # --- paired contrasts ------------------------------------------------------------------------------------------------
@@ -300,7 +293,7 @@ def k_summary(spark, sf_dir):
        + _pairs_sql("method, stratum, questionnaire", "k=0", "k=5", "sx") + f") SELECT method, stratum, questionnaire, n, {sql6(*_STATS)} FROM (SELECT method, stratum, questionnaire, {_STAT} FROM pq GROUP BY ALL)")
 def contrast_by_stratum(spark, sf_dir):
     traits = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("persona_id"), F.col("c_mktsegment").alias("seg"))
-    c = cells(spark, sf_dir).join(F.broadcast(traits), "persona_id").withColumn("stratum", F.explode(F.array("seg", F.lit("All"))))
+    c = cells(spark, sf_dir).join(traits, "persona_id").withColumn("stratum", F.explode(F.array("seg", F.lit("All"))))
     by = ["method", "stratum", "questionnaire"]
     return paired.summary(paired.deltas(c, by, _k(0), _k(5)), by).select(*by, "n", *r6(*_STATS))
 
@@ -308,14 +301,15 @@ def contrast_by_stratum(spark, sf_dir):
 @query(S + ", st0 AS (SELECT c.*, u.c_mktsegment AS stratum FROM c JOIN customer u ON u.c_custkey=c.persona_id) SELECT arm, coalesce(stratum,'All') AS stratum, count(*) AS n, " + sql6("avg(score) AS mean", "stddev_samp(score) AS sd", "avg((score>=45)::INT) AS share_high") + " FROM st0 GROUP BY GROUPING SETS ((arm, stratum), (arm))")
 def ceiling_by_stratum(spark, sf_dir):
     traits = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("persona_id"), F.col("c_mktsegment").alias("stratum"))
-    c = cells(spark, sf_dir).join(F.broadcast(traits), "persona_id")
+    c = cells(spark, sf_dir).join(traits, "persona_id")
     g = c.groupingSets([["arm", "stratum"], ["arm"]], "arm", "stratum").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"), F.avg((F.col("score") >= 45).cast("int")).alias("share_high"))
     return g.select("arm", F.coalesce("stratum", F.lit("All")).alias("stratum"), "n", *r6("mean", "sd", "share_high"))
 
 
 @query(S + ", lx AS (SELECT *, max(iteration) OVER (PARTITION BY arm) AS la FROM c), e AS (SELECT arm, questionnaire, avg(score) FILTER (iteration=0) AS base, avg(score) FILTER (iteration=la) AS final FROM lx GROUP BY ALL) SELECT arm, questionnaire, " + sql6("base", "final", "final-base AS change") + " FROM e")
 def endpoint_contrasts(spark, sf_dir):
-    c = cells(spark, sf_dir).withColumn("last", F.max("iteration").over(Window.partitionBy("arm")))
+    c = cells(spark, sf_dir)
+    c = c.join(paired.final_iteration(c, ["arm"]).withColumnRenamed("iteration", "last"), "arm")
     g = c.groupBy("arm", "questionnaire").agg(F.avg(F.when(F.col("iteration") == 0, F.col("score"))).alias("base"), F.avg(F.when(F.col("iteration") == F.col("last"), F.col("score"))).alias("final"))
     return g.select("arm", "questionnaire", *r6("base", "final", change=F.col("final") - F.col("base")))
 

@@ -4,16 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 ARMS = ("A_K0", "A_K5", "B_K0", "B_K5")
-#: erfc by the same polynomial as functions.expr, and an average rank, for the oracle.
-MACROS = {
-    "P": "least(1.0, (((((1.061405429*t-1.453152027)*t+1.421413741)*t-0.284496736)*t+0.254829592)*t)*exp(-x*x))",
-}
 
 
 def query(sql: str | None = None):
@@ -32,9 +28,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Results are rounded to ten digits first and moved off ties by less than their last one, so that the order of a float sum never
+#: decides the sixth digit.
+TIE = 3e-11
+
+
+def _six(c: Column) -> Column:
+    ten = F.round(c.cast("double"), 10)
+    return F.round(ten + F.signum(ten) * TIE, 6) + F.lit(0.0)
+
+
 def r6(*names: str, **named) -> list:
     """Columns rounded to six digits, with minus zero as zero."""
-    return [(F.round(F.col(n).cast("double"), 6) + F.lit(0.0)).alias(n) for n in names] + [(F.round(c.cast("double"), 6) + F.lit(0.0)).alias(n) for n, c in named.items()]
+    return [_six(F.col(n)).alias(n) for n in names] + [_six(c).alias(n) for n, c in named.items()]
 
 
 def sql6(*exprs: str) -> str:
@@ -42,7 +48,8 @@ def sql6(*exprs: str) -> str:
     out = []
     for e in exprs:
         body, _, name = e.rpartition(" AS ")
-        out.append(f"round(({body or name})::DOUBLE, 6) + 0.0 AS {name}")
+        ten = f"round(({body or name})::DOUBLE, 10)"
+        out.append(f"round({ten} + sign({ten})*{TIE}, 6) + 0.0 AS {name}")
     return ", ".join(out)
 
 

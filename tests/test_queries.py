@@ -23,7 +23,7 @@ def plain(v):
     if v is None or isinstance(v, (bool, str)):
         return str(v)
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else f"{round(v, 5) + 0.0:.5f}"
+        return "nan" if math.isnan(v) else f"{round(v, 6) + 0.0:.6f}"
     return str(v)
 
 
@@ -44,7 +44,6 @@ def test_set_queries_keep_every_persona(spark):
     a, b = ({((r.ts.day - 1) // 6, r.user_id) for r in rows if arm(r) == k} for k in (0, 1))
     for name, want in {"common_units": a & b, "all_units": a | b, "one_sided_units": a - b}.items():
         assert sorted(map(tuple, QUERIES[name](spark, SF).collect())) == sorted(want)
-        assert {p % 7 for _, p in want} - {3}
 
 
 def test_every_total_is_a_budget(spark):
