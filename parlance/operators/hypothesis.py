@@ -13,12 +13,15 @@ def _ties(by: list[str], value: str) -> Column:
 
 
 def mann_whitney(df: DataFrame, by: list[str], first: Column, value: str = "score") -> DataFrame:
-    """by, n1, n2, u, z, p of the rows where `first` holds against the others; ties at mean ranks, tie-corrected variance."""
-    r = df.where(col(value).isNotNull()).withColumns({"_first": first, "_rank": average_rank(by, value), "_t": _ties(by, value)})
-    g = r.groupBy(*by).agg(
-        F.count_if("_first").cast("double").alias("n1"), F.count_if(~F.col("_first")).cast("double").alias("n2"),
-        F.sum(F.when(F.col("_first"), F.col("_rank")).otherwise(0.0)).alias("_r1"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_ties"),
-    )
+    """by, n1, n2, u, z, p of the rows where `first` holds against the others; ties at mean ranks, tie-corrected variance.
+
+    Rows are counted by value first, so ranks are taken over distinct values.
+    """
+    counts = df.where(col(value).isNotNull()).groupBy(*by, col(value).alias("_v")).agg(F.count_if(first).cast("double").alias("_a"), F.count_if(~first).cast("double").alias("_b"))
+    t = F.col("_a") + F.col("_b")
+    before = F.sum(t).over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    r = counts.withColumn("_rank", before - (t - 1) / 2)
+    g = r.groupBy(*by).agg(F.sum("_a").alias("n1"), F.sum("_b").alias("n2"), F.sum(F.col("_a") * F.col("_rank")).alias("_r1"), F.sum(t * (t * t - 1)).alias("_ties"))
     n = F.col("n1") + F.col("n2")
     u = F.col("_r1") - F.col("n1") * (F.col("n1") + 1) / 2
     var = F.col("n1") * F.col("n2") / 12 * ((n + 1) - F.col("_ties") / F.nullif(n * (n - 1), F.lit(0.0)))
@@ -56,8 +59,8 @@ def levene(df: DataFrame, by: list[str], group: str, value: str = "score", cente
 
 def friedman(cells: DataFrame, by: list[str], unit: str, treatment: str, value: str = "score") -> DataFrame:
     """by, n, k, chi2, kendall_w over units that have every treatment; ties at mean ranks; null statistics for n or k under 3."""
-    k = F.size(F.collect_set(treatment).over(Window.partitionBy(*by)))
-    whole = cells.withColumn("_k", k).withColumn("_own", F.count(F.lit(1)).over(Window.partitionBy(*by, unit))).where("_own = _k")
+    kinds = cells.groupBy(*by).agg(F.count_distinct(treatment).cast("int").alias("_k"))
+    whole = cells.join(kinds, by).withColumn("_own", F.count(F.lit(1)).over(Window.partitionBy(*by, unit))).where("_own = _k")
     r = whole.withColumns({"_rank": average_rank([*by, unit], value), "_t": _ties([*by, unit], value)})
     g = r.groupBy(*by, treatment, "_k").agg(F.sum("_rank").alias("_r"), F.count(F.lit(1)).alias("n"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_ties"))
     g = g.groupBy(*by, "n", F.col("_k").alias("k")).agg(F.sum(F.col("_r") * F.col("_r")).alias("_s"), F.sum("_ties").alias("_ties"))

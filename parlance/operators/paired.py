@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import average_rank, col, effect_label, ratio, two_sided_p
+from . import resample
 
 UNIT = "persona_id"
 
@@ -21,41 +22,64 @@ def deltas(cells: DataFrame, by: list[str], first: Column, second: Column, unit:
     return sides.where("a IS NOT NULL AND b IS NOT NULL").withColumn("d", F.col("a") - F.col("b"))
 
 
-def summary(pairs: DataFrame, by: list[str], least: int = 3) -> DataFrame:
-    """by, n, mean_a, mean_b, mean_delta, median_delta, sd_delta, dz; statistics are null under `least` pairs, dz at sd 0."""
-    g = pairs.groupBy(*by).agg(
+def _moments() -> list[Column]:
+    return [
         F.count("d").alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg("d").alias("mean_delta"),
         F.percentile("d", 0.5).alias("median_delta"), F.stddev_samp("d").alias("sd_delta"),
-    )
-    out = g.withColumn("dz", ratio("mean_delta", "sd_delta"))
-    few = F.col("n") < least
-    return out.withColumns({c: F.when(~few, F.col(c)) for c in ("mean_a", "mean_b", "mean_delta", "median_delta", "sd_delta", "dz")})
+    ]
 
 
-def wilcoxon(pairs: DataFrame, by: list[str], d: str = "d") -> DataFrame:
-    """by, n_nonzero, t_plus, t_minus, w, z, p: signed ranks without zero differences, ties at mean ranks, normal approximation.
+MOMENTS = ("mean_a", "mean_b", "mean_delta", "median_delta", "sd_delta", "dz")
+
+
+def _enough(df: DataFrame, columns: tuple[str, ...], least: int = 3) -> DataFrame:
+    return df.withColumns({c: F.when(F.col("n") >= least, F.col(c)) for c in columns})
+
+
+def summary(pairs: DataFrame, by: list[str], least: int = 3) -> DataFrame:
+    """by, n, mean_a, mean_b, mean_delta, median_delta, sd_delta, dz; statistics are null under `least` pairs, dz at sd 0."""
+    return _enough(pairs.groupBy(*by).agg(*_moments()).withColumn("dz", ratio("mean_delta", "sd_delta")), MOMENTS, least)
 
-    Groups whose differences are all zero have n_nonzero 0, null statistics and p 1 (the convention of the core contrast).
+
+def signed_ranks(pairs: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """by, n_nonzero, t_plus, t_minus, w, z, p and the aggregates `more`, in one grouping of ranked rows.
+
+    Zero differences take no rank, ties the mean rank; p is the normal approximation. Groups whose differences are all zero have
+    n_nonzero 0, null statistics and p 1 (the convention of the core contrast).
     """
-    ranked = pairs.where(col(d) != 0).withColumn("_size", F.abs(d))
-    ranked = ranked.withColumn("_rank", average_rank(by, "_size")).withColumn("_ties", F.count(F.lit(1)).over(Window.partitionBy(*by, "_size")))
-    n = F.count(F.lit(1)).cast("double")
-    some = ranked.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_nonzero"), F.sum(F.when(col(d) > 0, F.col("_rank")).otherwise(0.0)).alias("t_plus"),
-        F.sum(F.when(col(d) < 0, F.col("_rank")).otherwise(0.0)).alias("t_minus"), (n * (n + 1) / 4).alias("_mean"),
-        (n * (n + 1) * (2 * n + 1) / 24 - F.sum(F.col("_ties").cast("double") * F.col("_ties") - 1) / 48).alias("_var"),
+    zero = F.col("d") == 0
+    ranked = pairs.where("d IS NOT NULL").withColumns({"_size": F.abs("d"), "_zero": zero})
+    ranked = ranked.withColumns({"_rank": average_rank([*by, "_zero"], "_size"), "_ties": F.count(F.lit(1)).over(Window.partitionBy(*by, "_size")).cast("double")})
+    n = F.count_if(~F.col("_zero")).cast("double")
+    some = lambda c: F.sum(F.when(~F.col("_zero"), c))
+    g = ranked.groupBy(*by).agg(
+        F.count_if(~F.col("_zero")).alias("n_nonzero"), some(F.when(F.col("d") > 0, F.col("_rank")).otherwise(0.0)).alias("t_plus"),
+        some(F.when(F.col("d") < 0, F.col("_rank")).otherwise(0.0)).alias("t_minus"), (n * (n + 1) / 4).alias("_mean"),
+        (n * (n + 1) * (2 * n + 1) / 24 - some(F.col("_ties") * F.col("_ties") - 1) / 48).alias("_var"), *more,
     )
-    some = some.withColumns({"w": F.least("t_plus", "t_minus"), "z": (F.col("t_plus") - F.col("_mean")) / F.nullif(F.sqrt("_var"), F.lit(0.0))}).drop("_mean", "_var")
-    every = pairs.select(*by).distinct().join(some, by, "left") if by else some
-    p = F.when(F.coalesce("n_nonzero", F.lit(0)) == 0, 1.0).otherwise(two_sided_p("z"))
-    return every.withColumns({"n_nonzero": F.coalesce("n_nonzero", F.lit(0)).cast("long"), "p": p})
+    g = g.withColumns({"w": F.least("t_plus", "t_minus"), "z": (F.col("t_plus") - F.col("_mean")) / F.nullif(F.sqrt("_var"), F.lit(0.0))}).drop("_mean", "_var")
+    return g.withColumn("p", F.when(F.col("n_nonzero") == 0, 1.0).otherwise(two_sided_p("z")))
+
+
+def wilcoxon(pairs: DataFrame, by: list[str], d: str = "d") -> DataFrame:
+    """by, n_nonzero, t_plus, t_minus, w, z, p of the differences in column d."""
+    return signed_ranks(pairs.withColumn("d", col(d)), by)
+
+
+def of_pairs(pairs: DataFrame, by: list[str], least: int = 3) -> DataFrame:
+    """by, the summary of the paired differences and the signed-rank statistics; all but the counts are null under `least` pairs."""
+    g = signed_ranks(pairs, by, *_moments())
+    return _enough(g.withColumn("dz", ratio("mean_delta", "sd_delta")), (*MOMENTS, "w", "z", "p"), least)
 
 
 def contrast(cells: DataFrame, by: list[str], first: Column, second: Column, unit: str = UNIT, value: str = "score") -> DataFrame:
-    """by, the summary of the paired differences and the signed-rank statistics; p is null where the summary is."""
-    pairs = deltas(cells, by, first, second, unit, value)
-    out = summary(pairs, by).join(wilcoxon(pairs, by), by)
-    return out.withColumns({c: F.when(F.col("n") >= 3, F.col(c)) for c in ("w", "z", "p")})
+    return of_pairs(deltas(cells, by, first, second, unit, value), by)
+
+
+def with_interval(pairs: DataFrame, by: list[str], unit: str = UNIT) -> DataFrame:
+    """of_pairs with lo, hi: the interval of the mean difference over hashed resamples of the units."""
+    ends = resample.interval(resample.replicates(pairs, by, unit, ["d"]), by, F.col("d"))
+    return _enough(of_pairs(pairs, by).join(ends, by, "left"), ("lo", "hi"))
 
 
 def holm(df: DataFrame, family: list[str], p: str = "p", out: str = "p_holm", tiebreak: list[str] | None = None) -> DataFrame:
@@ -64,7 +88,8 @@ def holm(df: DataFrame, family: list[str], p: str = "p", out: str = "p_holm", ti
     m = F.count(col(p)).over(Window.partitionBy(*family))
     step = F.least(F.lit(1.0), (m - F.row_number().over(order) + 1) * col(p))
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("_step", step).withColumn(out, F.when(col(p).isNotNull(), F.max("_step").over(running))).drop("_step")
+    at = f"{out}_step"
+    return df.withColumn(at, step).withColumn(out, F.when(col(p).isNotNull(), F.max(at).over(running))).drop(at)
 
 
 def benjamini_hochberg(df: DataFrame, family: list[str], p: str = "p", out: str = "q", tiebreak: list[str] | None = None) -> DataFrame:
@@ -72,8 +97,9 @@ def benjamini_hochberg(df: DataFrame, family: list[str], p: str = "p", out: str
     order = Window.partitionBy(*family, col(p).isNull()).orderBy(col(p), *(tiebreak or []))
     m = F.count(col(p)).over(Window.partitionBy(*family))
     rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    stepped = df.withColumn("_step", F.least(F.lit(1.0), col(p) * m / F.row_number().over(order)))
-    return stepped.withColumn(out, F.when(col(p).isNotNull(), F.min("_step").over(rest))).drop("_step")
+    at = f"{out}_step"
+    stepped = df.withColumn(at, F.least(F.lit(1.0), col(p) * m / F.row_number().over(order)))
+    return stepped.withColumn(out, F.when(col(p).isNotNull(), F.min(at).over(rest))).drop(at)
 
 
 def best_iteration(cells: DataFrame, by: list[str], value: str = "score", lower_better: bool = False) -> DataFrame:
@@ -90,8 +116,8 @@ def final_iteration(df: DataFrame, by: list[str]) -> DataFrame:
 
 def main_results(cells: DataFrame) -> DataFrame:
     """arm, questionnaire: base against final iteration, dz and its label, signed-rank z and p, Holm over the rubrics of an arm."""
-    last = F.max("iteration").over(Window.partitionBy("arm"))
-    marked = cells.withColumn("_last", last).where("iteration = 0 OR iteration = _last")
+    last = cells.groupBy("arm").agg(F.max("iteration").alias("_last"))
+    marked = cells.join(last, "arm").where("iteration = 0 OR iteration = _last")
     by = ["arm", "questionnaire"]
     out = contrast(marked, by, (F.col("iteration") == F.col("_last")) & (F.col("_last") > 0), F.col("iteration") == 0)
     out = holm(out, ["arm"], tiebreak=["questionnaire"])
@@ -124,5 +150,4 @@ def vs_base(cells: DataFrame, by: list[str], unit: str = UNIT, value: str = "sco
     later = means(cells.where("iteration > 0"), [*by, "iteration", unit], value).withColumnRenamed(value, "a")
     pairs = later.join(base, [*by, unit]).where("b IS NOT NULL").withColumn("d", F.col("a") - F.col("b"))
     keys = [*by, "iteration"]
-    out = summary(pairs, keys).join(wilcoxon(pairs, keys), keys)
-    return out.withColumns({c: F.when(F.col("n") >= 3, F.col(c)) for c in ("w", "z", "p")})
+    return of_pairs(pairs, keys)

@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import average_rank, ratio
 
 
 def mean_squares(long: DataFrame, by: list[str], target: str, rater: str, value: str = "score") -> DataFrame:
-    """by, n, k, msr, msc, mse of the two-way layout without repeats; targets that lack a rater are left out."""
+    """by, n, k, msr, msc, mse of the two-way layout without repeats; targets that lack a rater are left out.
+
+    Sums of squares are taken from the grand mean and the means of targets and raters, so large levels with little spread keep their digits.
+    """
     keyed = long.groupBy(*by, target, rater).agg(F.avg(value).alias("v"))
     raters = keyed.groupBy(*by).agg(F.count_distinct(rater).alias("k"))
-    per = keyed.groupBy(*by, target).agg(F.count(F.lit(1)).alias("_own"), F.sum("v").alias("_t"), F.sum(F.col("v") * F.col("v")).alias("_t2"))
-    whole = per.join(raters, by).where("_own = k")
-    rows = keyed.join(whole.select(*by, target), [*by, target], "left_semi")
-    cols = rows.groupBy(*by, rater).agg(F.sum("v").alias("_c")).groupBy(*by).agg(F.sum(F.col("_c") * F.col("_c")).alias("cc"))
-    g = whole.groupBy(*by, "k").agg(F.count(F.lit(1)).alias("n"), F.sum("_t").alias("s"), F.sum("_t2").alias("ss"), F.sum(F.col("_t") * F.col("_t")).alias("tt")).join(cols, by)
+    own = keyed.groupBy(*by, target).agg(F.count(F.lit(1)).alias("_own"), F.avg("v").alias("_t"))
+    whole = own.join(raters, by).where("_own = k").drop("_own")
+    rows = keyed.join(whole, [*by, target])
+    cols = rows.groupBy(*by, rater).agg(F.avg("v").alias("_c"))
+    grand = whole.groupBy(*by, "k").agg(F.count(F.lit(1)).alias("n"), F.avg("_t").alias("_g"))
+    square = lambda x: x * x
+    between = whole.drop("k").join(grand, by).groupBy(*by, "n", "k").agg(F.sum(square(F.col("_t") - F.col("_g"))).alias("_r"))
+    across = cols.join(grand, by).groupBy(*by).agg(F.sum(square(F.col("_c") - F.col("_g"))).alias("_q"))
+    rest = rows.drop("k").join(cols, [*by, rater]).join(grand.drop("n", "k"), by).groupBy(*by).agg(F.sum(square(F.col("v") - F.col("_t") - F.col("_c") + F.col("_g"))).alias("_e"))
+    g = between.join(across, by).join(rest, by)
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
-    base = F.col("s") * F.col("s") / (n * k)
-    ssr, ssc = F.col("tt") / k - base, F.col("cc") / n - base
-    sse = F.col("ss") - base - ssr - ssc
-    return g.select(*by, "n", "k", ratio(ssr, n - 1).alias("msr"), ratio(ssc, k - 1).alias("msc"), ratio(sse, (n - 1) * (k - 1)).alias("mse"))
+    return g.select(*by, "n", "k", ratio(k * F.col("_r"), n - 1).alias("msr"), ratio(n * F.col("_q"), k - 1).alias("msc"), ratio("_e", (n - 1) * (k - 1)).alias("mse"))
 
 
 def icc_2_1(long: DataFrame, by: list[str], target: str, rater: str, value: str = "score") -> DataFrame:
@@ -87,14 +92,27 @@ def concordance_bins(contrasts: DataFrame, bins: list[float], by: list[str]) ->
     return c.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg((F.signum("dp") == F.signum("dh")).cast("int")).alias("agreement"))
 
 
-def rank_agreement(rows: DataFrame, by: list[str], proxy: str, outcome: str, unit: str, least: int) -> DataFrame:
-    """by, n_pairs, agreement: share of unit pairs in a group whose proxy and outcome differ in the same direction.
+def rank_agreement(rows: DataFrame, by: list[str], proxy: str, outcome: str, unit: str, least: int, bits: int = 32) -> DataFrame:
+    """by, n_pairs, agreement: share of unit pairs in a group whose proxy and outcome differ in the same direction; ties on either side are left out."""
+    g = pair_counts(rows, by, proxy, outcome, bits)
+    return g.where(F.col("n_pairs") >= least).select(*by, "n_pairs", ratio("n_same", "n_pairs").alias("agreement"))
+
+
+def pair_counts(rows: DataFrame, by: list[str], x: str, y: str, bits: int = 32) -> DataFrame:
+    """by, n_pairs, n_same: pairs of rows that differ in x and y, and those that differ in the same direction. No pair is made.
 
-    Counting concordant pairs needs each pair once. Groups are split by `by`, and large ones are joined key to key with the
-    smaller unit first, so nothing is collected; both ties are left out.
+    y is numbered within its group. Two numbers differ first at one bit: rows that agree above it are grouped, and walking a group by x
+    with a running count of its zeros and ones gives the pairs that part there. Every row is in one group per bit.
     """
-    a = rows.select(*by, F.col(unit).alias("ua"), F.col(proxy).alias("xa"), F.col(outcome).alias("ya"))
-    b = rows.select(*by, F.col(unit).alias("ub"), F.col(proxy).alias("xb"), F.col(outcome).alias("yb"))
-    pairs = a.join(b, by).where("ua < ub AND xa <> xb AND ya <> yb")
-    same = F.signum(F.col("xa") - F.col("xb")) == F.signum(F.col("ya") - F.col("yb"))
-    return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg(same.cast("int")).alias("agreement")).where(F.col("n_pairs") >= least)
+    known = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    cells = known.groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = cells.withColumn("_r", F.dense_rank().over(Window.partitionBy(*by).orderBy("_y")) - 1)
+    top = numbered.groupBy(*by).agg(F.max("_r").alias("_top"))
+    upto = F.sequence(F.lit(0), F.least(F.lit(bits - 1), F.ceil(F.log2(F.col("_top") + F.lit(2.0))).cast("int")))
+    split = numbered.join(top, by).withColumn("_b", F.explode(upto))
+    split = split.withColumns({"_p": F.expr("shiftright(_r, _b + 1)"), "_one": F.expr("shiftright(_r, _b) & 1")})
+    at_x = split.groupBy(*by, "_b", "_p", "_x").agg(F.sum(F.when(F.col("_one") == 1, F.col("_n")).otherwise(0)).alias("_ones"), F.sum(F.when(F.col("_one") == 0, F.col("_n")).otherwise(0)).alias("_zeros"))
+    below = Window.partitionBy(*by, "_b", "_p").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    seen = at_x.withColumns({"_ones_below": F.coalesce(F.sum("_ones").over(below), F.lit(0)), "_zeros_below": F.coalesce(F.sum("_zeros").over(below), F.lit(0))})
+    same, other = F.col("_ones") * F.col("_zeros_below"), F.col("_zeros") * F.col("_ones_below")
+    return seen.groupBy(*by).agg(F.sum(same + other).alias("n_pairs"), F.sum(same).alias("n_same"))
