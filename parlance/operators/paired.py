@@ -151,3 +151,10 @@ def vs_base(cells: DataFrame, by: list[str], unit: str = UNIT, value: str = "sco
     pairs = later.join(base, [*by, unit]).where("b IS NOT NULL").withColumn("d", F.col("a") - F.col("b"))
     keys = [*by, "iteration"]
     return of_pairs(pairs, keys)
+
+
+def endpoint_deltas(rows: DataFrame, by: list[str], value: str = "score", target: DataFrame | None = None) -> DataFrame:
+    """by, target_iter, base, target, delta: the means at iteration 0 and at an arm's target (arm, iteration), by default its last."""
+    at = (final_iteration(rows, ["arm"]) if target is None else target).select("arm", F.col("iteration").alias("target_iter"))
+    g = rows.join(at, "arm").groupBy(*by, "target_iter").agg(F.avg(F.when(F.col("iteration") == 0, col(value))).alias("base"), F.avg(F.when(F.col("iteration") == F.col("target_iter"), col(value))).alias("target"))
+    return g.where("base IS NOT NULL AND target IS NOT NULL").withColumn("delta", F.col("target") - F.col("base"))

@@ -68,3 +68,18 @@ def rubric_pairs(cells: DataFrame, keys: tuple[str, ...] = ("arm", "iteration",
     g = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(name).alias("q"), F.col(value).alias("v")))).alias("z"))
     later = F.transform("z", lambda x, i: F.transform(F.slice("z", i + 2, F.size("z")), lambda y: F.struct(x["q"].alias("q1"), y["q"].alias("q2"), x["v"].alias("s1"), y["v"].alias("s2"))))
     return g.select(*keys, F.explode(F.flatten(later)).alias("p")).select(*keys, "p.*")
+
+
+def largest_gap(left: DataFrame, right: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """n, largest_gap, equal: the largest difference of columns x and y over keys that both sides have."""
+    gap = F.max(F.abs(F.col("x") - F.col("y")))
+    return left.join(right, keys).agg(F.count(F.lit(1)).alias("n"), gap.alias("largest_gap"), (gap <= tolerance).alias("equal"))
+
+
+def aligned(rows: DataFrame, unit: str, traits: list[str]) -> DataFrame:
+    """n_personas, n_aligned: units for which every trait has at most one known value."""
+    g = rows.groupBy(unit).agg(*(F.count_distinct(t).alias(t) for t in traits))
+    one = F.lit(True)
+    for t in traits:
+        one = one & (F.col(t) <= 1)
+    return g.agg(F.count(F.lit(1)).alias("n_personas"), F.count_if(one).alias("n_aligned"))

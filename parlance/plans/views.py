@@ -100,6 +100,18 @@ JP = S + """, jp AS (SELECT * FROM (SELECT arm, method, k, iteration, questionna
 """
 
 
+def items_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean score per (judge, arm, method, k, iteration, persona_id, item): twelve items of a rubric."""
+    item = ((F.get_json_object("props", "$.k").cast("int") / 4).cast("int") % 12 + 1).alias("item")
+    extra = table(spark, sf_dir, "events").select("event_id", item)
+    keys = ["judge", "arm", "method", "k", "iteration", "persona_id", "item"]
+    return scores_long(spark, sf_dir).join(extra, "event_id").where("score IS NOT NULL").groupBy(*keys).agg(F.avg("score").alias("score"))
+
+
+ITEMS = S + """, it AS (SELECT judge, arm, method, k, iteration, persona_id, (json_extract_string(props,'$.k')::INT//4)%12+1 AS item, avg(score) AS score FROM s JOIN (SELECT event_id, props FROM events) USING (event_id) GROUP BY ALL)
+"""
+
+
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of groups: arm, train_iter, group_id, cand_idx, score (null where it failed), realized_turns, phase."""
     li = table(spark, sf_dir, "lineitem")
