@@ -99,8 +99,9 @@ def grouped_split(rows: DataFrame, group: str, share: float, seed: int) -> DataF
     ids = rows.select(group).distinct()
     n = ids.count()
     take = 0 if n < 2 else min(max(1, int(n * share)), n - 1)
-    chosen = ids.orderBy(F.xxhash64(F.lit(seed), F.col(group)), group).limit(take).withColumn("_eval", F.lit(True))
-    return rows.join(chosen, group, "left").withColumn("split", F.when(F.col("_eval"), "eval").otherwise("train")).drop("_eval")
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string")))
+    chosen = ids.orderBy(key, group).limit(take).withColumn("split_eval", F.lit(True))
+    return rows.join(chosen, group, "left").withColumn("split", F.when(F.col("split_eval"), "eval").otherwise("train")).drop("split_eval")
 
 
 def call_counts(gens: DataFrame, by: list[str]) -> DataFrame:

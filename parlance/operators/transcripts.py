@@ -66,3 +66,43 @@ def messages_of(transcripts: DataFrame, text: str, labels: dict[str, str], key:
     g = opened.where("pos > 0").groupBy(key, "pos").agg(F.max("_label").alias("_l"), F.sort_array(F.collect_list(F.struct("i", said.alias("s")))).alias("x"))
     role = F.coalesce(*(F.when(F.col("_l") == k, F.lit(v)) for k, v in labels.items()))
     return g.select(key, "pos", role.alias("role"), F.array_join(F.transform("x", lambda x: x["s"]), "\n\n").alias("content"))
+
+
+def message_lists(turns: DataFrame, system: str, key: str = "conv_id") -> DataFrame:
+    """key, messages, mirrored: the turns as (role, content) after a system message, and the same from the other side.
+
+    Other roles and null texts are left out.
+    """
+    rows = turns.where(F.col("role").isin("user", "assistant") & F.col("text").isNotNull()).select(key, F.struct("turn", "role", "text").alias("x"))
+    g = rows.groupBy(key).agg(F.sort_array(F.collect_list("x")).alias("x"))
+    other = lambda r: F.when(r == "user", "assistant").otherwise("user")
+    first = lambda: F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")))
+    as_is = F.transform("x", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
+    turned = F.transform("x", lambda t: F.struct(other(t["role"]).alias("role"), t["text"].alias("content")))
+    return g.select(key, F.concat(first(), as_is).alias("messages"), F.concat(first(), turned).alias("mirrored"))
+
+
+def with_parity_roles(turns: DataFrame, order: str = "turn", role: str = "role") -> DataFrame:
+    """turns whose missing role follows from their place: the therapist speaks first."""
+    return turns.withColumn(role, F.coalesce(role, F.when(F.col(order) % 2 == 0, "assistant").otherwise("user")))
+
+
+def token_tail(text: Column | str, n: int, word: str = r"\S+") -> Column:
+    """The last n tokens of a text, joined by single blanks; all of it if it has fewer."""
+    found = F.regexp_extract_all(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(word), F.lit(0))
+    return F.array_join(F.slice(found, F.greatest(F.size(found) - n + 1, F.lit(1)), n), " ")
+
+
+def prefix_seeds(turns: DataFrame, n: int, role: str, key: str = "conv_id") -> DataFrame:
+    """key, seed: the first n turns of conversations that are longer and whose n-th turn has this role."""
+    rows = turns.select(key, F.struct("turn", "role", "text").alias("x"))
+    g = rows.groupBy(key).agg(F.sort_array(F.collect_list("x")).alias("x"))
+    return g.where((F.size("x") > n) & (F.get("x", F.lit(n - 1))["role"] == role)).select(key, F.slice("x", 1, n).alias("seed"))
+
+
+def prefixes(turns: DataFrame, role: str, least: int, key: str = "conv_id") -> DataFrame:
+    """key, turn, prefix: labelled text of all turns up to and with each turn of `role` from place `least` on."""
+    w = Window.partitionBy(key).orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = F.concat(F.lit("["), F.upper("role"), F.lit("] "), F.coalesce("text", F.lit("")))
+    grown = turns.withColumns({"n": F.count(F.lit(1)).over(w), "prefix": F.array_join(F.collect_list(line).over(w), "\n\n")})
+    return grown.where((F.col("role") == role) & (F.col("n") >= least)).select(key, "turn", "prefix")

@@ -1,6 +1,6 @@
 """Every registered query of the analytics layer and its oracle SQL."""
 
-from . import contrasts, scores, studies  # noqa: F401
+from . import contrasts, scores, sessions, studies
 from .views import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "scores", "studies"]
+__all__ = ["ORACLE_SQL", "QUERIES", "contrasts", "scores", "sessions", "studies"]
