@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scan
+from .common import scan, unused
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TURN = "struct<role:string,text:string>"
@@ -14,11 +14,18 @@ _SEGMENT = "struct<start:int,end:int,text:string,body:int,trained:boolean>"
 
 def _safe(text: Column) -> Column:
     """Text that cannot be read as a control marker."""
-    return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< |"))
+    return F.replace(text, F.lit("<|"), F.lit("< |"))
+
+
+def _turns(column: str) -> Column:
+    """Turns as they are rendered: null roles are 'user', null texts empty; roles are one line without markers."""
+    plain = lambda t: F.struct(
+        F.regexp_replace(_safe(F.coalesce(t["role"], F.lit("user"))), r"[\r\n]+", " ").alias("role"), F.coalesce(t["text"], F.lit("")).alias("text"))
+    return F.coalesce(F.transform(F.col(column).cast(f"array<{TURN}>"), plain), F.array().cast(f"array<{TURN}>"))
 
 
 def _head(turn: Column) -> Column:
-    return F.concat(F.lit(OPEN), F.coalesce(turn["role"], F.lit("user")), F.lit("\n"))
+    return F.concat(F.lit(OPEN), turn["role"], F.lit("\n"))
 
 
 def _render(turn: Column) -> Column:
@@ -26,7 +33,7 @@ def _render(turn: Column) -> Column:
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """Number of leading turns that are equal in both arrays; nulls equal nulls."""
+    """Number of leading turns that are equal in both arrays."""
     equal = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
     first = F.array_position(equal, False)
     return F.when(first == 0, F.size(equal)).otherwise(first - 1).cast("int")
@@ -50,17 +57,18 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
     """pairs with n_prompt_turns, prompt, chosen_text, rejected_text and the (start, end) ranges to train on of each.
 
     chosen and rejected are arrays of (role, text). Their longest common prefix is rendered once. Equal conversations leave
-    two empty completions; a null array counts as empty; null roles are 'user', null texts empty; markers inside texts are
-    broken up. Ranges are code points of the completion, end exclusive. Other columns pass through; rows never merge.
+    two empty completions; a null array counts as empty; null roles are 'user', null texts empty, before turns are compared; markers
+    inside texts and roles are broken up. Ranges are code points of the completion, end exclusive. Columns of the five names are
+    replaced, others pass through; rows never merge; an empty table gives an empty one.
     """
-    left, right = (F.coalesce(F.col(c).cast(f"array<{TURN}>"), F.array().cast(f"array<{TURN}>")) for c in (chosen, rejected))
-    shared = common_prefix(left, right)
-    out = pairs.withColumn("n_prompt_turns", shared)
+    left, right = _turns(chosen), _turns(rejected)
+    c1, r1 = unused(pairs, "chosen_segments", "rejected_segments")
+    out = pairs.withColumn("n_prompt_turns", common_prefix(left, right))
     rest = lambda turns: F.slice(turns, F.col("n_prompt_turns") + 1, F.size(turns))
-    out = out.withColumns({"_c": _segments(rest(left)), "_r": _segments(rest(right)), "prompt": F.array_join(F.transform(F.slice(left, 1, F.col("n_prompt_turns")), _render), "")})
-    for c, name in (("_c", "chosen"), ("_r", "rejected")):
+    out = out.withColumns({c1: _segments(rest(left)), r1: _segments(rest(right)), "prompt": F.array_join(F.transform(F.slice(left, 1, F.col("n_prompt_turns")), _render), "")})
+    for c, name in ((c1, "chosen"), (r1, "rejected")):
         out = out.withColumns({f"{name}_text": F.array_join(F.transform(c, lambda s: s["text"]), ""), f"{name}_mask": _mask(F.col(c))})
-    return out.drop("_c", "_r")
+    return out.drop(c1, r1)
 
 
 def conversations_of(turns: DataFrame) -> DataFrame:
@@ -73,7 +81,8 @@ def conversations_of(turns: DataFrame) -> DataFrame:
 def swapped_reply_pairs(turns: DataFrame) -> DataFrame:
     """(conv_id, chosen, rejected): each conversation against itself with the last reply of conversation conv_id XOR 1.
 
-    Turns after the last reply are left out of both. Without a reply of its own or a neighbour with one, rejected is null.
+    Turns after the last reply are left out of both. Without a reply of its own or a neighbour with one, rejected is null. Repeated
+    turns stay, turns without conv_id belong to no conversation, an empty table gives an empty one.
     """
     convs = conversations_of(turns)
     replies = F.filter(F.transform("turns", lambda x, i: F.struct(i.alias("i"), x["role"].alias("role"), x["text"].alias("text"))), lambda x: x["role"] == "assistant")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +13,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words between ASCII blanks, and words of letters, digits and any non-ASCII character.
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
 PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A side is broadcast only when its counted rows stay under this.
-BROADCAST_ROWS = 500_000
+#: Folders of tables that the operators under way have written, innermost last.
+_WRITTEN: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests, single machine)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset a local one is made, on a local master only."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -29,16 +32,45 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, so lost executors cost no recomputation."""
+def stored(df: DataFrame, name: str, result: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there, so lost executors cost no recomputation.
+
+    Within scratch() the table goes when the block ends, unless it is the block's result.
+    """
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    open_ = _WRITTEN[:-1] if result else _WRITTEN
+    if open_:
+        open_[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if its counted rows are few; else as it is, for a shuffled join."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, whichever it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """A block whose stored tables are deleted at its end, also if it fails."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        for path in _WRITTEN.pop():
+            drop(spark, path)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def let(value: Column, body) -> Column:
@@ -74,20 +106,24 @@ def scan(items: Column, state: Column, step, emit, emitted: str, block: int = 25
     return let(items, lambda z: F.when(F.size(z) > 0, walk(z)).otherwise(nothing))
 
 
-_SPAN = "struct<start:int,end:int,hit:string,before:string>"
+_SPAN = "struct<start:int,end:int,hit:string,before:string,after:string>"
 
 
 def find_spans(text: Column, pattern: str, context: int = 40) -> Column:
-    """All leftmost non-overlapping matches with code point offsets (end exclusive) and the text just before each.
+    """All leftmost non-overlapping matches with code point offsets (end exclusive) and the text just before and after each.
 
     split() and regexp_extract_all() walk the same matches, so summed lengths of gaps and hits are offsets.
     """
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    gaps = lambda g: F.transform(g, lambda x, i: F.struct(x.alias("gap"), (F.left(F.get(g, i + 1), F.lit(context)) if context else F.lit("")).alias("after")))
+    zipped = F.zip_with(
+        let(F.split(text, pattern, -1), gaps), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda g, hit: F.struct(g["gap"].alias("gap"), g["after"].alias("after"), hit.alias("hit")),
+    )
     start = lambda at, x: at["pos"] + F.length(x["gap"])
     end = lambda at, x: start(at, x) + F.coalesce(F.length(x["hit"]), F.lit(0))
     spans = scan(
         zipped, F.struct(F.lit(0).alias("pos")), lambda at, x: F.struct(end(at, x).alias("pos")),
-        lambda at, x: F.struct(start(at, x).alias("start"), end(at, x).alias("end"), x["hit"].alias("hit"), F.right(x["gap"], F.lit(context)).alias("before")), _SPAN,
+        lambda at, x: F.struct(start(at, x).alias("start"), end(at, x).alias("end"), x["hit"].alias("hit"), F.right(x["gap"], F.lit(context)).alias("before"), x["after"].alias("after")), _SPAN,
     )
     return F.when(text.rlike(pattern), F.filter(spans, lambda s: s["hit"].isNotNull())).otherwise(F.array().cast(f"array<{_SPAN}>"))
 

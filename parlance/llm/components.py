@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
 
-def components(links: DataFrame, rounds: int = 100) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component) of all nodes of the links (a, b); component is the smallest node reachable.
 
     Each round moves every node to the neighbour, or itself, that comes first: by value in the first round, which settles
     stars at once, then by a hash that changes with the round, which shortens chains by a constant factor. Links whose ends
-    meet leave. Null ends are ignored, self links and repeats do no harm; without links there are no rows.
+    meet leave, until none is left. Null ends are ignored, self links and repeats do no harm; without links there are no rows.
     """
     e = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a < b").distinct()
     e = stored(e, "links")
     where = e.select(F.col("a").alias("node")).union(e.select(F.col("b").alias("node"))).distinct().select("node", F.col("node").alias("at"))
-    for r in range(rounds):
+    for r in itertools.count():
         if e.isEmpty():
             break
         order = (lambda c: F.col(c)) if r == 0 else (lambda c, r=r: F.xxhash64(F.lit(r), F.col(c)))

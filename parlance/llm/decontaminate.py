@@ -7,12 +7,10 @@ out of the document and compared, word by word, with the benchmark's windows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN_WORD, ascii_lower, let, small_or_shuffled, stored
+from .common import PLAIN_WORD, ascii_lower, let, scratch, stored, unused
 
 GRAM, WINDOW = 5, 10
 #: PLAIN_WORD with A-Z added: counts the same words without lower-casing first.
@@ -45,8 +43,11 @@ def _cut(words: Column, start: Column, length) -> Column:
     return F.array_join(F.slice(words, start + 1, length), " ")
 
 
+_GRAMS = "array<struct<at:int,gram:bigint,len:int>>"
+
+
 def _all_grams(words: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(i.alias("at"), F.xxhash64(_cut(words, i, n)).alias("gram")))
+    return F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(i.alias("at"), F.xxhash64(_cut(words, i, n)).alias("gram"), F.lit(n).alias("len")))
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -65,30 +66,34 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     item and none is winnowed out. Items whose id is null count in n_hit but cannot be listed. Null or empty texts have no
     words, an empty benchmark gives no rows; further columns of either table are ignored.
     """
+    with scratch(docs.sparkSession):
+        return stored(_find_contamination(docs, benchmark, window, gram), "contaminated", result=True)
+
+
+def _find_contamination(docs: DataFrame, benchmark: DataFrame, window: int, gram: int) -> DataFrame:
     windows = stored(item_windows(benchmark, window), "item-windows")
-    n_windows = windows.count()
     short = sorted(r["len"] for r in windows.where(F.col("len") < window).select("len").distinct().collect())  # below ten values
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), plain_words(F.col("text")).alias("w"))
     marks = benchmark.select(F.explode(winnowed(plain_words(F.col("text")), gram, window)).alias("m")).select(F.col("m.gram").alias("gram")).distinct()
     marks = stored(marks, "item-marks")
     found = keyed.select("doc_id", "text_key", F.explode(winnowed(F.col("w"), gram, window)).alias("m")).select("doc_id", "text_key", "m.at", "m.gram")
-    hits = [found.join(small_or_shuffled(marks, marks.count()), "gram").select("doc_id", "text_key", "at", F.lit(window).alias("len"))]
-    for n in short:
-        every = _all_grams(F.col("w"), n)
-        tiny = windows.where(F.col("len") == n).select(F.xxhash64("words").alias("gram")).distinct()
-        cut = keyed.where(F.size("w") >= n).select("doc_id", "text_key", F.explode(every).alias("m")).select("doc_id", "text_key", "m.at", "m.gram")
-        hits.append(cut.join(small_or_shuffled(tiny, n_windows), "gram").select("doc_id", "text_key", "at", F.lit(n).alias("len")))
-    at = reduce(DataFrame.union, hits).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "len")).alias("at"))
+    hits = found.join(marks, "gram").select("doc_id", "text_key", "at", F.lit(window).alias("len"))
+    if short:  # every gram of each of these lengths, in one pass over the texts
+        tiny = stored(windows.where(F.col("len") < window).select("len", F.xxhash64("words").alias("gram")).distinct(), "short-items")
+        every = F.concat(*(F.when(F.size("w") >= n, _all_grams(F.col("w"), n)).otherwise(F.array().cast(_GRAMS)) for n in short))
+        cut = keyed.select("doc_id", "text_key", F.explode(every).alias("m")).select("doc_id", "text_key", "m.at", "m.gram", "m.len")
+        hits = hits.union(cut.join(tiny, ["gram", "len"]).select("doc_id", "text_key", "at", "len"))
+    at = hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "len")).alias("at"))
     at = stored(at, "hits")
     same = [F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")), F.col("d.text_key") == F.col("h.text_key")]
     around = lambda h: F.when(h["len"] < window, F.array(h["at"])).otherwise(F.sequence(h["at"] - (window - gram), h["at"]))
     starts = F.array_distinct(F.flatten(F.transform("at", lambda h: F.transform(around(h), lambda s: F.struct(s.alias("s"), h["len"].alias("len"))))))
     narrow = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    texts = narrow.alias("d").join(small_or_shuffled(at, at.count()).alias("h"), same).select("d.doc_id", "d.text_key", plain_words(F.col("d.text")).alias("w"), starts.alias("starts"))
+    texts = narrow.alias("d").join(at.alias("h"), same).select("d.doc_id", "d.text_key", plain_words(F.col("d.text")).alias("w"), starts.alias("starts"))
     inside = F.filter("starts", lambda x: (x["s"] >= 0) & (x["s"] + x["len"] <= F.size("w")))
     cut = texts.select("doc_id", "text_key", F.explode(let(F.col("w"), lambda w: F.transform(inside, lambda x: F.struct(x["s"].alias("s"), x["len"].alias("len"), _cut(w, x["s"], x["len"]).alias("words"))))).alias("x"))
     cut = cut.select("doc_id", "text_key", "x.s", "x.len", "x.words")
-    met = cut.join(small_or_shuffled(windows, n_windows), ["words", "len"]).select("doc_id", "text_key", "s", "len", "items")
+    met = cut.join(windows, ["words", "len"]).select("doc_id", "text_key", "s", "len", "items")
     spans = met.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("s", "len"))).alias("spans"), F.collect_set("items").alias("items"))
 
     def cover(acc, x):
@@ -96,14 +101,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         return F.struct(end.alias("end"), (acc["n"] + end - F.greatest(acc["end"], x["s"])).alias("n"))
 
     n_hit = F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), cover, lambda a: a["n"].cast("long"))
-    return stored(spans.select("doc_id", "text_key", n_hit.alias("n_hit"), F.sort_array(F.array_distinct(F.flatten("items"))).alias("items")), "contaminated")
+    return spans.select("doc_id", "text_key", n_hit.alias("n_hit"), F.sort_array(F.array_distinct(F.flatten("items"))).alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those in which a window of a benchmark item occurs; all columns and all other rows stay."""
     found = find_contamination(docs, benchmark)
-    hit = small_or_shuffled(found.select(F.col("doc_id").alias("_hit_id"), F.col("text_key").alias("_hit_key")), found.count())
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("_hit_id")) & (F.xxhash64(docs["text"]) == F.col("_hit_key")), "left_anti")
+    ident, key = unused(docs, "hit_id", "hit_key")
+    hit = found.select(F.col("doc_id").alias(ident), F.col("text_key").alias(key))
+    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col(ident)) & (F.xxhash64(docs["text"]) == F.col(key)), "left_anti")
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -111,7 +117,7 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = find_contamination(docs, benchmark)
     every = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_ANY_CASE_WORD)).cast("long").alias("n_words"))
     same = F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_key") == F.col("h.text_key"))
-    joined = every.alias("d").join(small_or_shuffled(found, found.count()).alias("h"), same, "left")
+    joined = every.alias("d").join(found.alias("h"), same, "left")
     items = F.coalesce(F.array_join("h.items", ","), F.lit(""))
     n_hit = F.coalesce("h.n_hit", F.lit(0)).cast("long")
     return joined.select(

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytekit as bk
-from .common import small_or_shuffled, stored
+from .common import scratch, stored, unused
 from .components import components
 
 WORDS, PERCENT = 3, 85
@@ -30,10 +30,17 @@ _SIGNED = "doc_id long, n long, key_a long, key_b long, bands array<long>"
 
 def _sets(column: pa.Array, words: int):
     """Sorted distinct shingle hashes of each text, in order; texts without words give empty arrays."""
-    for _, _, data, offsets in bk.chunks(column, _CHUNK):
+    held = []
+    for _, _, data, offsets, last in bk.pieces(column, _CHUNK):
         small = bk.lower(data)
         start, end, row = bk.words(small, offsets)
         h = bk.range_hash(bk.prefix(small), start, end)
+        if not last:  # a long text is hashed piece by piece
+            held.append(h)
+            continue
+        if held:
+            h, held = np.concatenate([*held, h]), []
+            row = np.zeros(len(h), np.int64)
         at = np.searchsorted(row, np.arange(len(offsets)))
         m = max(0, len(h) - words + 1)
         mixed = np.zeros(m, np.uint64)
@@ -78,6 +85,11 @@ def _band_hashes(values: np.ndarray, start: np.ndarray, bands: int) -> np.ndarra
     return out.T
 
 
+def _set_keys(values: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums over the items of each set, which name it together with its size."""
+    return np.add.reduceat(bk.mixed(values), start), np.add.reduceat(bk.mixed(values ^ np.uint64(0xD6E8FEB86659FD93)), start)
+
+
 def _sign(words: int, n_bands: int):
     def run(batches):
         for batch in batches:
@@ -92,8 +104,7 @@ def _sign(words: int, n_bands: int):
                 if len(full):
                     values = np.concatenate([sets[i] for i in full])
                     start = np.append(0, np.cumsum(n[full])[:-1])
-                    a[full] = np.add.reduceat(bk.mixed(values), start)
-                    b[full] = np.add.reduceat(bk.mixed(values ^ np.uint64(0xD6E8FEB86659FD93)), start)
+                    a[full], b[full] = _set_keys(values, start)
                     bands[full] = _band_hashes(values, start, n_bands)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * n_bands), pa.array(bands.ravel().view(np.int64)))
                 return pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), pa.array(n.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists], names=["doc_id", "n", "key_a", "key_b", "bands"])
@@ -116,9 +127,9 @@ def _cut_sets(words: int):
             sets = [s for s in _sets(batch.column(0), words) if len(s)]
             ends = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32)
             values = np.concatenate([*sets, np.zeros(0, np.uint64)])
-            keys = np.add.reduceat(bk.mixed(values), ends[:-1]) if sets else values
+            keys = _set_keys(values, ends[:-1]) if sets else (values, values)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), lists], names=["key", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.diff(ends).astype(np.int64)), *(pa.array(k.view(np.int64)) for k in keys), lists], names=["n", "key_a", "key_b", "items"])
 
     return run
 
@@ -159,16 +170,22 @@ def _alike_off_centre(rest: DataFrame, sets: DataFrame, percent: int) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text).
+    """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text), as a stored table.
 
     Rows of one id are one document whose links add up. A null id is linked with nothing: component_id is null and kept true.
     Null, empty and blank texts have no shingles and no links; texts under `words` words are one shingle. An empty table
     gives an empty one; further columns of docs are left out.
     """
+    with scratch(docs.sparkSession):
+        return stored(_near_duplicates(docs, words, percent), "near-duplicates", result=True)
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     signed = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign(words, bands_for(percent)), _SIGNED), "signed")
     named = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("n", F.col("key_a").alias("key"), "key_b").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    classes = stored(classes, "classes")
+    name = ["n", "key_a", "key_b"]
+    classes = named.groupBy(*name).agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+    classes = stored(classes.withColumn("key", F.monotonically_increasing_id()), "classes")  # numbers hold once they are written
     buckets = classes.select("key", "id", "n", F.explode("bands").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     inside = stored(buckets.join(sizes, "bucket"), "inside")
@@ -180,10 +197,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     star = members.where((F.col("key") != F.col("top.key")) & fits(F.col("n"), F.col("top.n")))
     pairs = stored(_pair(star, "key", "top.key").distinct(), "pairs")
     ids = stored(members.select("id").distinct(), "ids")
-    asked = docs.join(small_or_shuffled(ids, ids.count()), docs["doc_id"].cast("long") == ids["id"], "left_semi").select("text")
-    sets = stored(asked.mapInArrow(_cut_sets(words), "key long, items array<long>").dropDuplicates(["key"]), "sets")
+    asked = docs.join(ids, docs["doc_id"].cast("long") == ids["id"], "left_semi").select("text")
+    cut = asked.mapInArrow(_cut_sets(words), "n long, key_a long, key_b long, items array<long>").dropDuplicates(name)
+    sets = stored(cut.join(classes.select(*name, "key"), name).select("key", "items"), "sets")
     whose = classes.select("key", "id")
-    copies = named.join(whose, named["key_a"] == whose["key"]).where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    copies = named.select("doc_id", *name).join(classes.select(*name, "id"), name).where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
 
     def documents(linked):
         a = linked.join(whose, F.col("a") == F.col("key")).select(F.col("id").alias("a"), "b")
@@ -207,8 +225,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 def without_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each group, the one with the smallest id; all columns stay, rows that repeat an id too."""
-    drop = stored(near_duplicates(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias("_drop")).distinct(), "dropped")
-    return docs.join(small_or_shuffled(drop, drop.count()), docs["doc_id"].cast("long") == F.col("_drop"), "left_anti")
+    (gone,) = unused(docs, "gone")
+    drop = near_duplicates(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(drop, docs["doc_id"].cast("long") == F.col(gone), "left_anti")
 
 
 def digest(docs: DataFrame) -> DataFrame:

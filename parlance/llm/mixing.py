@@ -1,127 +1,145 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions only.
 
-Tokens are summed by (source, language, topic) cell; the cells' weights are raked to the marginals until each one fits; a
-document is kept with the probability that brings its cell to its weight.
+Tokens are summed by (source, language, topic) cell; the cells' weights are raked to the marginals, never above what a cell has, until
+each one fits; a document is kept with the probability that brings its cell to its weight.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK_WORD, small_or_shuffled, stored
+from .common import BLANK_WORD, scratch, stored, unused
 
 DIMS = ("source", "lang", "topic")
 #: Marginal targets are tokens to this power, normalised; 1 leaves a marginal as it is, 0 makes it even.
 TEMPERATURE = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 KEPT_SHARE, SEED = 0.5, 17
 _NONE = "\u0000"
-#: Tables of cells up to this many rows are raked in one task, where windows and sums need no shuffle; larger ones are dealt out.
-CELLS_TOGETHER = 10_000
+#: Cells of a task that rakes.
+CELLS_PER_TASK = 100_000
+#: Words and signs that tell topics apart, the first that fits counts; texts with none are prose.
+TOPICS = {
+    "legal": r"(?i)(?<![a-z])(?:licen[sc]e|copyright|warranty|liability|terms of use)(?![a-z])",
+    "contact": r"[A-Za-z0-9]@[A-Za-z0-9-]+\.|(?i)(?<![a-z])(?:phone|fax|address)(?![a-z])",
+    "web": r"https?://|</[a-z]|<[a-z]+>|&[a-z]+;",
+    "code": r"[{};]\s*\n|\(\)|==|:=|#include|(?<![a-z])(?:def|import|return)\x20",
+    "data": r"[0-9][0-9.,:/|-]*[ \t|,;]+[0-9][0-9.,:/|-]*[ \t|,;]+[0-9]|\|[^|\n]*\|",
+    "dialogue": r"\?\s",
+}
 
 
 def topic_of(text: Column) -> Column:
-    """Coarse topic by structure: tables, lists, short notes, long reads, other prose. Null and empty texts are 'empty'."""
+    """Topic by the first of TOPICS whose words or signs a text holds, else 'prose'. Null and empty texts are 'empty'."""
     whole = F.coalesce(text, F.lit(""))
-    size = F.length(whole)
-    bars = size - F.length(F.replace(whole, F.lit("|"), F.lit("")))
-    lines = size - F.length(F.replace(whole, F.lit("\n"), F.lit("")))
-    return (
-        F.when(size == 0, "empty").when(bars * 40 > size, "table").when(lines * 60 > size, "list")
-        .when(size < 400, "note").when(size > 8000, "long").otherwise("prose")
-    )
+    out = F.when(whole == "", "empty")
+    for name, pattern in TOPICS.items():
+        out = out.when(whole.rlike(pattern), name)
+    return out.otherwise("prose")
 
 
 def n_tokens(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(BLANK_WORD)).cast("long")
 
 
-def _with_cells(docs: DataFrame, topic: Column | None) -> DataFrame:
+def _keyed(docs: DataFrame, topic: Column | None, names: list[str]) -> DataFrame:
+    """docs with the keys of each document's cell and its tokens, under these names."""
     topic = topic_of(F.col("text")) if topic is None else topic
-    key = {f"_{d}": F.coalesce(F.col(d).cast("string"), F.lit(_NONE)) for d in DIMS[:2]}
-    return docs.withColumns(key | {"_topic": F.coalesce(topic, F.lit(_NONE)), "_tokens": n_tokens(F.col("text"))})
+    values = [*(F.col(d).cast("string") for d in DIMS[:2]), topic]
+    return docs.withColumns({n: F.coalesce(v, F.lit(_NONE)) for n, v in zip(names, values, strict=False)} | {names[3]: n_tokens(F.col("text"))})
 
 
-def _gathered(cells: DataFrame, rows: int) -> DataFrame:
-    return cells.coalesce(1) if rows <= CELLS_TOGETHER else cells
+def _dealt(cells: DataFrame, rows: int) -> DataFrame:
+    return cells.coalesce(-(-max(rows, 1) // CELLS_PER_TASK))
 
 
 def default_targets(cells: DataFrame) -> dict[str, DataFrame]:
-    """Per dimension (value, share): tokens to the power TEMPERATURE, normalised."""
+    """Per dimension (value, target): the share of tokens to the power TEMPERATURE, normalised."""
     out = {}
     for d in DIMS:
-        sums = cells.groupBy(f"_{d}").agg(F.sum("tokens").alias("t")).where("t > 0").withColumn("p", F.pow("t", F.lit(TEMPERATURE[d])))
+        sums = cells.groupBy(d).agg(F.sum("tokens").alias("t")).where("t > 0").withColumn("p", F.pow("t", F.lit(TEMPERATURE[d])))
         total = sums.agg(F.sum("p")).first()[0] or 1.0
-        out[d] = sums.select(f"_{d}", (F.col("p") / total).alias(f"target_{d}"))
+        out[d] = sums.select(d, (F.col("p") / total).alias("target"))
     return out
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-7, max_rounds: int = 60, per_job: int = 3) -> DataFrame:
-    """cells (keys, tokens) with `weight`, whose sums along each dimension are the targets'.
+def reachable(cells: DataFrame, dim: str, targets: DataFrame, share: float) -> DataFrame:
+    """(value, goal): targets as tokens of a sample of `share` of all, none above what its value has; what is cut goes to the others.
 
-    A round multiplies the weights by target over sum, dimension after dimension. Cells without tokens stay at weight 0;
-    a value without a target keeps its present share. Stops when no marginal is off by more than `tolerance` or after
-    `max_rounds`, as happens with contradictory targets.
+    A value without a target keeps its share of tokens.
     """
-    start = cells.where("tokens > 0")
-    total = start.agg(F.sum("tokens")).first()[0]
-    w = start.withColumn("weight", F.col("tokens") / F.lit(float(total or 1)))
+    have = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("have"))
+    total = have.agg(F.sum("have")).first()[0] or 0.0
+    both = stored(have.join(targets, dim, "left").select(dim, "have", F.coalesce("target", F.col("have") / F.lit(total or 1.0)).alias("target")), "targets")
+    kept = lambda scale: F.sum(F.least("have", F.col("target") * F.lit(scale * total)))
+    enough = share * total * (1 - 1e-12)
+    low, high = 0.0, 1.0
+    while high < 2.0**40 and (both.agg(kept(high)).first()[0] or 0.0) < enough:
+        low, high = high, high * 4
+    for _ in range(8):  # each pass over the few values narrows the scale sixteen times
+        grid = [low + (high - low) * i / 16 for i in range(1, 17)]
+        sums = both.agg(*(kept(g).alias(f"s{i}") for i, g in enumerate(grid))).first()
+        at = next((i for i, x in enumerate(sums) if (x or 0.0) >= enough), 15)
+        low, high = (grid[at - 1] if at else low), grid[at]
+    return both.select(dim, F.least("have", F.col("target") * (high * total)).alias(f"goal_{dim}"))
+
+
+def rake(cells: DataFrame, goals: dict[str, DataFrame], share: float, tolerance: float = 1e-6, max_rounds: int = 120, per_job: int = 5) -> DataFrame:
+    """cells (keys, tokens) with `weight`, tokens to keep of each: at most what it has, and by each dimension the goals in sum.
+
+    A round multiplies the weights by goal over sum and cuts them at what a cell has, dimension after dimension; what is cut is
+    made up by the others in the rounds that follow. Stops when no sum is off by more than `tolerance` of all tokens, or after
+    `max_rounds`, as happens with goals that contradict each other; `off` says by how much of all tokens the worst sum is off.
+    """
+    w = cells.where("tokens > 0").withColumn("weight", F.col("tokens") * F.lit(float(share)))
+    total = float(w.agg(F.sum("tokens")).first()[0] or 1)
     for d in DIMS:
-        w = w.join(targets[d], f"_{d}", "left")
+        w = w.join(goals[d], d)
     w = stored(w, "cells")
-    rows = w.count()
-    have = {d: F.sum("weight").over(Window.partitionBy(f"_{d}")) for d in DIMS}
+    rows, off = w.count(), None
+    have = {d: F.sum("weight").over(Window.partitionBy(d)) for d in DIMS}  # cells, not documents; a join with sums would run the plan twice a step
     for _ in range(0, max_rounds, per_job):
-        w = _gathered(w, rows)
+        w = _dealt(w, rows)
         for _ in range(per_job):
             for d in DIMS:
-                w = w.withColumn("weight", F.col("weight") * F.coalesce(F.col(f"target_{d}"), have[d]) / have[d])
+                w = w.withColumn("weight", F.least(F.col("tokens").cast("double"), F.col("weight") * F.col(f"goal_{d}") / have[d]))
         w = stored(w, "raked")
-        off = F.greatest(*(F.abs(have[d] - F.coalesce(F.col(f"target_{d}"), have[d])) for d in DIMS))
-        if (_gathered(w, rows).select(off.alias("off")).agg(F.max("off")).first()[0] or 0.0) <= tolerance:
+        worst = [_dealt(w, rows).groupBy(d).agg((F.abs(F.sum("weight") - F.first(f"goal_{d}")) / total).alias("off")) for d in DIMS]
+        off = worst[0].union(worst[1]).union(worst[2]).agg(F.max("off")).first()[0] or 0.0
+        if off <= tolerance:
             break
-    return w.select(*(f"_{d}" for d in DIMS), "tokens", "n_docs", "weight")
-
-
-def calibrated(cells: DataFrame, share: float) -> DataFrame:
-    """cells with the probability min(1, scale * weight / tokens) whose expected tokens are `share` of all."""
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    ratio = F.col("weight") / F.col("tokens")
-    goal, low, high = share * total, 0.0, None
-    top = cells.where("weight > 0").agg(F.min(ratio)).first()[0]
-    if not total or not top:
-        return cells.withColumn("probability", F.lit(float(share)))
-    high = 1.0 / top
-    for _ in range(6):  # each pass over the few cells narrows the scale thirty-two times
-        grid = [low + (high - low) * i / 32 for i in range(1, 33)]
-        sums = cells.agg(*(F.sum(F.least(F.lit(1.0), ratio * g) * F.col("tokens")).alias(f"s{i}") for i, g in enumerate(grid))).first()
-        at = next((i for i, s in enumerate(sums) if s >= goal), 31)
-        low, high = (grid[at - 1] if at else low), grid[at]
-    return cells.withColumn("probability", F.round(F.least(F.lit(1.0), ratio * F.lit(high)), 9))
+    return w.select(*DIMS, "tokens", "n_docs", "weight", F.lit(off or 0.0).alias("off"))
+
+
+def cell_probabilities(cells: DataFrame, share: float, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(source, lang, topic, tokens, n_docs, weight, off, probability) of cells (source, lang, topic, tokens, n_docs)."""
+    targets = targets or default_targets(cells)
+    goals = {d: reachable(cells, d, targets[d], share) for d in DIMS}
+    raked = rake(cells, goals, share)
+    return raked.withColumn("probability", F.round(F.least(F.lit(1.0), F.col("weight") / F.col("tokens")), 9))
 
 
 def mix(docs: DataFrame, share: float = KEPT_SHARE, seed: int = SEED, topic: Column | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """docs with topic, n_tokens, probability, sample_weight (1 / probability) and kept.
 
-    Marginal values that are null form a value of their own. A document without tokens is kept with probability `share`. The
-    draw is a hash of seed, doc_id and text: repeats of a row share its fate, and a rerun draws alike. An empty table gives
-    an empty one; columns of the same names are replaced, all others pass through.
+    `targets` holds (value, target) by dimension, shares that add up to one. Marginal values that are null form a value of their
+    own. A document without tokens is kept with probability `share`. The draw is a hash of seed, doc_id and text: repeats of a row
+    share its fate, and a rerun draws alike. An empty table gives an empty one; columns of the five names are replaced, all others pass
+    through.
     """
-    keyed = _with_cells(docs, topic)
-    keys = [f"_{d}" for d in DIMS]
-    cells = stored(keyed.groupBy(*keys).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("n_docs")), "token-cells")
-    cells = _gathered(cells, cells.count())
-    raked = rake(cells, targets or default_targets(cells))
-    probs = stored(calibrated(raked, share).select(*keys, F.col("probability").alias("_p")), "probabilities")
-    joined = keyed.join(small_or_shuffled(probs, probs.count()), keys, "left").withColumn("_p", F.coalesce("_p", F.lit(float(share))))
+    names = unused(docs, *(f"cell_{d}" for d in DIMS), "cell_tokens", "cell_p")
+    keyed = _keyed(docs, topic, names)
+    with scratch(docs.sparkSession):
+        cells = keyed.groupBy(*(F.col(n).alias(d) for n, d in zip(names, DIMS, strict=False))).agg(F.sum(names[3]).alias("tokens"), F.count("*").alias("n_docs"))
+        cells = stored(cells, "token-cells")
+        cells = _dealt(cells, cells.count())
+        probs = stored(cell_probabilities(cells, share, targets).select(*(F.col(d).alias(n) for n, d in zip(names, DIMS, strict=False)), F.col("probability").alias(names[4])), "probabilities", result=True)
+    p = F.coalesce(names[4], F.lit(float(share)))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    out = joined.withColumns({
-        "topic": F.when(F.col("_topic") == _NONE, None).otherwise(F.col("_topic")), "n_tokens": F.col("_tokens"), "probability": F.col("_p"),
-        "sample_weight": F.round(1 / F.nullif(F.col("_p"), F.lit(0.0)), 9), "kept": draw < F.col("_p"),
+    out = keyed.join(probs, names[:3], "left").withColumns({
+        "topic": F.nullif(F.col(names[2]), F.lit(_NONE)), "n_tokens": F.col(names[3]), "probability": p, "sample_weight": F.round(1 / F.nullif(p, F.lit(0.0)), 9), "kept": draw < p,
     })
-    return out.drop("_p", "_tokens", *keys)
+    return out.select(*(c for c in out.columns if c not in names))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import find_spans, scan, span_digest
+from .common import find_spans, let, scan, span_digest, unused
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Kinds in their order of listing; the first three are the base.
@@ -24,10 +24,13 @@ NEEDS = {"ident": ("secret",), "weak": ("id",), "endpoint": ("id", "secret")}
 #: Code points on either side of a part in which its complements count.
 SCOPE = 200
 STRONG_LENGTH, WEAK_LENGTH = 12, 6
-_PART = "struct<start:int,rank:int,end:int,kind:string,value:string>"
-_NEAR = "struct<start:int,rank:int,end:int,kind:string,value:string,id:int,secret:int,endpoint:int>"
-_BOTH = _NEAR[:-1] + ",id_after:int,secret_after:int,endpoint_after:int>"
 _ROLES = ("id", "secret", "endpoint")
+_FIELDS = ("start", "rank", "end", "kind", "value")
+_PART = "struct<start:int,rank:int,end:int,kind:string,value:string,links:array<int>>"
+_AT = "start:int,rank:int,end:int,kind:string,value:string"
+_MET = ",".join(f"{r}_start:int,{r}_end:int" for r in _ROLES)
+_NEAR = f"struct<{_AT},{_MET}>"
+_BOTH = f"struct<{_AT},{_MET},{','.join(f'{r}_after:int' for r in _ROLES)}>"
 
 
 def _parts(text: Column, kind: str) -> Column:
@@ -44,65 +47,74 @@ def _of_role(x: Column, role: str) -> Column:
 
 
 def _linked(parts: Column, scope: int) -> Column:
-    """Interval join of the parts of one text by two sweeps: nearest part of each role before and after."""
-    fields = ("start", "rank", "end", "kind", "value")
+    """Interval join of the parts of one text by two sweeps: the nearest part of each role before and after, by its start."""
     copy = lambda x, names: [x[n].alias(n) for n in names]
-    none = F.struct(*(F.lit(None).cast("int").alias(r) for r in _ROLES))
-    forward = scan(
-        parts, none, lambda at, x: F.struct(*(F.when(_of_role(x, r), F.greatest(at[r], x["end"])).otherwise(at[r]).alias(r) for r in _ROLES)),
-        lambda at, x: F.struct(*copy(x, fields), *copy(at, _ROLES)), _NEAR,
-    )
+    met = [f"{r}_{e}" for r in _ROLES for e in ("start", "end")]
+    none = F.struct(*(F.lit(None).cast("int").alias(n) for n in met))
+
+    def before(at, x):
+        later = lambda r: _of_role(x, r) & (F.coalesce(at[f"{r}_end"], F.lit(-1)) <= x["end"])
+        return F.struct(*(F.when(later(r), x[e]).otherwise(at[f"{r}_{e}"]).alias(f"{r}_{e}") for r in _ROLES for e in ("start", "end")))
+
+    forward = scan(parts, none, before, lambda at, x: F.struct(*copy(x, _FIELDS), *copy(at, met)), _NEAR)
+    nothing = F.struct(*(F.lit(None).cast("int").alias(r) for r in _ROLES))
     both = scan(
-        F.reverse(forward), none, lambda at, x: F.struct(*(F.when(_of_role(x, r), x["start"]).otherwise(at[r]).alias(r) for r in _ROLES)),
-        lambda at, x: F.struct(*copy(x, (*fields, *_ROLES)), *(at[r].alias(f"{r}_after") for r in _ROLES)), _BOTH,
+        F.reverse(forward), nothing, lambda at, x: F.struct(*(F.when(_of_role(x, r), x["start"]).otherwise(at[r]).alias(r) for r in _ROLES)),
+        lambda at, x: F.struct(*copy(x, (*_FIELDS, *met)), *(at[r].alias(f"{r}_after") for r in _ROLES)), _BOTH,
     )
 
-    def near(x, role):
-        return F.coalesce(x["start"] - x[role] <= scope, F.lit(False)) | F.coalesce(x[f"{role}_after"] - x["end"] <= scope, F.lit(False))
+    def partner(x, role):
+        """Start of the nearer part of a role within the scope; null if there is none. A part that overlaps is at distance zero."""
+        left = F.when(x["start"] - x[f"{role}_end"] <= scope, F.greatest(x["start"] - x[f"{role}_end"], F.lit(0)))
+        right = F.when(x[f"{role}_after"] - x["end"] <= scope, F.greatest(x[f"{role}_after"] - x["end"], F.lit(0)))
+        return F.when(left.isNotNull() & (right.isNull() | (left <= right)), x[f"{role}_start"]).when(right.isNotNull(), x[f"{role}_after"])
 
-    def kept(x):
-        ok = x["kind"].isin(list(BASE))
-        for kind, roles in NEEDS.items():
-            met = F.lit(True)
-            for r in roles:
-                met = met & near(x, r)
-            ok = ok | ((x["kind"] == kind) & met)
-        return ok
+    def linked(x):
+        asked = {k: NEEDS.get(k, ("secret",) if ROLE[k] == "id" else ("id",)) for k in PATTERNS}
+        links = F.lit(None).cast("array<int>")
+        for kind, roles in asked.items():
+            links = F.when(x["kind"] == kind, F.array(*(partner(x, r) for r in roles))).otherwise(links)
+        return F.struct(*copy(x, _FIELDS), links.alias("links"))
 
-    return F.transform(F.filter(both, kept), lambda x: F.struct(*copy(x, fields)))
+    whole = lambda x: x["kind"].isin(list(BASE)) | ~F.exists(x["links"], lambda y: y.isNull())
+    return F.transform(F.filter(F.transform(both, linked), whole), lambda x: F.struct(*copy(x, _FIELDS), F.array_compact(x["links"]).alias("links")))
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", into: str = "secrets", scope: int = SCOPE) -> DataFrame:
-    """docs with a column `into`: array of (start, rank, end, kind, value) by start, then kind as listed.
+    """docs with a column `into`: array of (start, rank, end, kind, value, links) by start, then kind as listed.
 
-    Base kinds (assign, access, hex) are always reported. Weak ones - an identifier, a short secret, an endpoint - only when
+    links holds the starts of the parts that complete it: for a secret or an identifier the nearest of the other kind, for an
+    endpoint both. Base kinds (assign, access, hex) are always reported, linked or not. Weak ones - an identifier, a short secret, an endpoint - only when
     their complements stand within `scope` code points in the same text. The interval join sweeps the sorted parts of one
     text, so no pair is emitted and nothing is shuffled. Null texts count as empty; each row, repeated or not, has a result
     of its own; other columns pass through, one named `into` is replaced.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     weak_kinds = [k for k in PATTERNS if k not in BASE]
-    strong = F.concat(*(_parts(whole, k) for k in BASE))
-    weak = F.concat(*(_parts(whole, k) for k in weak_kinds))
-    out = docs.withColumn("_strong", strong).withColumn("_weak", weak)
-    linked = F.sort_array(_linked(F.sort_array(F.concat("_strong", "_weak")), scope))
-    return out.withColumn(into, F.when(F.size("_weak") > 0, linked).otherwise(F.sort_array("_strong"))).drop("_strong", "_weak")
+    strong, weak = unused(docs, "strong_parts", "weak_parts")
+    alone = F.transform(strong, lambda x: F.struct(*(x[n].alias(n) for n in _FIELDS), F.array().cast("array<int>").alias("links")))
+    out = docs.withColumns({strong: F.concat(*(_parts(whole, k) for k in BASE)), weak: F.concat(*(_parts(whole, k) for k in weak_kinds))})
+    linked = F.sort_array(_linked(F.sort_array(F.concat(strong, weak)), scope))
+    some = (F.size(weak) > 0) | F.exists(strong, lambda x: _of_role(x, "id"))
+    return out.withColumn(into, F.when(some, linked).otherwise(F.sort_array(alone))).drop(strong, weak)
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "<secret>") -> DataFrame:
-    """docs whose reported secrets are replaced by `mark`. Overlapping spans become one mark."""
-    found = scan_secrets(docs, text, into="_found").withColumn("_whole", F.coalesce(F.col(text), F.lit("")))
+    """docs whose reported secrets are replaced by `mark`. Overlapping spans become one mark.
+
+    Texts without a secret, null ones too, stay as they are; all other columns pass through, whatever their names.
+    """
+    spans, plain = unused(docs, "secret_spans", "plain_text")
+    found = scan_secrets(docs, text, into=spans).withColumn(plain, F.coalesce(F.col(text), F.lit("")))
     pieces = scan(
-        F.col("_found"), F.struct(F.lit(0).alias("pos")), lambda at, x: F.struct(F.greatest(at["pos"], x["end"]).alias("pos")),
+        F.col(spans), F.struct(F.lit(0).alias("pos")), lambda at, x: F.struct(F.greatest(at["pos"], x["end"]).alias("pos")),
         lambda at, x: F.struct(at["pos"].alias("from"), x["start"].alias("to"), F.greatest(at["pos"], x["end"]).alias("end")), "struct<from:int,to:int,end:int>",
     )
-    body = let_pieces(pieces, F.col("_whole"), mark)
-    return found.withColumn(text, F.when(F.size("_found") > 0, body).otherwise(F.col(text))).drop("_found", "_whole")
+    body = let_pieces(pieces, F.col(plain), mark)
+    return found.withColumn(text, F.when(F.size(spans) > 0, body).otherwise(F.col(text))).drop(spans, plain)
 
 
 def let_pieces(pieces: Column, whole: Column, mark: str) -> Column:
-    from .common import let
-
     def join(p):
         cut = F.transform(p, lambda x: F.when(x["to"] >= x["from"], F.concat(F.substr(whole, x["from"] + 1, x["to"] - x["from"]), F.lit(mark))).otherwise(F.lit("")))
         return F.concat(F.array_join(cut, ""), F.substr(whole, F.element_at(p, -1)["end"] + 1))
@@ -111,8 +123,10 @@ def let_pieces(pieces: Column, whole: Column, mark: str) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns from scan_secrets()."""
-    found = scan_secrets(docs.select("doc_id", "text"), into="_spans").select("doc_id", "_spans")
-    base = F.filter("_spans", lambda s: s["rank"] < len(BASE))
-    count = lambda k: F.size(F.filter("_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *(count(k) for k in PATTERNS), F.sha2(span_digest(base), 256).alias("base_sha256"), span_digest(F.col("_spans")).alias("spans"))
+    """The contract's columns from scan_secrets(), and links: start>start of the parts that complete each other, comma-joined."""
+    found = scan_secrets(docs.select("doc_id", "text"), into="found").select("doc_id", "found")
+    base = F.filter("found", lambda s: s["rank"] < len(BASE))
+    count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    pairs = F.flatten(F.transform("found", lambda s: F.transform(s["links"], lambda x: F.concat_ws(">", s["start"].cast("string"), x.cast("string")))))
+    return found.select(
+        "doc_id", *(count(k) for k in PATTERNS), F.sha2(span_digest(base), 256).alias("base_sha256"), span_digest(F.col("found")).alias("spans"), F.array_join(pairs, ",").alias("links"))

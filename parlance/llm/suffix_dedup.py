@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytekit as bk
-from .common import new_folder, stored
+from .common import new_folder, scratch, stored
 
 LENGTH = 100
 #: Size of the filter that keeps grams seen once from being shuffled a second time: 2**26 bits, whatever the corpus. A larger
@@ -195,13 +195,12 @@ def _cut_runs(rows: DataFrame, size: int, length: int) -> DataFrame:
     return rows.select("doc", "var", F.explode(F.array_compact(F.array(*parts))).alias("x")).select("x.rank", "x.name", "doc", "x.spot", "var", "x.low", "x.bytes")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame, str]:
-    """(docs as (doc, var, text) bucketed by doc, (doc, spans) of the bytes to remove, name of the bucketed table)."""
+def repeated_spans(docs: DataFrame, length: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """(docs as (doc, var, text) in a new table of that name, bucketed by doc; (doc, spans) of the bytes to remove)."""
     spark = docs.sparkSession
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("doc"), "text")
     twice = not ids.groupBy("doc").count().where("count > 1").isEmpty()
     narrow = ids.select("doc", (F.xxhash64("text") if twice else F.lit(0).cast("long")).alias("var"), F.coalesce("text", F.lit("")).alias("text"))
-    name = new_folder(spark, "texts").rsplit("/", 1)[1].replace("-", "_")
     buckets = max(8, min(2000, docs.rdd.getNumPartitions() // 2))
     narrow.write.option("compression", "zstd").bucketBy(buckets, "doc").saveAsTable(name)
     table = spark.table(name)
@@ -235,7 +234,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
             first = stored(_open(classes), f"open-{size}")
             rows = runs.join(first, ["rank", "name", "doc", "spot", "var"]).drop("name")
     every = reduce(DataFrame.union, found)
-    return table, by_doc(every, spans=F.struct("var", "start", "end")), name
+    return table, by_doc(every, spans=F.struct("var", "start", "end"))
 
 
 def _keep(batches):
@@ -266,12 +265,16 @@ def _keep(batches):
 
 
 def _result(docs: DataFrame, length: int, columns: list[str]) -> DataFrame:
-    table, spans, name = repeated_spans(docs, length)
-    joined = table.join(spans, "doc", "left").select("doc", "var", "text", "spans")
-    out = joined.mapInArrow(_keep, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    done = stored(out.select(F.nullif("doc", F.lit(_LAST_ID)).alias("doc_id"), *columns), "kept")
-    docs.sparkSession.sql(f"DROP TABLE {name}")
-    return done
+    spark = docs.sparkSession
+    name = new_folder(spark, "texts").rsplit("/", 1)[1].replace("-", "_")
+    try:
+        with scratch(spark):
+            table, spans = repeated_spans(docs, length, name)
+            joined = table.join(spans, "doc", "left").select("doc", "var", "text", "spans")
+            out = joined.mapInArrow(_keep, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+            return stored(out.select(F.nullif("doc", F.lit(_LAST_ID)).alias("doc_id"), *columns), "kept", result=True)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -22,10 +22,12 @@ from . import bytekit as bk
 #: Labelled training rows the model is fitted on, drawn by hash from all of them; the only bound here. The field itself is
 #: trained on their toxic documents and CLEAN_DOCS of the clean ones, the score curve on all.
 SAMPLE_ROWS, CLEAN_DOCS = 3000, 1000
+#: Bytes of text that the sample may hold on the driver; rows beyond are left out of the fit, whole.
+SAMPLE_BYTES = 64 << 20
 #: A word is evidence if toxic sample documents hold it so many times more often than clean ones, with such a likelihood ratio (G).
 SEED_RATIO, SEED_G = 12.0, 30.0
-#: Sentences longer than this go on in a new chain; no word is left out.
-CHAIN = 200
+#: Sentences are walked in pieces of this many words, with the messages between them exact, so a long one takes no longer than its words.
+PIECE = 256
 FOLDS = 5
 EPOCHS = 30
 
@@ -66,40 +68,85 @@ def _cut(data: np.ndarray, offsets: np.ndarray):
         first[1:] = (row[1:] != row[:-1]) | (sentence[1:] != sentence[:-1])
     begin = np.flatnonzero(first)
     length = np.diff(np.append(begin, len(start)))
-    pieces = -(-length // CHAIN)
-    if (pieces > 1).any():
-        part = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin, length = np.repeat(begin, pieces) + part * CHAIN, np.minimum(np.repeat(length, pieces) - part * CHAIN, CHAIN)
     return start, end, row, h, begin, length
 
 
-def forward_backward(e, begin, length, transition, start, want_pairs=False):
+def _pieces(begin: np.ndarray, length: np.ndarray, size: int):
+    """(begin, length, chain, whether first of its chain) of the pieces that chains are walked in."""
+    n = -(-length // size)
+    chain = np.repeat(np.arange(len(begin)), n)
+    part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return begin[chain] + part * size, np.minimum(length[chain] - part * size, size), chain, part == 0
+
+
+def _messages(begin, length, chain, first, a, s, psi):
+    """(forward message into each piece, backward message out of each), exact; pieces of one-piece chains have the start and ones."""
+    into, out = np.tile(s, (len(begin), 1)), np.ones((len(begin), 2))
+    many = np.flatnonzero(np.bincount(chain, minlength=chain.max() + 1 if len(chain) else 0)[chain] > 1) if len(chain) else np.zeros(0, np.int64)
+    if not len(many):
+        return into, out
+    step = np.tile(np.eye(2), (len(many), 1, 1))
+    b, n, start = begin[many], length[many], first[many]
+    for t in range(int(n.max())):
+        on = np.flatnonzero(n > t)
+        m = step[on] @ a
+        if t == 0:
+            m = np.where(start[on][:, None, None], step[on], m)
+        m[:, :, 1] *= psi[b[on] + t][:, None]
+        step[on] = m / m.max((1, 2), keepdims=True)
+    for i in range(len(many) - 1):
+        if not start[i + 1]:
+            v = into[many[i]] @ step[i]
+            into[many[i + 1]] = v / v.sum()
+    for i in range(len(many) - 2, -1, -1):
+        if not start[i + 1]:
+            v = step[i + 1] @ out[many[i + 1]]
+            out[many[i]] = v / v.sum()
+    return into, out
+
+
+def forward_backward(e, begin, length, transition, start, want_pairs=False, size=PIECE):
     """Marginals of the toxic state; e is the toxic emission against the other. With want_pairs also log-likelihood parts."""
     n = len(e)
-    order = np.argsort(-length, kind="stable")
-    begin, length = begin[order], length[order]
     a, s = np.exp(transition), np.exp(start)
     psi = np.exp(np.clip(e, -30, 30))
+    begin, length, chain, first = _pieces(begin, length, size)
+    into, out = _messages(begin, length, chain, first, a, s, psi)
+    order = np.argsort(-length, kind="stable")
+    after = np.full(len(begin), -1)  # the piece that goes on from each
+    after[:-1] = np.where(first[1:], -1, np.arange(1, len(begin)))
+    ends = begin + length - 1
+    joints = np.flatnonzero(after >= 0)
+    joints = ends[joints], begin[after[joints]]
+    begin, length, first, into, out = begin[order], length[order], first[order], into[order], out[order]
     f0, f1, c = np.empty(n), np.empty(n), np.empty(n)
     steps = int(length[0]) if len(length) else 0
     active = [int(np.searchsorted(-length, -t, "left")) for t in range(steps)]  # length > t
     for t in range(steps):
         at = begin[: active[t]] + t
-        if t:
-            p0, p1 = f0[at - 1], f1[at - 1]
-            u0, u1 = p0 * a[0, 0] + p1 * a[1, 0], (p0 * a[0, 1] + p1 * a[1, 1]) * psi[at]
-        else:
-            u0, u1 = np.full(len(at), s[0]), s[1] * psi[at]
+        p0, p1 = (f0[at - 1], f1[at - 1]) if t else (into[:, 0], into[:, 1])
+        u0, u1 = p0 * a[0, 0] + p1 * a[1, 0], (p0 * a[0, 1] + p1 * a[1, 1]) * psi[at]
+        if not t:
+            u0, u1 = np.where(first, s[0], u0), np.where(first, s[1] * psi[at], u1)
         c[at] = z = u0 + u1
         f0[at], f1[at] = u0 / z, u1 / z
     b0, b1 = np.ones(n), np.ones(n)
+    last = begin + length - 1
+    scale = f0[last] * out[:, 0] + f1[last] * out[:, 1]
+    b0[last], b1[last] = out[:, 0] / scale, out[:, 1] / scale
     pairs = np.zeros((2, 2))
+
+    def joint(at, then):
+        v0, v1 = b0[then] / c[then], psi[then] * b1[then] / c[then]
+        if want_pairs:
+            pairs[:] += a * np.array([[(f0[at] * v0).sum(), (f0[at] * v1).sum()], [(f1[at] * v0).sum(), (f1[at] * v1).sum()]])
+        return v0, v1
+
     for t in range(steps - 2, -1, -1):
         at = begin[: active[t + 1]] + t
-        v0, v1 = b0[at + 1] / c[at + 1], psi[at + 1] * b1[at + 1] / c[at + 1]
-        if want_pairs:
-            pairs += a * np.array([[(f0[at] * v0).sum(), (f0[at] * v1).sum()], [(f1[at] * v0).sum(), (f1[at] * v1).sum()]])
+        v0, v1 = joint(at, at + 1)
         b0[at], b1[at] = a[0, 0] * v0 + a[0, 1] * v1, a[1, 0] * v0 + a[1, 1] * v1
+    joint(*joints)
     m = f1 * b1
     return (m, pairs, np.log(c).sum()) if want_pairs else m
 
@@ -203,23 +250,26 @@ def _passes(column: pa.Array, model: Model):
 
 
 def _score(column: pa.Array, model: Model, spans: bool):
-    score, where = np.empty(len(column)), [""] * len(column)
+    score, where = np.empty(len(column)), [[] for _ in range(len(column))]
     for first, end, data, offsets, start, stop, row, m, x in _passes(column, model):
         score[first:end] = _sigmoid(x @ model.curve)
         if spans:
             chars = bk.code_points(data)
             for i in np.flatnonzero(m >= 0.5):
                 own = chars[offsets[row[i]]]
-                where[first + row[i]] += f"{',' if where[first + row[i]] else ''}{chars[start[i]] - own}:{chars[stop[i]] - own}"
-    return np.round(score, 6), where
+                where[first + row[i]].append(f"{chars[start[i]] - own}:{chars[stop[i]] - own}")
+    return np.round(score, 6), [",".join(w) for w in where]
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[int]]:
-    """Texts and labels of up to `rows` labelled training documents, first by hash of the id. Fold 0 is never used."""
+    """Texts and labels of up to `rows` labelled training documents, first by hash of the id, within SAMPLE_BYTES. Fold 0 is never used."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = known.where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).collect()
-    return [r["text"] or "" for r in found], [r["toxic"] for r in found]
+    order = [F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")]
+    found = docs.select("doc_id", "text").join(picked, "doc_id")
+    sizes = np.cumsum([r[0] or 0 for r in found.orderBy(*order).limit(rows).select(F.octet_length("text")).collect()])
+    kept = found.orderBy(*order).limit(max(1, int(np.searchsorted(sizes, SAMPLE_BYTES, "right")))).collect()
+    return [r["text"] or "" for r in kept], [r["toxic"] for r in kept]
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
@@ -230,7 +280,8 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
     """docs with toxic_score (0 to 1) and toxic_spans (start:end of offending words in code points, comma-joined).
 
     Row by row: repeats and ties keep a score each, null texts count as empty, other columns pass through; columns of the two
-    names are replaced.
+    names are replaced. A long text is a run of its own, with some dozen arrays of its words in memory at once; a sentence of any length is
+    one chain. An empty table gives an empty one.
     """
     kept = [c for c in docs.columns if c not in ("toxic_score", "toxic_spans")]
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -1,6 +1,7 @@
 """Operators that SQL cannot express, against brute force over a whole small table and edge rows."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -126,7 +127,54 @@ def test_embedding_dedup(spark):
     top = components_of([i for i, *_ in rows], links)
     degree = Counter(x for pair in links for x in pair)
     assert len(links) > 300
-    assert got == {i: (degree[i], top[i], i == top[i]) for i, *_ in rows}
+    want = {i: (degree[i], top[i], i == top[i]) for i, *_ in rows}
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({"n_links": F.lit(1), "home": F.lit("clash")})
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(frame, recall=1.0).collect()} == want
+    # none below the threshold and nearly all above it; links are counted once from either side
+    assert all(got[i][0] <= want[i][0] for i in want) and sum(g[0] for g in got.values()) >= 0.97 * 2 * len(links)
+
+
+def test_embedding_walk_reaches_its_recall(spark):
+    """Vectors spread evenly in many small cells, with partners at the link angle: what the walk finds against brute force."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.normal(size=x.shape)
+    away -= (away * x).sum(1, keepdims=True) * x
+    y = 0.981 * x + math.sqrt(1 - 0.981**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, y]))]
+    book = embedding_dedup.fit(embedding_dedup.pa.chunked_array([[r[1] for r in rows[:1500]]]), 40 * 48, 1, 0.98, 0.95)[24]
+    first = book.nearest_cells(x[:50], 7)
+    half = [((c[None] - p[:, None]) ** 2).sum(2) for c, p in zip(book.codes, (x[:50, :12], x[:50, 12:]), strict=True)]
+    sums = (half[0][:, :, None] + half[1][:, None]).reshape(50, -1)
+    assert (np.take_along_axis(sums, first, 1) == np.sort(sums, 1)[:, :7]).all() or np.allclose(np.take_along_axis(sums, first, 1), np.sort(sums, 1)[:, :7])
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    every = np.concatenate([x, y])
+    true = (every @ every.T >= 0.98).sum() - len(every)
+    for recall in (0.9, 0.99):
+        found = sum(r.n_links for r in embedding_dedup.near_duplicates(frame, recall=recall).collect())
+        assert true >= found >= recall * true - 0.02 * true
+
+
+def test_forward_backward_equals_enumeration():
+    """Marginals, pairs and likelihood of short chains against all tag sequences, whatever the pieces they are walked in."""
+    rng = np.random.default_rng(5)
+    length = np.array([1, 7, 3, 9])
+    begin = np.cumsum(length) - length
+    e, transition, start = rng.normal(size=20), rng.normal(size=(2, 2)), rng.normal(size=2)
+    m, pairs, log_z = np.zeros(20), np.zeros((2, 2)), 0.0
+    for b, n in zip(begin, length, strict=True):
+        z, own, two = 0.0, np.zeros(n), np.zeros((2, 2))
+        for tags in itertools.product((0, 1), repeat=n):
+            score = math.exp(start[tags[0]] + sum(e[b + t] for t in range(n) if tags[t]) + sum(transition[p, q] for p, q in itertools.pairwise(tags)))
+            z += score
+            own += score * np.array(tags)
+            for p, q in itertools.pairwise(tags):
+                two[p, q] += score
+        m[b : b + n], pairs, log_z = own / z, pairs + two / z, log_z + math.log(z)
+    for size in (1, 2, 4, 256):
+        got = toxicity.forward_backward(e, begin, length, transition, start, want_pairs=True, size=size)
+        assert np.allclose(got[0], m) and np.allclose(got[1], pairs) and abs(got[2] - log_z) < 1e-9
 
 
 def scored_by_hand(rows, often=None):
@@ -277,24 +325,52 @@ def test_chat(spark):
 
 
 def test_mix(spark, docs):
-    out = mixing.mix(docs.withColumn("topic", docs["lang"]))
-    assert out.count() == docs.count() and set(docs.columns) <= set(out.columns)
-    from pyspark.sql import functions as F
-
+    out = mixing.mix(docs.withColumns({"topic": docs["lang"], "cell_source": docs["lang"], "cell_tokens": docs["lang"]}))
+    assert out.count() == docs.count() and {*docs.columns, "cell_source", "cell_tokens"} <= set(out.columns)
     got = out.agg(F.sum(F.col("n_tokens") * F.col("probability")), F.sum("n_tokens")).first()
-    assert got[0] == pytest.approx(mixing.KEPT_SHARE * got[1], rel=0.02)
+    assert got[0] == pytest.approx(mixing.KEPT_SHARE * got[1], rel=1e-5)
     assert mixing.mix(docs.limit(0)).count() == 0
-
-
-def test_raking_meets_the_marginals(spark):
-    from pyspark.sql import functions as F
-
-    cells = spark.createDataFrame([(s, g, t, 10 + 7 * i * j + k, 1) for i, s in enumerate("ab") for j, g in enumerate("xyz") for k, t in enumerate("pq")], "_source string, _lang string, _topic string, tokens long, n_docs long")
-    targets = mixing.default_targets(cells)
-    raked = mixing.rake(cells, targets)
-    for d in mixing.DIMS:
-        off = raked.groupBy(f"_{d}").agg(F.sum("weight").alias("w")).join(targets[d], f"_{d}").agg(F.max(F.abs(F.col("w") - F.col(f"target_{d}")))).first()[0]
-        assert off < 1e-6
+    nulls = docs.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")})
+    assert mixing.mix(nulls).where("topic IS NOT NULL AND lang IS NULL").count() == docs.count()
+
+
+def raked_by_hand(cells, goals):
+    """Weights of cells (keys, tokens): raked with no more than a cell has, by plain loops."""
+    w = {k: t * 1.0 for k, t in cells.items()}
+    for _ in range(3000):
+        for d in range(3):
+            have = Counter()
+            for k, x in w.items():
+                have[k[d]] += x
+            w = {k: min(cells[k], x * goals[d][k[d]] / have[k[d]]) for k, x in w.items()}
+    return w
+
+
+def test_raking_meets_the_marginals_of_the_sample(spark):
+    """Some cells are too small for their target: what they lack is made up by others, and the sample's marginals still fit."""
+    rng = np.random.default_rng(4)
+    cells = {(s, g, t): int(x) for (s, g, t), x in zip([(s, g, t) for s in "abc" for g in "xyz" for t in "pqr"], rng.integers(5, 4000, 27), strict=True)}
+    frame = spark.createDataFrame([(*k, n, 1) for k, n in cells.items()], "source string, lang string, topic string, tokens long, n_docs long")
+    total = sum(cells.values())
+    raked = mixing.cell_probabilities(frame, 0.85).collect()
+    assert max(r.probability for r in raked) == 1.0 and all(0 < r.probability <= 1 for r in raked)
+    assert sum(r.weight for r in raked) == pytest.approx(0.85 * total, rel=1e-5)
+    goals = []
+    for d, dim in enumerate(mixing.DIMS):
+        goal = {r[0]: r[1] for r in mixing.reachable(frame, dim, mixing.default_targets(frame)[dim], 0.85).collect()}
+        have, kept = Counter(), Counter()
+        for r in raked:
+            have[r[dim]] += r.tokens
+            kept[r[dim]] += r.probability * r.tokens
+        power = mixing.TEMPERATURE[dim]
+        share = {v: n**power / sum(m**power for m in have.values()) for v, n in have.items()}
+        free = [v for v in share if goal[v] < have[v] * (1 - 1e-9)]
+        assert all(goal[v] <= have[v] for v in have) and sum(goal.values()) == pytest.approx(0.85 * total, rel=1e-6)
+        assert len({round(goal[v] / share[v] / total, 6) for v in free}) == 1
+        assert all(abs(kept[v] - goal[v]) < 2e-5 * total for v in have)
+        goals.append(goal)
+    want = raked_by_hand(cells, goals)
+    assert all(abs(r.weight - want[r.source, r.lang, r.topic]) < 1e-3 * total for r in raked)
 
 
 def test_toxicity_held_out(spark):
