@@ -53,10 +53,10 @@ def bootstrap_mean(deltas: DataFrame, by: list[str], unit: str, value: str, n: i
     return interval(replicates(deltas, by, unit, [value], n, seed), by, F.col(value), alpha).join(size, by)
 
 
-def shuffled_groups(rows: DataFrame, by: list[str], ident: list[str], size: int, seed: int) -> DataFrame:
+def shuffled_groups(rows: DataFrame, by: list[str], ident: list[str], size: int, seed: int, ties: list[str] | None = None) -> DataFrame:
     """rows with `draw`, a group number: rows of a stratum in hashed order, cut in groups of `size`; the last may be smaller.
 
     The order is that of the hash; a stratum is one window, so strata should be settings crossed with something that grows.
     """
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in ident)))
-    return rows.withColumn("draw", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(key, *ident)) - 1) / size))
+    return rows.withColumn("draw", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(key, *ident, *(ties or []))) - 1) / size))

@@ -32,3 +32,8 @@ def drift(directions: DataFrame, by: list[str], order: str) -> DataFrame:
     """by, order, cosine to the direction before."""
     before = F.lag("direction").over(Window.partitionBy(*by).orderBy(order))
     return directions.withColumn("_p", before).where("_p IS NOT NULL").select(*by, order, cosine("direction", "_p").alias("cosine"))
+
+
+def on_each(vectors: DataFrame, directions: DataFrame, vector: str = "embedding") -> DataFrame:
+    """vectors without the vector, times directions: the projection on each. There is a direction per setting, so their list is short."""
+    return vectors.crossJoin(F.broadcast(directions)).withColumn("projection", dot(vector, "direction")).drop("direction", vector)
