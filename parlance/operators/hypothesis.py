@@ -98,3 +98,32 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """by, n, rho of rows where both are known; null where either is constant."""
     known = df.where(col(x).isNotNull() & col(y).isNotNull()).withColumns({"_x": average_rank(by, x), "_y": average_rank(by, y)})
     return known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(F.stddev_pop("_x") * F.stddev_pop("_y") > 0, F.corr("_x", "_y")).alias("rho"))
+
+
+def jarque_bera(df: DataFrame, by: list[str], value: str = "score") -> DataFrame:
+    """by, n, skew, kurt (excess), jb, p: population moments about the mean; p of a chi-square with two degrees of freedom."""
+    known = df.where(col(value).isNotNull())
+    mean = known.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("_m"))
+    off = col(value) - F.col("_m")
+    g = known.join(mean, by).groupBy(*by, "n").agg(*(F.avg(F.pow(off, F.lit(k))).alias(f"_m{k}") for k in (2, 3, 4)))
+    g = g.withColumns({"skew": ratio("_m3", F.pow("_m2", F.lit(1.5))), "kurt": ratio("_m4", F.col("_m2") * F.col("_m2")) - 3})
+    half = F.col("n") / 12 * (F.col("skew") * F.col("skew") + F.col("kurt") * F.col("kurt") / 4)
+    return g.select(*by, "n", "skew", "kurt", (2 * half).alias("jb"), F.exp(-half).alias("p"))
+
+
+def tukey_kramer(df: DataFrame, by: list[str], group: str, value: str = "score") -> DataFrame:
+    """by, a < b, diff, q: mean differences of every two groups over their standard error; groups are settings, so pairs are few."""
+    g = df.where(col(value).isNotNull()).groupBy(*by, group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
+    error = g.groupBy(*by).agg(ratio(F.sum(F.col("n") * F.col("v")), F.sum("n") - F.count(F.lit(1))).alias("mse"))
+    side = lambda x: g.select(*by, F.col(group).alias(x), F.col("n").alias(f"n_{x}"), F.col("m").alias(f"m_{x}"))
+    pairs = side("a").join(side("b"), by).where("a < b").join(error, by)
+    diff = F.col("m_a") - F.col("m_b")
+    return pairs.select(*by, "a", "b", diff.alias("diff"), ratio(F.abs(diff), F.sqrt(F.col("mse") / 2 * (1 / F.col("n_a") + 1 / F.col("n_b")))).alias("q"))
+
+
+def pair_rows(df: DataFrame, group: str) -> DataFrame:
+    """Every row once for each pair of groups (group_a < group_b) it belongs to, with side 1 for the first; groups are a short list."""
+    kinds = df.select(group).distinct()
+    pairs = kinds.select(F.col(group).alias(f"{group}_a")).join(kinds.select(F.col(group).alias(f"{group}_b"))).where(f"{group}_a < {group}_b")
+    either = pairs.select(F.col(f"{group}_a").alias(group), f"{group}_a", f"{group}_b", F.lit(1).alias("side")).union(pairs.select(F.col(f"{group}_b").alias(group), f"{group}_a", f"{group}_b", F.lit(0).alias("side")))
+    return df.join(either, group)
