@@ -61,7 +61,8 @@ def cost_ratios(summary: DataFrame, pairs: DataFrame) -> DataFrame:
     total = summary.select("arm", "total")
     out = pairs.join(total.select(F.col("arm").alias("num"), F.col("total").alias("num_total")), "num")
     out = out.join(total.select(F.col("arm").alias("den"), F.col("total").alias("den_total")), "den")
-    text = F.format_string("%.2f / %.2f", "num_total", "den_total")
+    whole = lambda c: F.round(c, 0).cast("long").cast("string")
+    text = F.concat_ws(" / ", whole("num_total"), whole("den_total"))
     return out.select("name", "num", "den", "num_total", "den_total", ratio("num_total", "den_total").alias("ratio"), text.alias("arithmetic"))
 
 
@@ -81,3 +82,28 @@ def priced(plan: DataFrame, chars: str, calls: str, chars_per_token: float, pric
     tokens = col(chars) / chars_per_token
     cost = (tokens * price_in + col(calls) * out_tokens * price_out) / 1e6 * factor
     return plan.withColumns({"tokens_in": tokens, "tokens_out": col(calls) * out_tokens, "cost": cost})
+
+
+def pairs_at(scores: DataFrame, states: DataFrame, arm_a: str, arm_b: str, by: list[str], unit: str = "persona_id", value: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """iter_a, keep, by, unit, a, b, d for each row (iter_a, iter_b) of states: the same units in both arms at those iterations.
+
+    states is a short list of settings; scores are joined to it by iteration and to each other by unit.
+    """
+    side = lambda arm, it, out: scores.where(F.col("arm") == arm).select(F.col("iteration").alias(it), *by, unit, F.col(value).alias(out))
+    a = states.join(side(arm_a, "iter_a", "a"), "iter_a")
+    both = a.join(side(arm_b, "iter_b", "b"), ["iter_b", *by, unit])
+    return both.select("iter_a", *(keep or []), *by, unit, "a", "b", (F.col("a") - F.col("b")).alias("d"))
+
+
+def with_receipt(plan: DataFrame, paid, calls) -> DataFrame:
+    """basis, cost: the estimate of a plan, and what it costs at the price per call that a receipt shows."""
+    rows = F.array(F.struct(F.lit("estimate").alias("basis"), F.col("cost").alias("cost")), F.struct(F.lit("receipt").alias("basis"), (ratio(paid, calls) * F.col("calls")).alias("cost")))
+    return plan.select(F.inline(rows))
+
+
+def shared_prefix(a, b):
+    """Characters that two texts have in common from the start."""
+    n = F.least(F.length(a), F.length(b))
+    same = F.zip_with(F.split(F.substr(a, F.lit(1), n), ""), F.split(F.substr(b, F.lit(1), n), ""), lambda x, y: x == y)
+    first = F.array_position(same, False)
+    return F.when(n == 0, 0).when(first == 0, n).otherwise(first - 1).cast("int")
