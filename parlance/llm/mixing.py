@@ -71,17 +71,14 @@ def reachable(cells: DataFrame, dim: str, targets: DataFrame, share: float) -> D
     have = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("have"))
     total = have.agg(F.sum("have")).first()[0] or 0.0
     both = stored(have.join(targets, dim, "left").select(dim, "have", F.coalesce("target", F.col("have") / F.lit(total or 1.0)).alias("target")), "targets")
-    kept = lambda scale: F.sum(F.least("have", F.col("target") * F.lit(scale * total)))
-    enough = share * total * (1 - 1e-12)
-    low, high = 0.0, 1.0
-    while high < 2.0**40 and (both.agg(kept(high)).first()[0] or 0.0) < enough:
-        low, high = high, high * 4
-    for _ in range(8):  # each pass over the few values narrows the scale sixteen times
-        grid = [low + (high - low) * i / 16 for i in range(1, 17)]
-        sums = both.agg(*(kept(g).alias(f"s{i}") for i, g in enumerate(grid))).first()
-        at = next((i for i, x in enumerate(sums) if (x or 0.0) >= enough), 15)
-        low, high = (grid[at - 1] if at else low), grid[at]
-    return both.select(dim, F.least("have", F.col("target") * (high * total)).alias(f"goal_{dim}"))
+    scale, capped = share, -1
+    while True:  # values that reach what they have stay there, the others share the rest; the set of the former only grows
+        full = F.col("target") * F.lit(scale * total) >= F.col("have") * (1 - 1e-12)
+        n, fixed, free = both.agg(F.count_if(full), F.sum(F.when(full, F.col("have"))), F.sum(F.when(~full, F.col("target")))).first()
+        if n == capped or not free:
+            break
+        capped, scale = n, (share * total - (fixed or 0.0)) / (total * free)
+    return both.select(dim, F.least("have", F.col("target") * F.lit(scale * total)).alias(f"goal_{dim}"))
 
 
 def rake(cells: DataFrame, goals: dict[str, DataFrame], share: float, tolerance: float = 1e-6, max_rounds: int = 120, per_job: int = 5) -> DataFrame:
