@@ -1 +1,7 @@
+"""Readers of the files that runs and graders leave behind: a score lake of CSV, its fold to Parquet, nested JSON lines, manifests."""
 
+from .lake import cached, discover_arms, filter_arms, fold, fold_report, fold_status, judges, read_generations, read_pairs, read_scores, served, signatures, verify_fold
+
+__all__ = [
+    "cached", "discover_arms", "filter_arms", "fold", "fold_report", "fold_status", "judges", "read_generations", "read_pairs", "read_scores", "served", "signatures", "verify_fold",
+]
