@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,9 +100,9 @@ def rank_agreement(rows: DataFrame, by: list[str], proxy: str, outcome: str, uni
 
 
 def pair_counts(rows: DataFrame, by: list[str], x: str, y: str, bits: int = 32) -> DataFrame:
-    """by, n_pairs, n_same: pairs of rows that differ in x and y, and those that differ in the same direction. No pair is made.
+    """by, n_pairs, n_same: pairs of rows that differ in x and y, and those that differ in the same direction, for groups that have any.
 
-    y is numbered within its group. Two numbers differ first at one bit: rows that agree above it are grouped, and walking a group by x
+    No pair is made. y is numbered within its group. Two numbers differ first at one bit: rows that agree above it are grouped, and walking a group by x
     with a running count of its zeros and ones gives the pairs that part there. Every row is in one group per bit.
     """
     known = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -115,4 +116,24 @@ def pair_counts(rows: DataFrame, by: list[str], x: str, y: str, bits: int = 32)
     below = Window.partitionBy(*by, "_b", "_p").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
     seen = at_x.withColumns({"_ones_below": F.coalesce(F.sum("_ones").over(below), F.lit(0)), "_zeros_below": F.coalesce(F.sum("_zeros").over(below), F.lit(0))})
     same, other = F.col("_ones") * F.col("_zeros_below"), F.col("_zeros") * F.col("_ones_below")
-    return seen.groupBy(*by).agg(F.sum(same + other).alias("n_pairs"), F.sum(same).alias("n_same"))
+    return seen.groupBy(*by).agg(F.sum(same + other).alias("n_pairs"), F.sum(same).alias("n_same")).where("n_pairs > 0")
+
+
+def components_of(wide: DataFrame, names: list[str]) -> DataFrame:
+    """component, explained, loadings of the principal components of standardised columns, over rows that have all of them.
+
+    One aggregation gives the correlations; their matrix has a row per column, so its eigenvectors are a matter of the driver.
+    """
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    known = wide.dropna(subset=names)
+    r = known.agg(F.count(F.lit(1)), *(F.corr(a, b) for a, b in pairs)).first()
+    matrix = np.eye(len(names))
+    for (a, b), v in zip(pairs, r[1:], strict=True):
+        i, j = names.index(a), names.index(b)
+        matrix[i, j] = matrix[j, i] = v if v is not None and v == v else 0.0
+    values, vectors = np.linalg.eigh(matrix)
+    rows = []
+    for at, i in enumerate(np.argsort(-values), 1):
+        v = vectors[:, i] * np.sign(vectors[np.abs(vectors[:, i]).argmax(), i])
+        rows.append((at, float(values[i] / len(names)), {n: float(x) for n, x in zip(names, v, strict=True)}))
+    return wide.sparkSession.createDataFrame(rows, "component int, explained double, loadings map<string,double>")
