@@ -11,13 +11,13 @@ ENTRY = "key string, value string, source string, note string"
 
 
 def json_scalar(value: Column, digits: int | None = None) -> Column:
-    """A number as JSON text: NaN and null are null, whole numbers have no point; optionally rounded."""
-    v = F.when(F.isnan(value.cast("double")), None).otherwise(value)
+    """A number as JSON text of at most six digits after the point: NaN and null are null, whole numbers have no point; optionally rounded."""
+    v = F.when(F.isnan(value.cast("double")), None).otherwise(value.cast("double"))
     v = F.round(v, digits) if digits is not None else v
-    return F.coalesce(F.regexp_replace(v.cast("string"), r"\.0$", ""), F.lit("null"))
+    return F.coalesce(F.regexp_replace(v.cast("decimal(28,6)").cast("string"), r"\.?0+$", ""), F.lit("null"))
 
 
-def entries(df: DataFrame, keys: list[str], values: list[str], source: str, note: str = "", digits: int = 3) -> DataFrame:
+def entries(df: DataFrame, keys: list[str], values: list[str], source: str, note: str = "", digits: int | None = 3) -> DataFrame:
     """An entry per row and value of a result: the key joins the row's keys and the value's name by dots."""
     name = F.concat_ws(".", *(F.col(k).cast("string") for k in keys))
     one = lambda v: F.struct(F.concat_ws(".", name, F.lit(v)).alias("key"), json_scalar(F.col(v), digits).alias("value"), F.lit(source).alias("source"), F.lit(note).alias("note"))
