@@ -58,4 +58,11 @@ QUERIES = {
         op9_decontaminate, op10_pii,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "regexp_extract_all(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLE_SQL: dict[str, str] = {
+    "op9_decontaminate": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark), bn AS (SELECT *, least(len(w),10) AS n FROM b WHERE len(w)>0),
+bx AS (SELECT DISTINCT item, n, unnest([array_to_string(w[i:i+n-1],' ') for i in range(1,len(w)-n+2)]) AS k FROM bn), ln AS (SELECT DISTINCT n FROM bx),
+dx AS (SELECT doc_id, n, unnest([{{'i': i, 'k': array_to_string(w[i:i+n-1],' ')}} for i in range(1,len(w)-n+2)]) AS x FROM d, ln WHERE len(w)>=n), h AS (SELECT doc_id, x.i AS i, dx.n AS n, item FROM dx JOIN bx ON bx.n=dx.n AND bx.k=x.k),
+hp AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i,i+n)) AS p FROM h) GROUP BY ALL), hi AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY ALL)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit,0) AS n_hit, coalesce(n_items,0) AS n_items, sha256(coalesce(items,'')) AS items_sha256, coalesce(n_hit,0)>0 AS contaminated FROM d LEFT JOIN hp USING (doc_id) LEFT JOIN hi USING (doc_id)""",
+}
