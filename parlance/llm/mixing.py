@@ -80,7 +80,7 @@ def reachable(cells: DataFrame, dim: str, targets: DataFrame, share: float) -> D
     return both.select(dim, F.least("have", F.col("target") * F.lit(scale * total)).alias(f"goal_{dim}"))
 
 
-def rake(cells: DataFrame, goals: dict[str, DataFrame], share: float, tolerance: float = 1e-6, max_rounds: int = 120, per_job: int = 5) -> DataFrame:
+def rake(cells: DataFrame, goals: dict[str, DataFrame], share: float, tolerance: float = 1e-6, max_rounds: int = 120, per_job: int = 3) -> DataFrame:
     """cells (keys, tokens) with `weight`, tokens to keep of each: at most what it has, and by each dimension the goals in sum.
 
     A round multiplies the weights by goal over sum and cuts them at what a cell has, dimension after dimension; what is cut is

@@ -46,7 +46,7 @@ class Model:
         if self.used is None:
             self.used = np.zeros(1 << 20, bool)
             self.used[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
-        out = np.full(len(h), len(self.hashes), np.int64)
+        out = np.full(len(h), len(self.hashes), np.int32)
         maybe = np.flatnonzero(self.used[(h >> np.uint64(44)).astype(np.int64)])
         if len(maybe) and len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
@@ -152,7 +152,7 @@ def forward_backward(e, begin, length, transition, start, want_pairs=False, size
 
 
 def _neighbours(ids: np.ndarray, other: int, begin: np.ndarray, length: np.ndarray):
-    before, after = np.full(len(ids), other), np.full(len(ids), other)
+    before, after = np.full(len(ids), other, np.int32), np.full(len(ids), other, np.int32)
     if len(ids):
         before[1:], after[:-1] = ids[:-1], ids[1:]
         before[begin], after[begin + length - 1] = other, other
@@ -180,25 +180,31 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     parts, base = [], 0
     for first, end, data, offsets in bk.chunks(pa.array(texts, pa.large_string())):
         _, _, row, h, begin, length = _cut(data, offsets)
-        parts.append((row + first, h, begin + base, length))
+        parts.append(((row + first).astype(np.int32), h, begin + base, length))
         base += len(h)
     row, h, begin, length = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     vocab, ids = np.unique(h, return_inverse=True)
+    ids = ids.astype(np.int32)
     seen = np.unique(ids.astype(np.int64) * len(texts) + row)
     doc_y = y[seen % len(texts)]
-    df_toxic, df = np.bincount(seen // len(texts), doc_y, len(vocab)), np.bincount(seen // len(texts), minlength=len(vocab))
+    used = seen // len(texts)
+    df_toxic, df = np.bincount(used, doc_y, len(vocab)), np.bincount(used, minlength=len(vocab))
     rate = (df_toxic + 0.1) / y.sum() / ((df - df_toxic + 0.1) / (len(y) - y.sum()))
     prior = y.mean()
     part = lambda k, share: k * np.log(np.maximum(k, 1e-9) / (df * share))
     seed = (rate >= SEED_RATIO) & (2 * (part(df_toxic, prior) + part(df - df_toxic, 1 - prior)) >= SEED_G)
+    del seen, used, doc_y
     keep = seed | (df >= 20)
     hashes = vocab[keep]
     model = Model(hashes, np.zeros((3, len(hashes) + 1)), -4.0, np.zeros((2, 2)), np.zeros(2), np.zeros(4))
     word = model.ids(h)
-    gold = (seed[ids] & (y[row] == 1)).astype(float)
+    del h
+    gold = (seed[ids] & (y[row] == 1)).astype(np.float32)
+    del ids
     model.weights[0, :-1] = np.where(seed[keep], 6.0, 0.0)
     before, after = _neighbours(word, len(hashes), begin, length)
-    inner = np.ones(len(h), bool)
+    inner = np.ones(len(word), bool)
     inner[begin] = False
     taught = (y == 1) | (np.cumsum(y == 0) <= CLEAN_DOCS)
     use = taught[row]
@@ -227,7 +233,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
             b += 0.02 * (g * g - b)
             t -= 0.15 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.98**step)) + 1e-6)
     model.weights, model.bias, model.transition, model.start = theta[0], float(theta[1][0]), theta[2], theta[3]
-    del word, before, after, gold, inner, use, moved, h, row
+    del word, before, after, gold, inner, use, moved, row, now
     x = np.concatenate([x for *_, x in _passes(pa.array(texts, pa.large_string()), model)])
     curve = np.zeros(4)
     for _ in range(50):  # Newton steps with a little ridge
