@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, content_sort, decontaminate, embedding_dedup, minhash, mixing, ngram_lm, pii, prefix_trie, secrets, suffix_dedup, toxicity
+from . import chat, content_sort, decontaminate, embedding_dedup, hard_negatives, minhash, mixing, ngram_lm, pii, prefix_trie, secrets, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.digest(table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_suffix_dedup, op3_minhash_dedup, op4_embedding_dedup, op5_chat_format, op6_toxicity, op7_mix, op8_lm_score,
-        op9_decontaminate, op10_pii, op12_exact_dedup, op13_prefix_trie,
+        op9_decontaminate, op10_pii, op11_hard_negatives, op12_exact_dedup, op13_prefix_trie,
     )
 }
 _WORDS = "regexp_extract_all(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -75,6 +79,12 @@ bx AS (SELECT DISTINCT item, n, unnest([array_to_string(w[i:i+n-1],' ') for i in
 dx AS (SELECT doc_id, n, unnest([{{'i': i, 'k': array_to_string(w[i:i+n-1],' ')}} for i in range(1,len(w)-n+2)]) AS x FROM d, ln WHERE len(w)>=n), h AS (SELECT doc_id, x.i AS i, dx.n AS n, item FROM dx JOIN bx ON bx.n=dx.n AND bx.k=x.k),
 hp AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i,i+n)) AS p FROM h) GROUP BY ALL), hi AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY ALL)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit,0) AS n_hit, coalesce(n_items,0) AS n_items, sha256(coalesce(items,'')) AS items_sha256, coalesce(n_hit,0)>0 AS contaminated FROM d LEFT JOIN hp USING (doc_id) LEFT JOIN hi USING (doc_id)""",
+    "op11_hard_negatives": """WITH e AS (SELECT row_number() OVER () AS r, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label+1)%10 ELSE label END AS label, [floor(256*x::DOUBLE) for x in embedding] AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.r, a.id AS anchor_id, c.r AS cr, c.id AS cid, a.label = c.label AS same, coalesce(list_sum([a.v[i]*c.v[i] for i in range(1, len(a.v)+1)]), 0)::BIGINT AS score FROM e a JOIN e c ON len(a.v) = len(c.v) AND a.r <> c.r WHERE a.id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, cid, cr) <= 5), n AS (SELECT p.anchor_id, p.cid AS positive_id, s.cid AS negative_id, p.score AS positive_score, s.score AS negative_score,
+ row_number() OVER (PARTITION BY p.r, p.cr ORDER BY s.score DESC, s.cid, s.cr) AS rank FROM p JOIN s ON s.r = p.r AND NOT s.same AND 30*p.score <= 100*s.score AND 100*s.score <= 90*p.score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
     "op12_exact_dedup": r"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text,''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256 FROM d
 WINDOW w AS (PARTITION BY t ORDER BY doc_id NULLS LAST)""",
