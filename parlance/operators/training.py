@@ -77,12 +77,12 @@ def best_and_worst(gens: DataFrame, by: list[str] = GROUP, tau: float = TAU) ->
 
 
 def pair_weights(gens: DataFrame, by: list[str] = GROUP) -> DataFrame:
-    """+1 for the best and -1 for the worst of each group, first occurrence on ties; one-sided groups leave."""
+    """+1 for the best and -1 for the worst of each group, first occurrence on ties; groups without two different scores leave."""
     w = Window.partitionBy(*by)
     known = gens.where("score IS NOT NULL").withColumns({
-        "_top": F.row_number().over(w.orderBy(F.col("score").desc(), "cand_idx")), "_low": F.row_number().over(w.orderBy("score", "cand_idx")), "_n": F.count(F.lit(1)).over(w)})
-    out = known.where("_n >= 2 AND _top <> _low OR _n > 2").withColumn("raw", F.when(F.col("_top") == 1, 1.0).when(F.col("_low") == 1, -1.0).otherwise(0.0))
-    return rescaled(out.drop("_top", "_low", "_n"), by)
+        "_top": F.row_number().over(w.orderBy(F.col("score").desc(), "cand_idx")), "_low": F.row_number().over(w.orderBy("score", "cand_idx")), "_hi": F.max("score").over(w), "_lo": F.min("score").over(w)})
+    out = known.where("_hi <> _lo").withColumn("raw", F.when(F.col("_top") == 1, 1.0).when(F.col("_low") == 1, -1.0).otherwise(0.0))
+    return rescaled(out.drop("_top", "_low", "_hi", "_lo"), by)
 
 
 def feature_push(weighted: DataFrame, feature: Column, by: list[str], group: list[str] = GROUP) -> DataFrame:

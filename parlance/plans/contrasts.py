@@ -157,7 +157,7 @@ def retention_by_k(spark, sf_dir):
     return out.select("reference", "questionnaire", "k", "n_cells", "n_kept", *r6("mean_retention", "median_retention"))
 
 
-_RET = JP + ", b AS (SELECT arm, questionnaire, persona_id, avg(p) AS p0, avg(h) AS h0 FROM jp WHERE iteration=0 GROUP BY ALL), src AS (SELECT jp.arm, jp.questionnaire, iteration, persona_id, p-p0 AS dp, h-h0 AS dh FROM jp JOIN b USING (arm, questionnaire, persona_id) WHERE iteration>0)" + draws_sql("dr", "src", "arm, questionnaire, iteration", "persona_id", ["dp", "dh"], 25)
+_RET = JP + ", b AS (SELECT arm, questionnaire, persona_id, avg(p) AS p0, avg(h) AS h0 FROM jp WHERE iteration=0 GROUP BY ALL), src AS (SELECT jp.arm, jp.questionnaire, iteration, persona_id, p-p0 AS dp, h-h0 AS dh FROM jp JOIN b USING (arm, questionnaire, persona_id) WHERE iteration>0)" + draws_sql("dr", "src", "arm, questionnaire, iteration", "persona_id", ["dp", "dh"], 250)
 
 
 @query(_RET + ", m AS (SELECT arm, questionnaire, iteration, count(*) AS n, avg(dp) AS ma, avg(dh) AS mb FROM src GROUP BY ALL) SELECT arm, questionnaire, iteration, n, " + sql6("mb/nullif(ma,0) AS retention", "quantile_cont(dh/nullif(dp,0),0.025) AS lo", "quantile_cont(dh/nullif(dp,0),0.975) AS hi") + " FROM m JOIN dr USING (arm, questionnaire, iteration) WHERE abs(ma)>=0.15 GROUP BY arm, questionnaire, iteration, n, ma, mb")
@@ -168,7 +168,7 @@ def retention_ci_hash(spark, sf_dir):
     base = jp.where("iteration = 0").groupBy("arm", "questionnaire", "persona_id").agg(F.avg("p").alias("p0"), F.avg("h").alias("h0"))
     rows = jp.where("iteration > 0").join(base, ["arm", "questionnaire", "persona_id"]).select(*by, "persona_id", (F.col("p") - F.col("p0")).alias("dp"), (F.col("h") - F.col("h0")).alias("dh"))
     whole = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("dp").alias("a"), F.avg("dh").alias("b")).where("abs(a) >= 0.15")
-    ends = resample.interval(resample.replicates(rows, by, "persona_id", ["dp", "dh"], n=200), by, ratio("dh", "dp"))
+    ends = resample.interval(resample.replicates(rows, by, "persona_id", ["dp", "dh"]), by, ratio("dh", "dp"))
     return whole.join(ends, by).select(*by, "n", *r6("lo", "hi", retention=ratio("b", "a")))
 
 
@@ -249,7 +249,7 @@ def wai_kcontrast(spark, sf_dir):
     return paired.holm(paired.contrast(_scales(spark, sf_dir), by, _k(0), _k(5)), by[:3], tiebreak=["iteration"]).select(*by, "n", "n_nonzero", *r6(*_R6))
 
 
-@query(_SUBL + ", la AS (SELECT arm, max(iteration) AS la FROM l GROUP BY ALL), src AS (SELECT arm, scale, persona_id, avg(score) FILTER (iteration=la) - avg(score) FILTER (iteration=0) AS d FROM l JOIN la USING (arm) WHERE judge=0 GROUP BY ALL), s2 AS (SELECT * FROM src WHERE d IS NOT NULL)" + draws_sql("dr", "s2", "arm, scale", "persona_id", ["d"], 25) + ", m AS (SELECT arm, scale, count(*) AS n, avg(d) AS gain FROM s2 GROUP BY ALL) SELECT arm, scale, n, " + sql6("gain", "CASE WHEN n>=3 THEN quantile_cont(d,0.025) END AS lo", "CASE WHEN n>=3 THEN quantile_cont(d,0.975) END AS hi") + " FROM m JOIN dr USING (arm, scale) GROUP BY arm, scale, n, gain")
+@query(_SUBL + ", la AS (SELECT arm, max(iteration) AS la FROM l GROUP BY ALL), src AS (SELECT arm, scale, persona_id, avg(score) FILTER (iteration=la) - avg(score) FILTER (iteration=0) AS d FROM l JOIN la USING (arm) WHERE judge=0 GROUP BY ALL), s2 AS (SELECT * FROM src WHERE d IS NOT NULL)" + draws_sql("dr", "s2", "arm, scale", "persona_id", ["d"], 250) + ", m AS (SELECT arm, scale, count(*) AS n, avg(d) AS gain FROM s2 GROUP BY ALL) SELECT arm, scale, n, " + sql6("gain", "CASE WHEN n>=3 THEN quantile_cont(d,0.025) END AS lo", "CASE WHEN n>=3 THEN quantile_cont(d,0.975) END AS hi") + " FROM m JOIN dr USING (arm, scale) GROUP BY arm, scale, n, gain")
 def wai_fig_data(spark, sf_dir):
     """Gains of the subscales at the last iteration with an interval of 200 draws, one grader."""
     rows = _scales(spark, sf_dir).where("judge = 0")
@@ -257,7 +257,7 @@ def wai_fig_data(spark, sf_dir):
     by = ["arm", "scale"]
     d = paired.deltas(rows, by, F.col("iteration") == F.col("la"), F.col("iteration") == 0)
     g = d.groupBy(*by).agg(F.count("d").alias("n"), F.avg("d").alias("gain"))
-    ends = resample.interval(resample.replicates(d, by, "persona_id", ["d"], n=200), by, F.col("d"))
+    ends = resample.interval(resample.replicates(d, by, "persona_id", ["d"]), by, F.col("d"))
     return g.join(ends, by).select(*by, "n", *r6("gain", lo=F.when(F.col("n") >= 3, F.col("lo")), hi=F.when(F.col("n") >= 3, F.col("hi"))))
 
 
@@ -284,7 +284,7 @@ def q2_items(spark, sf_dir):
 
 # --- spread ----------------------------------------------------------------------------------------------------------
 
-_SD = S + ", bt AS (SELECT method, questionnaire, iteration, stddev_samp(score) FILTER (k=0) AS sd0, stddev_samp(score) FILTER (k=5) AS sd5, quantile_cont(score,0.75) FILTER (k=0)-quantile_cont(score,0.25) FILTER (k=0) AS iqr0, quantile_cont(score,0.75) FILTER (k=5)-quantile_cont(score,0.25) FILTER (k=5) AS iqr5 FROM c GROUP BY ALL), pm AS (SELECT method, questionnaire, iteration, count(*) AS n, corr(a+b,a-b) AS r FROM (" + _pairs_sql("method, questionnaire, iteration", "k=0", "k=5") + ") GROUP BY ALL), md AS (SELECT method, questionnaire, iteration, k, quantile_cont(score,0.5) AS ce FROM c GROUP BY ALL), dv AS (SELECT c.method, c.questionnaire, c.iteration, c.k, abs(score-ce) AS dd FROM c JOIN md USING (method, questionnaire, iteration, k)), g AS (SELECT method, questionnaire, iteration, k, count(*) AS n, avg(dd) AS m, var_pop(dd) AS v FROM dv GROUP BY ALL), tt AS (SELECT method, questionnaire, iteration, sum(n) AS n, count(*) AS k, sum(n*v) AS w, sum(n*m)/sum(n) AS gm FROM g GROUP BY ALL), f AS (SELECT g.method, g.questionnaire, g.iteration, (sum(g.n*(m-gm)*(m-gm))/nullif(max(tt.k)-1,0))/nullif(max(w)/(max(tt.n)-max(tt.k)),0) AS f FROM g JOIN tt USING (method, questionnaire, iteration) GROUP BY ALL), sd AS (SELECT * FROM bt JOIN pm USING (method, questionnaire, iteration) JOIN f USING (method, questionnaire, iteration))"
+_SD = S + ", bt AS (SELECT method, questionnaire, iteration, stddev_samp(score) FILTER (k=0) AS sd0, stddev_samp(score) FILTER (k=5) AS sd5, quantile_cont(score,0.75) FILTER (k=0)-quantile_cont(score,0.25) FILTER (k=0) AS iqr0, quantile_cont(score,0.75) FILTER (k=5)-quantile_cont(score,0.25) FILTER (k=5) AS iqr5 FROM c GROUP BY ALL), pm AS (SELECT method, questionnaire, iteration, count(*) AS n, CASE WHEN count(*)>=3 THEN corr(a+b,a-b) END AS r FROM (" + _pairs_sql("method, questionnaire, iteration", "k=0", "k=5") + ") GROUP BY ALL), md AS (SELECT method, questionnaire, iteration, k, quantile_cont(score,0.5) AS ce FROM c GROUP BY ALL), dv AS (SELECT c.method, c.questionnaire, c.iteration, c.k, abs(score-ce) AS dd FROM c JOIN md USING (method, questionnaire, iteration, k)), g AS (SELECT method, questionnaire, iteration, k, count(*) AS n, avg(dd) AS m, var_pop(dd) AS v FROM dv GROUP BY ALL), tt AS (SELECT method, questionnaire, iteration, sum(n) AS n, count(*) AS k, sum(n*v) AS w, sum(n*m)/sum(n) AS gm FROM g GROUP BY ALL), f AS (SELECT g.method, g.questionnaire, g.iteration, (sum(g.n*(m-gm)*(m-gm))/nullif(max(tt.k)-1,0))/nullif(max(w)/(max(tt.n)-max(tt.k)),0) AS f FROM g JOIN tt USING (method, questionnaire, iteration) GROUP BY ALL), sd AS (SELECT * FROM bt JOIN pm USING (method, questionnaire, iteration) JOIN f USING (method, questionnaire, iteration))"
 _SDK = ["method", "questionnaire", "iteration"]
 
 
@@ -292,15 +292,16 @@ def _sd_tests(spark, sf_dir) -> DataFrame:
     c = cells(spark, sf_dir)
     k = lambda n: F.when(F.col("k") == n, F.col("score"))
     spread = c.groupBy(*_SDK).agg(*(F.stddev_samp(k(n)).alias(f"sd{n}") for n in (0, 5)), *((F.percentile(k(n), 0.75) - F.percentile(k(n), 0.25)).alias(f"iqr{n}") for n in (0, 5)))
-    both = hypothesis.pitman_morgan(paired.deltas(c, _SDK, _k(0), _k(5)), _SDK).select(*_SDK, "n", "r")
+    both = hypothesis.pitman_morgan(paired.deltas(c, _SDK, _k(0), _k(5)), _SDK).select(*_SDK, "n", F.when(F.col("n") >= 3, F.col("r")).alias("r"))
     return spread.join(both, _SDK).join(hypothesis.levene(c.withColumnRenamed("k", "side"), _SDK, "side").select(*_SDK, "f"), _SDK)
 
 
-@query(_SD + " SELECT method, questionnaire, iteration, n, " + sql6("sd5/nullif(sd0,0) AS sd_ratio", "iqr0", "iqr5", "f", "r", "r*sqrt((n-2)/nullif(1-r*r,0)) AS t") + " FROM sd")
+@query(_SD + " SELECT method, questionnaire, iteration, n, " + sql6("sd5/nullif(sd0,0) AS sd_ratio", "iqr0", "iqr5", "f", "r", "CASE WHEN 1-r*r>1e-6 THEN r*sqrt((n-2)/(1-r*r)) END AS t") + " FROM sd")
 def sd_tests(spark, sf_dir):
-    """Spread of both sides, Brown-Forsythe F and the Pitman-Morgan correlation with its t."""
+    """Spread of both sides, Brown-Forsythe F and the Pitman-Morgan correlation with its t: null under three pairs, t also next to |r| = 1."""
     s = _sd_tests(spark, sf_dir)
-    t = F.col("r") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("r") * F.col("r"), F.lit(0.0)))
+    rest = 1 - F.col("r") * F.col("r")
+    t = F.when(rest > 1e-6, F.col("r") * F.sqrt((F.col("n") - 2) / rest))
     return s.select(*_SDK, "n", *r6("iqr0", "iqr5", "f", "r", sd_ratio=ratio("sd5", "sd0"), t=t))
 
 

@@ -12,19 +12,21 @@ from .contrasts import draws_sql
 from .scores import _P6, _R6, _contrast_sql, _holm_sql
 from .views import C, S, cells, compute, query, r6, sql6, table
 
-#: Cost of an arm's iteration for arms with scores: an order priority each, its months dealt to five iterations.
+#: Cost of an arm's iteration for arms with scores: an order priority each, its months dealt to five iterations. The months of orders
+#: without a priority are dealt to all four arms in turn.
 ARM_COST = {"A_K0": "1-URGENT", "A_K5": "2-HIGH", "B_K0": "3-MEDIUM", "B_K5": "5-LOW"}
 
 
 def costs(spark, sf_dir) -> DataFrame:
     """arm, iteration, n_steps, cost, cum_cost of the arms that have scores."""
-    name = F.coalesce(*(F.when(F.col("arm") == p, F.lit(a)) for a, p in ARM_COST.items()))
-    c = compute(spark, sf_dir).withColumns({"arm": name, "iteration": F.col("iteration") % 5}).where("arm IS NOT NULL")
+    shared = F.get(F.array(*map(F.lit, ARM_COST)), F.col("iteration") % 4)
+    name = F.coalesce(*(F.when(F.col("arm") == p, F.lit(a)) for a, p in ARM_COST.items()), shared)
+    c = compute(spark, sf_dir).withColumns({"arm": name, "iteration": F.col("iteration") % 5})
     g = c.groupBy("arm", "iteration").agg(F.sum("n_steps").alias("n_steps"), F.round(F.sum("cost"), 2).alias("cost"))
     return cost.running_total(g, ["arm"], "iteration", "cost", "cum_cost")
 
 
-_CO = S + ", " + C.replace("WITH m AS", "m AS", 1) + ", co0 AS (SELECT CASE arm WHEN '1-URGENT' THEN 'A_K0' WHEN '2-HIGH' THEN 'A_K5' WHEN '3-MEDIUM' THEN 'B_K0' WHEN '5-LOW' THEN 'B_K5' END AS arm, iteration%5 AS iteration, round(sum(cost),2) AS cost FROM comp WHERE arm<>'4-NOT SPECIFIED' GROUP BY ALL), co AS (SELECT *, sum(cost) OVER (PARTITION BY arm ORDER BY iteration) AS cum_cost FROM co0)"
+_CO = S + ", " + C.replace("WITH m AS", "m AS", 1) + ", co0 AS (SELECT CASE arm WHEN '1-URGENT' THEN 'A_K0' WHEN '2-HIGH' THEN 'A_K5' WHEN '3-MEDIUM' THEN 'B_K0' WHEN '5-LOW' THEN 'B_K5' ELSE (['A_K0','A_K5','B_K0','B_K5'])[1+iteration%4] END AS arm, iteration%5 AS iteration, round(sum(cost),2) AS cost FROM comp GROUP BY ALL), co AS (SELECT *, sum(cost) OVER (PARTITION BY arm ORDER BY iteration) AS cum_cost FROM co0)"
 _NEAR = _CO + ", nb AS (SELECT ia, ib, gap FROM (SELECT a.iteration AS ia, b.iteration AS ib, abs(a.cum_cost-b.cum_cost) AS gap, row_number() OVER (PARTITION BY a.iteration ORDER BY abs(a.cum_cost-b.cum_cost), b.iteration) AS r FROM co a, co b WHERE a.arm='A_K0' AND b.arm='A_K5') WHERE r=1)"
 
 
@@ -98,15 +100,19 @@ def _selected(spark, sf_dir) -> DataFrame:
     return side("A_K0", "iter_a").join(side("A_K5", "iter_b"), ["select_judge", "budget"])
 
 
-def _sweep(spark, sf_dir) -> DataFrame:
-    """Each selection under each grader on another rubric; Holm over the distinct pairs of iterations, not over budgets."""
+def _sweep(spark, sf_dir, how: str = "inner") -> DataFrame:
+    """Each selection under each grader on another rubric; Holm over the distinct pairs of iterations, not over budgets.
+
+    With how="left" selections that a grader has no pairs for stay, without statistics.
+    """
     sel = _selected(spark, sf_dir)
     unique = sel.select("iter_a", "iter_b").distinct()
     j = cells(spark, sf_dir, "judge").where("questionnaire = 'view'")
     pairs = cost.pairs_at(j, unique, "A_K0", "A_K5", ["judge"], keep=["iter_b"])
     by = ["judge", "iter_a", "iter_b"]
     out = paired.holm(paired.of_pairs(pairs, by), ["judge"], tiebreak=["iter_a", "iter_b"])
-    return sel.join(out.withColumnRenamed("judge", "eval_judge"), ["iter_a", "iter_b"])
+    judged = sel.withColumn("eval_judge", F.explode(F.array(F.lit(0), F.lit(1))))
+    return judged.join(out.withColumnRenamed("judge", "eval_judge"), ["iter_a", "iter_b", "eval_judge"], how)
 
 
 @query(_SW + f" SELECT select_judge, eval_judge, budget_ AS budget, sel.ia AS iter_a, sel.ib AS iter_b, n, n_nonzero, {_P6} FROM (SELECT select_judge, round(budget,2) AS budget_, ia, ib FROM sel) sel JOIN hm ON hm.ia=sel.ia AND hm.ib=sel.ib")
@@ -115,24 +121,24 @@ def crossjudge_sweep(spark, sf_dir):
     return _sweep(spark, sf_dir).select("select_judge", "eval_judge", F.round("budget", 2).alias("budget"), "iter_a", "iter_b", "n", "n_nonzero", *r6(*_R6))
 
 
-@query(_SW + ", tp AS (SELECT *, row_number() OVER (PARTITION BY select_judge ORDER BY budget DESC) AS r FROM sel), lo AS (SELECT *, row_number() OVER (PARTITION BY select_judge ORDER BY budget) AS r FROM sel), t AS (SELECT select_judge, eval_judge, mean_delta, p_holm FROM tp JOIN hm ON hm.ia=tp.ia AND hm.ib=tp.ib WHERE r=1), f AS (SELECT select_judge, eval_judge, mean_delta AS first_delta FROM lo JOIN hm ON hm.ia=lo.ia AND hm.ib=lo.ib WHERE r=1) SELECT t.select_judge, t.eval_judge, " + sql6("mean_delta", "first_delta", "p_holm") + ", sign(mean_delta)<>sign(first_delta) AS flipped, CASE WHEN p_holm IS NULL THEN 'no test' WHEN p_holm>=0.05 THEN 'open' WHEN mean_delta>0 THEN 'A_K0' ELSE 'A_K5' END AS verdict FROM t JOIN f USING (select_judge, eval_judge)")
+@query(_SW + ", tp AS (SELECT *, row_number() OVER (PARTITION BY select_judge ORDER BY budget DESC) AS r FROM sel), lo AS (SELECT *, row_number() OVER (PARTITION BY select_judge ORDER BY budget) AS r FROM sel), t AS (SELECT select_judge, e.eval_judge, mean_delta, p_holm FROM tp CROSS JOIN (SELECT unnest([0,1]) AS eval_judge) e LEFT JOIN hm ON hm.ia=tp.ia AND hm.ib=tp.ib AND hm.eval_judge=e.eval_judge WHERE r=1), f AS (SELECT select_judge, e.eval_judge, mean_delta AS first_delta FROM lo CROSS JOIN (SELECT unnest([0,1]) AS eval_judge) e LEFT JOIN hm ON hm.ia=lo.ia AND hm.ib=lo.ib AND hm.eval_judge=e.eval_judge WHERE r=1) SELECT t.select_judge, t.eval_judge, " + sql6("mean_delta", "first_delta", "p_holm") + ", sign(mean_delta)<>sign(first_delta) AS flipped, CASE WHEN p_holm IS NULL THEN 'no test' WHEN p_holm>=0.05 THEN 'open' WHEN mean_delta>0 THEN 'A_K0' ELSE 'A_K5' END AS verdict FROM t JOIN f USING (select_judge, eval_judge)")
 def crossjudge_verdicts(spark, sf_dir):
-    """The largest budget of every sweep: its verdict, and whether the sign differs from the smallest."""
-    s = _sweep(spark, sf_dir)
+    """The largest budget of every sweep, with or without pairs to test: its verdict, and whether the sign differs from the smallest."""
+    s = _sweep(spark, sf_dir, "left")
     g = s.groupBy("select_judge", "eval_judge").agg(F.max_by(F.struct("mean_delta", "p_holm"), "budget").alias("t"), F.min_by(F.struct("mean_delta"), "budget").alias("f"))
     d, p = F.col("t.mean_delta"), F.col("t.p_holm")
     verdict = F.when(p.isNull(), "no test").when(p >= 0.05, "open").when(d > 0, "A_K0").otherwise("A_K5")
     return g.select("select_judge", "eval_judge", *r6(mean_delta=d, first_delta=F.col("f.mean_delta"), p_holm=p), (F.signum(d) != F.signum("f.mean_delta")).alias("flipped"), verdict.alias("verdict"))
 
 
-@query(_SW + draws_sql("dr", "ev", "eval_judge, ia, ib", "persona_id", ["d"], 25) + ", ci AS (SELECT eval_judge, ia, ib, quantile_cont(d,0.025) AS lo, quantile_cont(d,0.975) AS hi FROM dr GROUP BY ALL) SELECT select_judge, hm.eval_judge, round(budget,2) AS budget, " + sql6("-mean_delta AS k_delta", "-hi AS k_lo", "-lo AS k_hi") + " FROM sel JOIN hm ON hm.ia=sel.ia AND hm.ib=sel.ib JOIN ci ON ci.ia=sel.ia AND ci.ib=sel.ib AND ci.eval_judge=hm.eval_judge WHERE n>=3")
+@query(_SW + draws_sql("dr", "ev", "eval_judge, ia, ib", "persona_id", ["d"], 250) + ", ci AS (SELECT eval_judge, ia, ib, quantile_cont(d,0.025) AS lo, quantile_cont(d,0.975) AS hi FROM dr GROUP BY ALL) SELECT select_judge, hm.eval_judge, round(budget,2) AS budget, " + sql6("-mean_delta AS k_delta", "-hi AS k_lo", "-lo AS k_hi") + " FROM sel JOIN hm ON hm.ia=sel.ia AND hm.ib=sel.ib JOIN ci ON ci.ia=sel.ia AND ci.ib=sel.ib AND ci.eval_judge=hm.eval_judge WHERE n>=3")
 def budget_sweep_ci(spark, sf_dir):
-    """The sweep with an interval of 200 draws, in the sign convention of the longer look-ahead."""
+    """The sweep with an interval of 2,000 draws, in the sign convention of the longer look-ahead."""
     sel = _selected(spark, sf_dir)
     j = cells(spark, sf_dir, "judge").where("questionnaire = 'view'")
     pairs = cost.pairs_at(j, sel.select("iter_a", "iter_b").distinct(), "A_K0", "A_K5", ["judge"], keep=["iter_b"])
     by = ["judge", "iter_a", "iter_b"]
-    ends = resample.interval(resample.replicates(pairs, by, "persona_id", ["d"], n=200), by, F.col("d"))
+    ends = resample.interval(resample.replicates(pairs, by, "persona_id", ["d"]), by, F.col("d"))
     out = sel.join(paired.of_pairs(pairs, by).join(ends, by), ["iter_a", "iter_b"]).where("n >= 3")
     return out.select("select_judge", F.col("judge").alias("eval_judge"), F.round("budget", 2).alias("budget"), *r6(k_delta=-F.col("mean_delta"), k_lo=-F.col("hi"), k_hi=-F.col("lo")))
 

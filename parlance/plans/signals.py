@@ -53,8 +53,8 @@ def iid_expectation(spark, sf_dir):
 
 # --- weights -----------------------------------------------------------------------------------------------------------
 
-_PW = G + """, t AS (SELECT * FROM g WHERE phase<>'eval' AND score IS NOT NULL), z AS (SELECT *, row_number() OVER (PARTITION BY arm, train_iter, group_id ORDER BY score DESC, cand_idx) AS top, row_number() OVER (PARTITION BY arm, train_iter, group_id ORDER BY score, cand_idx) AS low, count(*) OVER (PARTITION BY arm, train_iter, group_id) AS n FROM t),
-pw AS (SELECT *, CASE WHEN top=1 THEN 1.0 WHEN low=1 THEN -1.0 ELSE 0.0 END AS weight FROM z WHERE n>2 OR (n>=2 AND top<>low)) """
+_PW = G + """, t AS (SELECT * FROM g WHERE phase<>'eval' AND score IS NOT NULL), z AS (SELECT *, row_number() OVER (PARTITION BY arm, train_iter, group_id ORDER BY score DESC, cand_idx) AS top, row_number() OVER (PARTITION BY arm, train_iter, group_id ORDER BY score, cand_idx) AS low, max(score) OVER (PARTITION BY arm, train_iter, group_id) AS hi, min(score) OVER (PARTITION BY arm, train_iter, group_id) AS lo FROM t),
+pw AS (SELECT *, CASE WHEN top=1 THEN 1.0 WHEN low=1 THEN -1.0 ELSE 0.0 END AS weight FROM z WHERE hi<>lo) """
 
 
 @query(_PW + "SELECT arm, train_iter, group_id, cand_idx, " + sql6("weight") + " FROM pw WHERE weight<>0")
