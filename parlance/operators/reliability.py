@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import average_rank, ratio
+from . import resample
 
 
 def mean_squares(long: DataFrame, by: list[str], target: str, rater: str, value: str = "score") -> DataFrame:
@@ -119,6 +120,29 @@ def pair_counts(rows: DataFrame, by: list[str], x: str, y: str, bits: int = 32)
     return seen.groupBy(*by).agg(F.sum(same + other).alias("n_pairs"), F.sum(same).alias("n_same")).where("n_pairs > 0")
 
 
+def pair_replicates(rows: DataFrame, by: list[str], x: str, y: str, unit: Column, n: int = resample.REPLICATES, seed: int = resample.SEED, bits: int = 32) -> DataFrame:
+    """by, b, n_pairs, n_same: pair_counts over hashed resamples, where two units drawn v and w times give v * w pairs.
+
+    A unit is drawn as often in every group it is in, so groups with the same units are resampled jointly; a unit's pair with itself is a tie.
+    Weights of eight replicates go through the same walk over bits as plain counts do: no pair is made.
+    """
+    group, slots = Window.partitionBy(*by), range(resample.SLOTS)
+    known = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), unit.alias("_u"), (F.dense_rank().over(group.orderBy(y)) - 1).alias("_r"))
+    upto = F.sequence(F.lit(0), F.least(F.lit(bits - 1), F.ceil(F.log2(F.max("_r").over(group) + F.lit(2.0))).cast("int")))
+    drawn = known.withColumn("_bits", upto).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(-(-n // resample.SLOTS) - 1))))
+    drawn = drawn.withColumns({f"_w{i}": w for i, w in enumerate(resample.counts(seed, F.col("_j"), F.col("_u")))})
+    split = drawn.withColumn("_b", F.explode("_bits")).withColumns({"_p": F.expr("shiftright(_r, _b + 1)"), "_one": F.expr("shiftright(_r, _b) & 1")})
+    part = [*by, "_j", "_b", "_p"]
+    sums = [F.sum(F.when(F.col("_one") == v, F.col(f"_w{i}")).otherwise(0)).alias(f"_{name}{i}") for v, name in ((1, "ones"), (0, "zeros")) for i in slots]
+    at_x = split.groupBy(*part, "_x").agg(*sums)
+    below = Window.partitionBy(*part).orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    seen = lambda name, i: F.coalesce(F.sum(f"_{name}{i}").over(below), F.lit(0))
+    walked = at_x.select(*by, "_j", *(c for i in slots for c in ((F.col(f"_ones{i}") * seen("zeros", i)).alias(f"_s{i}"), (F.col(f"_zeros{i}") * seen("ones", i)).alias(f"_d{i}"))))
+    g = walked.groupBy(*by, "_j").agg(*(F.sum(f"_{k}{i}").alias(f"_{k}{i}") for i in slots for k in "sd"))
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), (F.col(f"_s{i}") + F.col(f"_d{i}")).alias("n_pairs"), F.col(f"_s{i}").alias("n_same")) for i in slots))).alias("_e")
+    return g.select(*by, "_j", each).select(*by, (F.col("_j") * resample.SLOTS + F.col("_e.i")).alias("b"), "_e.n_pairs", "_e.n_same").where(F.col("b") < n)
+
+
 def components_of(wide: DataFrame, names: list[str]) -> DataFrame:
     """component, explained, loadings of the principal components of standardised columns, over rows that have all of them.
 

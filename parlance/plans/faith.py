@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import ratio
-from ..operators import paired, reliability, reshape
+from ..operators import paired, reliability, resample, reshape
+from .contrasts import _W
 from .views import JP, S, cells, judge_pairs, query, r6, scores_long, sql6, table
 
 KEYS = ["arm", "iteration", "persona_id"]
@@ -135,6 +136,93 @@ def check_against_rank_agreement(spark, sf_dir):
     return reshape.largest_gap(one, two, by, 1e-9).select("n", *r6("largest_gap"), "equal")
 
 
+# --- intervals ------------------------------------------------------------------------------------------------------------
+
+_PAIRS = ", pp AS (SELECT x.arm, x.method, x.k, x.iteration, x.n_turns{cols}, x.persona_id AS u, y.persona_id AS v, (sign(x.p-y.p)=sign(x.h-y.h))::INT AS same FROM fd x JOIN fd y ON x.arm=y.arm AND x.iteration=y.iteration AND x.n_turns=y.n_turns{on} AND x.persona_id<y.persona_id WHERE x.p<>y.p AND x.h<>y.h), us AS (SELECT DISTINCT arm, iteration, persona_id FROM fd), uh AS (SELECT *, md5('12345|'||j||'|'||arm||'|'||iteration||'|'||persona_id) AS h FROM us, (SELECT unnest(range(250)) AS j)), uu AS (SELECT arm, iteration, persona_id, j*8+i AS b, ('0x'||h[i*4+1:i*4+4])::INT AS u FROM uh, (SELECT unnest(range(8)) AS i)), uw AS (SELECT arm, iteration, persona_id, b, " + _W + " AS w FROM uu), rp AS (SELECT pp.arm, pp.method, pp.k, pp.iteration, n_turns{plain}, p.b, sum(p.w*q.w) AS n_pairs, sum(p.w*q.w*same) AS n_same FROM pp JOIN uw p ON p.arm=pp.arm AND p.iteration=pp.iteration AND p.persona_id=pp.u JOIN uw q ON q.arm=pp.arm AND q.iteration=pp.iteration AND q.persona_id=pp.v AND q.b=p.b GROUP BY ALL)"
+_RP = _PAIRS.format(cols="", on="", plain="")
+_ENDS = "quantile_cont(ag,0.025) AS lo", "quantile_cont(ag,0.975) AS hi"
+
+
+def _draws(spark, sf_dir, *more: str) -> DataFrame:
+    """Pair counts of 2,000 resamples of the conversations of an arm and iteration, joint over its lengths and strata."""
+    unit = F.concat_ws("|", "arm", F.col("iteration").cast("string"), F.col("persona_id").cast("string"))
+    return reliability.pair_replicates(proxies(spark, sf_dir), ["arm", "method", "k", "iteration", "n_turns", *more], "p", "h", unit)
+
+
+def _in_bins(spark, counts: DataFrame) -> DataFrame:
+    bins = spark.createDataFrame(list(BINS), "bin string, lo int, hi int")
+    return counts.join(F.broadcast(bins), F.col("n_turns").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
+
+
+def _with_interval(counts: DataFrame, draws: DataFrame, by: list[str]) -> DataFrame:
+    """by, n_pairs, agreement, lo, hi: the share of all pairs and the interval of the same share over resamples."""
+    ends = resample.interval(pooled(draws, [*by, "b"]), by, F.col("agreement"))
+    return pooled(counts, by).join(ends, by, "left")
+
+
+def _k_delta(counts: DataFrame, by: list[str]) -> DataFrame:
+    """by, k0, k5, delta of the pooled shares of both look-aheads."""
+    part = lambda k, n: F.sum(F.when(F.col("k") == k, F.col(n)))
+    g = counts.groupBy(*by).agg(*(ratio(part(k, "n_same"), part(k, "n_pairs")).alias(f"k{k}") for k in (0, 5)))
+    return g.withColumn("delta", F.col("k5") - F.col("k0"))
+
+
+def _delta_interval(counts: DataFrame, draws: DataFrame, by: list[str]) -> DataFrame:
+    ends = resample.interval(_k_delta(draws, [*by, "b"]), by, F.col("delta"))
+    return _k_delta(counts, by).join(ends, by, "left").where("delta IS NOT NULL")
+
+
+def _shares_sql(by: str, source: str = "pc", draws: str = "rp", least: int = 1) -> str:
+    return f", pt AS (SELECT {by}, sum(n_pairs) AS n_pairs, sum(n_same)::DOUBLE/sum(n_pairs) AS agreement FROM {source} GROUP BY ALL), dd AS (SELECT {by}, b, sum(n_same)::DOUBLE/nullif(sum(n_pairs),0) AS ag FROM {draws} GROUP BY ALL), en AS (SELECT {by}, {', '.join(_ENDS)} FROM dd GROUP BY ALL) SELECT {by}, n_pairs::BIGINT AS n_pairs, " + sql6("agreement", "lo", "hi") + f" FROM pt LEFT JOIN en USING ({by}) WHERE n_pairs>={least}"
+
+
+def _deltas_sql(by: str, source: str = "pc", draws: str = "rp") -> str:
+    side = lambda k: f"sum(n_same) FILTER (k={k})::DOUBLE/nullif(sum(n_pairs) FILTER (k={k}),0)"
+    return f", pt AS (SELECT {by}, {side(0)} AS k0, {side(5)} AS k5 FROM {source} GROUP BY ALL), dd AS (SELECT {by}, b, {side(5)}-{side(0)} AS ag FROM {draws} GROUP BY ALL), en AS (SELECT {by}, {', '.join(_ENDS)} FROM dd GROUP BY ALL) SELECT {by}, " + sql6("k0", "k5", "k5-k0 AS delta", "lo", "hi") + f" FROM pt LEFT JOIN en USING ({by}) WHERE k5-k0 IS NOT NULL"
+
+
+_BINNED = ", pcb AS (SELECT pc.*, bin FROM pc JOIN bn ON n_turns BETWEEN lo AND hi), rpb AS (SELECT rp.*, bin FROM rp JOIN bn ON n_turns BETWEEN lo AND hi)"
+
+
+@query(_BIN + _RP + _BINNED + _shares_sql("arm, bin", "pcb", "rpb", 20))
+def faithfulness_curve_ci(spark, sf_dir):
+    """Agreement by range of length with its interval over resampled conversations."""
+    out = _with_interval(_binned(spark, sf_dir), _in_bins(spark, _draws(spark, sf_dir)), ["arm", "bin"])
+    return out.where("n_pairs >= 20").select("arm", "bin", "n_pairs", *r6("agreement", "lo", "hi"))
+
+
+@query(_CELL + _RP + _shares_sql("arm, iteration"))
+def faithfulness_by_iter_ci(spark, sf_dir):
+    out = _with_interval(_counts(spark, sf_dir), _draws(spark, sf_dir), ["arm", "iteration"])
+    return out.select("arm", "iteration", "n_pairs", *r6("agreement", "lo", "hi"))
+
+
+@query(_CELL + _RP + _deltas_sql("method, iteration"))
+def k_faithfulness_ci(spark, sf_dir):
+    """Both look-aheads by iteration, and the interval of their difference; the arms are resampled apart."""
+    by = ["method", "iteration"]
+    return _delta_interval(_counts(spark, sf_dir), _draws(spark, sf_dir), by).select(*by, *r6("k0", "k5", "delta", "lo", "hi"))
+
+
+@query(_BIN + _RP + _BINNED + _deltas_sql("method, bin", "pcb", "rpb"))
+def matched_policy_ci(spark, sf_dir):
+    """The difference of the look-aheads by range of length, with its interval."""
+    by = ["method", "bin"]
+    return _delta_interval(_binned(spark, sf_dir), _in_bins(spark, _draws(spark, sf_dir)), by).select(*by, *r6("k0", "k5", "delta", "lo", "hi"))
+
+
+@query(_CELL + _RP + _deltas_sql("method"))
+def k_faithfulness_summary_ci(spark, sf_dir):
+    """The difference pooled over all pairs of a method, with its interval."""
+    return _delta_interval(_counts(spark, sf_dir), _draws(spark, sf_dir), ["method"]).select("method", *r6("k0", "k5", "delta", "lo", "hi"))
+
+
+@query(_FD + _counts_sql("arm, method, k, iteration, n_turns, stratum") + _PAIRS.format(cols=", x.stratum", on=" AND x.stratum=y.stratum", plain=", stratum") + _shares_sql("arm, stratum"))
+def by_cooperation_ci(spark, sf_dir):
+    out = _with_interval(_counts(spark, sf_dir, "stratum"), _draws(spark, sf_dir, "stratum"), ["arm", "stratum"])
+    return out.select("arm", "stratum", "n_pairs", *r6("agreement", "lo", "hi"))
+
+
 # --- graders -----------------------------------------------------------------------------------------------------------
 
 
