@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import cache
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,24 +44,53 @@ def summary(pairs: DataFrame, by: list[str], least: int = 3) -> DataFrame:
     return _enough(pairs.groupBy(*by).agg(*_moments()).withColumn("dz", ratio("mean_delta", "sd_delta")), MOMENTS, least)
 
 
+#: Nonzero differences up to which the signed-rank p is exact: without ties and zeros, and with them.
+EXACT, EXACT_TIES = 50, 13
+
+
+@cache
+def _signed_rank_tails() -> list[tuple[int, list[float]]]:
+    """(n, P(T <= 0), P(T <= 1), ...) up to half of the largest sum of ranks: each rank is in the sum or not, with equal odds."""
+    out, odds = [], [1]
+    for n in range(1, EXACT + 1):
+        odds = [(odds[i] if i < len(odds) else 0) + (odds[i - n] if i >= n else 0) for i in range(len(odds) + n)]
+        out.append((n, [t / 2**n for t in accumulate(odds[: len(odds) // 2 + 1])]))
+    return out
+
+
+def _tail_of(ranks: Column, w: Column) -> Column:
+    """P(T <= w) for a short array of doubled ranks, by the recurrence over sums that a rank joins or not; w is doubled, too."""
+    joined = lambda f, r: F.transform(F.sequence(F.lit(0), F.size(f) - 1 + r), lambda i: (F.coalesce(F.get(f, i), F.lit(0.0)) + F.coalesce(F.get(f, i - r), F.lit(0.0))) / 2)
+    odds = F.aggregate(ranks, F.array(F.lit(1.0)), joined)
+    return F.aggregate(F.slice(odds, 1, w + 1), F.lit(0.0), lambda s, x: s + x)
+
+
 def signed_ranks(pairs: DataFrame, by: list[str], *more: Column) -> DataFrame:
     """by, n_nonzero, t_plus, t_minus, w, z, p and the aggregates `more`, in one grouping of ranked rows.
 
-    Zero differences take no rank, ties the mean rank; p is the normal approximation. Groups whose differences are all zero have
-    n_nonzero 0, null statistics and p 1 (the convention of the core contrast).
+    Zero differences take no rank, ties the mean rank. p is exact up to 50 differences if none is zero and no sizes tie, up to 13 nonzero
+    ones otherwise, and the normal approximation beyond. Groups whose differences are all zero have n_nonzero 0, null statistics and p 1
+    (the convention of the core contrast).
     """
     zero = F.col("d") == 0
     ranked = pairs.where("d IS NOT NULL").withColumns({"_size": F.abs("d"), "_zero": zero})
-    ranked = ranked.withColumns({"_rank": average_rank([*by, "_zero"], "_size"), "_ties": F.count(F.lit(1)).over(Window.partitionBy(*by, "_size")).cast("double")})
+    ranked = ranked.withColumns({"_rank": average_rank([*by, "_zero"], "_size"), "_ties": F.count(F.lit(1)).over(Window.partitionBy(*by, "_size")).cast("double"), "_own": F.count(F.lit(1)).over(Window.partitionBy(*by, "_zero"))})
     n = F.count_if(~F.col("_zero")).cast("double")
     some = lambda c: F.sum(F.when(~F.col("_zero"), c))
     g = ranked.groupBy(*by).agg(
         F.count_if(~F.col("_zero")).alias("n_nonzero"), some(F.when(F.col("d") > 0, F.col("_rank")).otherwise(0.0)).alias("t_plus"),
         some(F.when(F.col("d") < 0, F.col("_rank")).otherwise(0.0)).alias("t_minus"), (n * (n + 1) / 4).alias("_mean"),
         (n * (n + 1) * (2 * n + 1) / 24 - some(F.col("_ties") * F.col("_ties") - 1) / 48).alias("_var"), *more,
+        F.collect_list(F.when(~F.col("_zero") & (F.col("_own") <= EXACT_TIES), (2 * F.col("_rank")).cast("int"))).alias("_few"),
+        (F.coalesce(F.max(F.col("_zero") | (F.col("_ties") > 1)), F.lit(False))).alias("_uneven"),
     )
     g = g.withColumns({"w": F.least("t_plus", "t_minus"), "z": (F.col("t_plus") - F.col("_mean")) / F.nullif(F.sqrt("_var"), F.lit(0.0))}).drop("_mean", "_var")
-    return g.withColumn("p", F.when(F.col("n_nonzero") == 0, 1.0).otherwise(two_sided_p("z")))
+    tails = F.broadcast(pairs.sparkSession.createDataFrame(_signed_rank_tails(), "n_nonzero long, _tail array<double>"))
+    g = g.join(tails, "n_nonzero", "left")
+    both = lambda tail: F.least(F.lit(1.0), 2 * tail)
+    p = F.when(F.col("n_nonzero") == 0, 1.0).when(F.col("n_nonzero") <= EXACT_TIES, both(_tail_of(F.col("_few"), (2 * F.col("w")).cast("int"))))
+    p = p.when((F.col("n_nonzero") <= EXACT) & ~F.col("_uneven"), both(F.get("_tail", F.col("w").cast("int")))).otherwise(two_sided_p("z"))
+    return g.withColumn("p", p).drop("_tail", "_few", "_uneven")
 
 
 def wilcoxon(pairs: DataFrame, by: list[str], d: str = "d") -> DataFrame:

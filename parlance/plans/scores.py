@@ -189,12 +189,16 @@ def _pairs_sql(by: str, first: str, second: str, source: str = "c") -> str:
 def _contrast_sql(by: str, pairs: str) -> str:
     """CTEs from `pairs`: st (summary), wx (signed ranks), ct (both with p)."""
     on = " AND ".join(f"st.{k.strip()} = wx.{k.strip()}" for k in by.split(","))
+    we = " AND ".join(f"wx0.{k.strip()} = we.{k.strip()}" for k in by.split(","))
     return f""", pr AS ({pairs}), st AS (SELECT {by}, {_STAT} FROM pr GROUP BY {by}),
 rk AS (SELECT *, rank() OVER (PARTITION BY {by} ORDER BY abs(d)) + (count(*) OVER (PARTITION BY {by}, abs(d)) - 1)/2.0 AS r, count(*) OVER (PARTITION BY {by}, abs(d)) AS t FROM pr WHERE d<>0),
-w0 AS (SELECT {by}, count(*) AS n_nonzero, sum(CASE WHEN d>0 THEN r ELSE 0 END) AS t_plus, sum(CASE WHEN d<0 THEN r ELSE 0 END) AS t_minus, count(*)*(count(*)+1)/4.0 AS mu,
+w0 AS (SELECT {by}, count(*) AS n_nonzero, sum(CASE WHEN d>0 THEN r ELSE 0 END) AS t_plus, sum(CASE WHEN d<0 THEN r ELSE 0 END) AS t_minus, count(*)*(count(*)+1)/4.0 AS mu, list(r) AS rs, max(t) AS most,
  count(*)::DOUBLE*(count(*)+1)*(2*count(*)+1)/24.0 - sum(t::DOUBLE*t-1)/48.0 AS va FROM rk GROUP BY {by}),
-wx AS (SELECT *, least(t_plus,t_minus) AS w, (t_plus-mu)/nullif(sqrt(va),0) AS z FROM w0),
-ct AS (SELECT st.*, coalesce(n_nonzero,0) AS n_nonzero, CASE WHEN n>=3 THEN w END AS w, CASE WHEN n>=3 THEN z END AS z, CASE WHEN n>=3 THEN CASE WHEN coalesce(n_nonzero,0)=0 THEN 1.0 ELSE {p_sql('z')} END END AS p FROM st LEFT JOIN wx ON {on})
+wd AS (SELECT 0 AS wn, [1.0::DOUBLE] || [0.0::DOUBLE for i in range(1275)] AS wf UNION ALL SELECT wn+1, [(wf[i] + CASE WHEN i>wn+1 THEN wf[i-wn-1] ELSE 0 END)/2 for i in range(1,1277)] FROM wd WHERE wn<50),
+wx0 AS (SELECT *, least(t_plus,t_minus) AS w, (t_plus-mu)/nullif(sqrt(va),0) AS z FROM w0),
+we AS (SELECT {by}, least(1.0, 2*avg((s<=w)::INT)) AS pe FROM (SELECT {by}, w, list_sum([CASE WHEN (m >> (i-1)) & 1 = 1 THEN rs[i] ELSE 0 END for i in range(1,n_nonzero+1)]) AS s FROM (SELECT *, unnest(range(1 << n_nonzero)) AS m FROM wx0 WHERE n_nonzero<=13)) GROUP BY {by}),
+wx AS (SELECT wx0.*, pe, list_sum(wf[1:w::INT+1]) AS pt FROM wx0 LEFT JOIN we ON {we} LEFT JOIN wd ON wn=n_nonzero AND n_nonzero>13 AND most=1),
+ct AS (SELECT st.*, coalesce(n_nonzero,0) AS n_nonzero, CASE WHEN n>=3 THEN w END AS w, CASE WHEN n>=3 THEN z END AS z, CASE WHEN n>=3 THEN CASE WHEN coalesce(n_nonzero,0)=0 THEN 1.0 WHEN pe IS NOT NULL THEN pe WHEN pt IS NOT NULL AND n_nonzero=n THEN least(1.0,2*pt) ELSE {p_sql('z')} END END AS p FROM st LEFT JOIN wx ON {on})
 """
 
 

@@ -79,7 +79,7 @@ def cells(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return scores_long(spark, sf_dir).where("score IS NOT NULL").groupBy(*keys).agg(F.avg("score").alias("score"))
 
 
-S = """WITH s0 AS (SELECT event_id, user_id AS persona_id, event_type AS questionnaire, value AS score,
+S = """WITH RECURSIVE s0 AS (SELECT event_id, user_id AS persona_id, event_type AS questionnaire, value AS score,
  (['A_K0','A_K5','B_K0','B_K5'])[1 + (json_extract_string(props,'$.k')::INT % 4)] AS arm, ((day(ts)-1)//6)::INT AS iteration, (event_id % 2)::INT AS judge FROM events),
 s AS (SELECT *, arm[1:1] AS method, arm[4:4]::INT AS k, iteration = 0 AS is_base FROM s0),
 c AS (SELECT arm, method, k, iteration, persona_id, questionnaire, avg(score) AS score FROM s GROUP BY ALL),
