@@ -1,4 +1,4 @@
-"""Tests of independent groups and of repeated measures, from rank windows and moments."""
+"""Tests of independent groups and of repeated measures, from ranks and moments."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import average_rank, col, ratio, two_sided_p
+from . import ranking
 
 
 def _ties(by: list[str], value: str) -> Column:
@@ -31,7 +32,7 @@ def mann_whitney(df: DataFrame, by: list[str], first: Column, value: str = "scor
 
 def kruskal(df: DataFrame, by: list[str], group: str, value: str = "score") -> DataFrame:
     """by, n, k, h: tie-corrected Kruskal-Wallis statistic."""
-    r = df.where(col(value).isNotNull()).withColumns({"_rank": average_rank(by, value), "_t": _ties(by, value)})
+    r = ranking.with_rank(df, by, value, "_rank", "_t").withColumn("_t", F.col("_t").cast("double"))
     g = r.groupBy(*by, group).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.sum("_rank").alias("_r"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_ties"))
     g = g.groupBy(*by).agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("_r") * F.col("_r") / F.col("_n")).alias("_s"), F.sum("_ties").alias("_ties"))
     n = F.col("n")
@@ -51,9 +52,9 @@ def anova(df: DataFrame, by: list[str], group: str, value: str = "score") -> Dat
 
 def levene(df: DataFrame, by: list[str], group: str, value: str = "score", center: str = "median") -> DataFrame:
     """One-way F of the distances from each group's median (Brown-Forsythe) or mean."""
-    middle = (F.percentile(value, 0.5) if center == "median" else F.avg(value)).alias("_c")
-    known = df.where(col(value).isNotNull())
-    spread = known.join(known.groupBy(*by, group).agg(middle), [*by, group]).withColumn("_d", F.abs(col(value) - F.col("_c")))
+    known, of = df.where(col(value).isNotNull()), [*by, group]
+    middle = ranking.quantiles(known, of, value, {"_c": 0.5}) if center == "median" else known.groupBy(*of).agg(F.avg(value).alias("_c"))
+    spread = known.join(middle, of).withColumn("_d", F.abs(col(value) - F.col("_c")))
     return anova(spread, by, group, "_d")
 
 
@@ -96,7 +97,8 @@ def pitman_morgan(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """by, n, rho of rows where both are known; null where either is constant."""
-    known = df.where(col(x).isNotNull() & col(y).isNotNull()).withColumns({"_x": average_rank(by, x), "_y": average_rank(by, y)})
+    known = df.where(col(x).isNotNull() & col(y).isNotNull())
+    known = ranking.with_rank(ranking.with_rank(known, by, x, "_x"), by, y, "_y")
     return known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(F.stddev_pop("_x") * F.stddev_pop("_y") > 0, F.corr("_x", "_y")).alias("rho"))
 
 

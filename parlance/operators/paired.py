@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import average_rank, col, effect_label, ratio, two_sided_p
-from . import resample
+from . import ranking, resample
 
 UNIT = "persona_id"
 
@@ -166,7 +166,7 @@ def did(cells: DataFrame, by: list[str], sides: tuple[Column, Column, Column, Co
 
 def trajectory(cells: DataFrame, by: list[str], least: int = 3) -> DataFrame:
     """by, n_iterations, rho, slope, peak_iteration, final_iteration: rank correlation and slope over rows; null under `least` iterations."""
-    ranked = cells.withColumns({"_x": average_rank(by, "iteration"), "_y": average_rank(by, "score")})
+    ranked = ranking.with_rank(ranking.with_rank(cells, by, "iteration", "_x"), by, "score", "_y")
     rows = ranked.groupBy(*by).agg(
         F.count_distinct("iteration").alias("n_iterations"), F.when(F.stddev_pop("_x") * F.stddev_pop("_y") > 0, F.corr("_x", "_y")).alias("rho"),
         F.when(F.stddev_pop("iteration") > 0, F.regr_slope(F.col("score"), F.col("iteration").cast("double"))).alias("slope"), F.max("iteration").alias("final_iteration"),

@@ -6,29 +6,32 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import average_rank, ratio
-from . import resample
+from ..functions.expr import ratio
+from . import ranking, resample
 
 
 def mean_squares(long: DataFrame, by: list[str], target: str, rater: str, value: str = "score") -> DataFrame:
     """by, n, k, msr, msc, mse of the two-way layout without repeats; targets that lack a rater are left out.
 
-    Sums of squares are taken from the grand mean and the means of targets and raters, so large levels with little spread keep their digits.
+    Values are taken from the grand mean first, so large levels with little spread keep their digits. Raters are few: a target holds its
+    ratings as one array, and two groupings of those give all sums of squares.
     """
     keyed = long.groupBy(*by, target, rater).agg(F.avg(value).alias("v"))
-    raters = keyed.groupBy(*by).agg(F.count_distinct(rater).alias("k"))
-    own = keyed.groupBy(*by, target).agg(F.count(F.lit(1)).alias("_own"), F.avg("v").alias("_t"))
-    whole = own.join(raters, by).where("_own = k").drop("_own")
-    rows = keyed.join(whole, [*by, target])
-    cols = rows.groupBy(*by, rater).agg(F.avg("v").alias("_c"))
-    grand = whole.groupBy(*by, "k").agg(F.count(F.lit(1)).alias("n"), F.avg("_t").alias("_g"))
-    square = lambda x: x * x
-    between = whole.drop("k").join(grand, by).groupBy(*by, "n", "k").agg(F.sum(square(F.col("_t") - F.col("_g"))).alias("_r"))
-    across = cols.join(grand, by).groupBy(*by).agg(F.sum(square(F.col("_c") - F.col("_g"))).alias("_q"))
-    rest = rows.drop("k").join(cols, [*by, rater]).join(grand.drop("n", "k"), by).groupBy(*by).agg(F.sum(square(F.col("v") - F.col("_t") - F.col("_c") + F.col("_g"))).alias("_e"))
-    g = between.join(across, by).join(rest, by)
+    rated = keyed.groupBy(*by, target).agg(F.sort_array(F.collect_list(F.struct(F.col(rater).alias("rater"), "v"))).alias("_x"))
+    all_of = rated.groupBy(*by).agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set("_x.rater")))).alias("k"), F.avg(F.aggregate("_x", F.lit(0.0), lambda s, x: s + x["v"]) / F.size("_x")).alias("_g"))
+    whole = rated.join(all_of, by).where(F.size("_x") == F.col("k")).select(*by, "k", F.transform("_x", lambda x: x["v"] - F.col("_g")).alias("_u"))
+    row = F.aggregate("_u", F.lit(0.0), lambda s, u: s + u)
+    each = whole.select(*by, "k", row.alias("_row"), F.posexplode("_u").alias("_at", "_v"))
+    cols = each.groupBy(*by, "k", "_at").agg(F.count(F.lit(1)).alias("n"), F.sum("_v").alias("_c"), F.sum(F.col("_v") * F.col("_v")).alias("_q"), F.sum(F.when(F.col("_at") == 0, F.col("_row") * F.col("_row"))).alias("_r"))
+    g = cols.groupBy(*by, "k", "n").agg(F.sum("_c").alias("_sum"), F.sum(F.col("_c") * F.col("_c")).alias("_cc"), F.sum("_q").alias("_qq"), F.sum("_r").alias("_rr"))
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
-    return g.select(*by, "n", "k", ratio(k * F.col("_r"), n - 1).alias("msr"), ratio(n * F.col("_q"), k - 1).alias("msc"), ratio("_e", (n - 1) * (k - 1)).alias("mse"))
+    level = F.col("_sum") * F.col("_sum") / (n * k)
+    up = lambda x: F.greatest(x, F.lit(0.0))
+    between, across = up(F.col("_rr") / k - level), up(F.col("_cc") / n - level)
+    rest = up(F.col("_qq") - F.col("_rr") / k - F.col("_cc") / n + level)
+    return g.select(*by, F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k"), ratio(between, n - 1).alias("msr"), ratio(across, k - 1).alias("msc"), ratio(rest, (n - 1) * (k - 1)).alias("mse"))
+
 
 
 def icc_2_1(long: DataFrame, by: list[str], target: str, rater: str, value: str = "score") -> DataFrame:
@@ -48,7 +51,7 @@ def variance_components(long: DataFrame, by: list[str], target: str, rater: str,
 
 def agreement(pairs: DataFrame, by: list[str], x: str = "p", y: str = "h") -> DataFrame:
     """by, n, pearson, spearman, bias, mean_abs_diff of two graders on the same units."""
-    r = pairs.withColumns({"_x": average_rank(by, x), "_y": average_rank(by, y)})
+    r = ranking.with_rank(ranking.with_rank(pairs, by, x, "_x"), by, y, "_y")
     safe = lambda a, b: F.when(F.stddev_pop(a) * F.stddev_pop(b) > 0, F.corr(a, b))
     return r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), safe(x, y).alias("pearson"), safe("_x", "_y").alias("spearman"), F.avg(F.col(y) - F.col(x)).alias("bias"), F.avg(F.abs(F.col(y) - F.col(x))).alias("mean_abs_diff"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import ratio
+from . import ranking
 
 GROUP = ["arm", "train_iter", "group_id"]
 #: A pair is emitted only above this difference.
@@ -41,11 +42,16 @@ def group_frame(gens: DataFrame, by: list[str] = GROUP) -> DataFrame:
 def dispersion(groups: DataFrame, by: list[str], tau: float = TAU) -> DataFrame:
     """by: summaries over groups with at least two scores."""
     g = groups.where("n_scored >= 2")
-    return g.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_groups"), F.avg("sd0").alias("sd_mean"), F.percentile("sd0", 0.5).alias("sd_median"), F.avg("margin").alias("margin_mean"), F.percentile("margin", 0.5).alias("margin_median"),
+    sums = g.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_groups"), F.avg("sd0").alias("sd_mean"), F.avg("margin").alias("margin_mean"),
         F.avg("winner_z").alias("winner_z"), F.avg((F.col("sd0") < 1e-6).cast("int")).alias("frac_sd_zero"), F.avg((F.col("n_scored") < F.col("n")).cast("int")).alias("frac_unscored"),
-        F.avg((F.col("margin") > tau).cast("int")).alias("yield_tau"), (F.percentile("mean", 0.75) - F.percentile("mean", 0.25)).alias("reward_iqr"),
+        F.avg((F.col("margin") > tau).cast("int")).alias("yield_tau"),
     )
+    long = g.select(*by, F.explode(F.create_map(*(x for n in ("sd0", "margin", "mean") for x in (F.lit(n), F.col(n).cast("double"))))).alias("of", "value"))
+    q = ranking.quantiles(long, [*by, "of"], "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    part = lambda n, c: F.max(F.when(F.col("of") == n, F.col(c)))
+    middle = q.groupBy(*by).agg(part("sd0", "q2").alias("sd_median"), part("margin", "q2").alias("margin_median"), (part("mean", "q3") - part("mean", "q1")).alias("reward_iqr"))
+    return sums.join(middle, by)
 
 
 def tau_yield(groups: DataFrame, by: list[str], taus: list[float]) -> DataFrame:

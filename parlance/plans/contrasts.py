@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import favours, model_name, ratio, stars
-from ..operators import hypothesis, paired, reliability, reshape, resample
+from ..operators import hypothesis, paired, ranking, reliability, reshape, resample
 from .scores import _EFFECT, _P6, _R6, _contrast_sql, _holm_sql, _k, _pairs_sql
 from .views import ITEMS, JP, S, cells, items_long, judge_pairs, query, r6, scores_long, sql6, table
 
@@ -291,7 +291,9 @@ _SDK = ["method", "questionnaire", "iteration"]
 def _sd_tests(spark, sf_dir) -> DataFrame:
     c = cells(spark, sf_dir)
     k = lambda n: F.when(F.col("k") == n, F.col("score"))
-    spread = c.groupBy(*_SDK).agg(*(F.stddev_samp(k(n)).alias(f"sd{n}") for n in (0, 5)), *((F.percentile(k(n), 0.75) - F.percentile(k(n), 0.25)).alias(f"iqr{n}") for n in (0, 5)))
+    q = ranking.quantiles(c, [*_SDK, "k"], "score", {"q1": 0.25, "q3": 0.75})
+    width = q.groupBy(*_SDK).agg(*(F.max(F.when(F.col("k") == n, F.col("q3") - F.col("q1"))).alias(f"iqr{n}") for n in (0, 5)))
+    spread = c.groupBy(*_SDK).agg(*(F.stddev_samp(k(n)).alias(f"sd{n}") for n in (0, 5))).join(width, _SDK)
     both = hypothesis.pitman_morgan(paired.deltas(c, _SDK, _k(0), _k(5)), _SDK).select(*_SDK, "n", F.when(F.col("n") >= 3, F.col("r")).alias("r"))
     return spread.join(both, _SDK).join(hypothesis.levene(c.withColumnRenamed("k", "side"), _SDK, "side").select(*_SDK, "f"), _SDK)
 

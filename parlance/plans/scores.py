@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import effect_label, favours, ratio, stars
-from ..operators import hypothesis, paired, reshape
+from ..operators import hypothesis, paired, ranking, reshape
 from .views import S, cells, p_sql, query, r6, scores_long, sql6, table
 
 # --- shape -----------------------------------------------------------------------------------------------------------
@@ -419,7 +419,7 @@ def rubric_correlation_spearman(spark, sf_dir):
 
 @query(S + "SELECT questionnaire, arm, iteration, count(*) AS n, " + sql6("avg(score) AS mean", "quantile_cont(score,0.5) AS median", "stddev_samp(score) AS sd", "quantile_cont(score,0.75)-quantile_cont(score,0.25) AS iqr", "avg((score>=40)::INT) AS share_40", "avg((score>=45)::INT) AS share_45") + " FROM c GROUP BY ALL")
 def sd_by_iter(spark, sf_dir):
-    q = lambda p: F.percentile("score", p)
-    g = cells(spark, sf_dir).groupBy("questionnaire", "arm", "iteration").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), q(0.5).alias("median"), F.stddev_samp("score").alias("sd"), (q(0.75) - q(0.25)).alias("iqr"), *(F.avg((F.col("score") >= t).cast("int")).alias(f"share_{t}") for t in (40, 45)))
+    c, by = cells(spark, sf_dir), ["questionnaire", "arm", "iteration"]
+    g = c.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"), *(F.avg((F.col("score") >= t).cast("int")).alias(f"share_{t}") for t in (40, 45)))
+    g = g.join(ranking.quantiles(c, by, "score", {"q1": 0.25, "median": 0.5, "q3": 0.75}), by).withColumn("iqr", F.col("q3") - F.col("q1"))
     return g.select("questionnaire", "arm", "iteration", "n", *r6("mean", "median", "sd", "iqr", "share_40", "share_45"))
