@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import distributions
 from ..functions.expr import average_rank, col, ratio, two_sided_p
 from . import ranking
 
@@ -113,14 +114,39 @@ def jarque_bera(df: DataFrame, by: list[str], value: str = "score") -> DataFrame
     return g.select(*by, "n", "skew", "kurt", (2 * half).alias("jb"), F.exp(-half).alias("p"))
 
 
+def shapiro_wilk(df: DataFrame, by: list[str], value: str = "score", chunk: int = 100_000) -> DataFrame:
+    """by, n, w, p of groups with three values at least; null for constant ones. Scores follow global ranks, so no group is in one task.
+
+    Equal values stand for a run of places; a run is dealt with in chunks.
+    """
+    known = df.where(col(value).isNotNull())
+    size = known.groupBy(*by).agg(F.count(value).cast("double").alias("n"), F.avg(value).alias("_m"), (F.var_pop(value) * F.count(value)).alias("ss"))
+    counts = ranking.ranked_counts(ranking.counted(known, by, value), by).join(size, by)
+    first = (F.col("_rank") - (F.col("_n") - 1) / 2).cast("long")
+    runs = counts.withColumns({"_x": F.col("_v") - F.col("_m"), "_last": first + F.col("_n") - 1, "_from": F.explode(F.sequence(first, first + F.col("_n") - 1, F.lit(chunk)))})
+    places = runs.withColumn("i", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + chunk - 1, F.col("_last")))))
+    score = F.expr(distributions.normal_quantile("((i-0.375D)/(n+0.25D))"))
+    i, n = F.col("i"), F.col("n")
+    end = (i == 1) | (i == n) | ((n > 5) & ((i == 2) | (i == n - 1)))
+    at = lambda c, x: F.max(F.when(c, x))
+    g = places.withColumn("_s", score).groupBy(*by, "n", "ss").agg(
+        F.sum(F.col("_s") * F.col("_s")).alias("mm"), F.coalesce(F.sum(F.when(~end, F.col("_s") * F.col("_x"))), F.lit(0.0)).alias("mid"), at(i == 1, F.col("_s")).alias("m1"), at(i == 2, F.col("_s")).alias("m2"),
+        at(i == 1, F.col("_x")).alias("x1"), at(i == 2, F.col("_x")).alias("x2"), at(i == n, F.col("_x")).alias("y1"), at(i == n - 1, F.col("_x")).alias("y2"),
+    )
+    g = g.where("n >= 3")
+    for name, text in distributions.shapiro_w().items():
+        g = g.withColumn(name, F.expr(text))
+    return g.select(*by, n.cast("long").alias("n"), "w", F.expr(distributions.shapiro_p()).alias("p"))
+
+
 def tukey_kramer(df: DataFrame, by: list[str], group: str, value: str = "score") -> DataFrame:
-    """by, a < b, diff, q: mean differences of every two groups over their standard error; groups are settings, so pairs are few."""
+    """by, a < b, diff, q, k, df: mean differences of every two groups over their standard error; groups are settings, so pairs are few."""
     g = df.where(col(value).isNotNull()).groupBy(*by, group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
-    error = g.groupBy(*by).agg(ratio(F.sum(F.col("n") * F.col("v")), F.sum("n") - F.count(F.lit(1))).alias("mse"))
+    error = g.groupBy(*by).agg(ratio(F.sum(F.col("n") * F.col("v")), F.sum("n") - F.count(F.lit(1))).alias("mse"), F.count(F.lit(1)).alias("k"), (F.sum("n") - F.count(F.lit(1))).alias("df"))
     side = lambda x: g.select(*by, F.col(group).alias(x), F.col("n").alias(f"n_{x}"), F.col("m").alias(f"m_{x}"))
     pairs = side("a").join(side("b"), by).where("a < b").join(error, by)
     diff = F.col("m_a") - F.col("m_b")
-    return pairs.select(*by, "a", "b", diff.alias("diff"), ratio(F.abs(diff), F.sqrt(F.col("mse") / 2 * (1 / F.col("n_a") + 1 / F.col("n_b")))).alias("q"))
+    return pairs.select(*by, "a", "b", diff.alias("diff"), ratio(F.abs(diff), F.sqrt(F.col("mse") / 2 * (1 / F.col("n_a") + 1 / F.col("n_b")))).alias("q"), "k", "df")
 
 
 def pair_rows(df: DataFrame, group: str) -> DataFrame:

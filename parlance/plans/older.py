@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import ratio
+from ..functions.distributions import normal_quantile, shapiro_p, shapiro_w, studentised_range_p, upper_tail
 from ..operators import hypothesis, paired, reshape
 from .scores import _k
 from .views import S, cells, p_sql, query, r6, sql6
@@ -71,6 +72,31 @@ def anova_posthoc(spark, sf_dir):
     return hypothesis.tukey_kramer(cells(spark, sf_dir), ["questionnaire"], "arm").select("questionnaire", F.col("a").alias("arm_a"), F.col("b").alias("arm_b"), *r6("diff", "q"))
 
 
+_TK = S + _AN + ", pr AS (SELECT a.questionnaire, a.arm AS arm_a, b.arm AS arm_b, k, (nn-k)::DOUBLE AS df, a.m-b.m AS diff, abs(a.m-b.m)/sqrt(w/(nn-k)/2*(1.0/a.n+1.0/b.n)) AS q FROM g a JOIN g b ON a.questionnaire=b.questionnaire AND a.arm<b.arm JOIN e ON e.questionnaire=a.questionnaire), sc AS (SELECT *, exp((-20.0+0.25*j)/sqrt(2*df)) AS s, (-20.0+0.25*j)/sqrt(2*df) AS l FROM pr, (SELECT unnest(range(113)) AS j)), zn AS (SELECT *, -8.0+0.25*i AS z, -8.0+0.25*i-q*s AS y FROM sc, (SELECT unnest(range(65)) AS i)), rg AS (SELECT questionnaire, arm_a, arm_b, j, any_value(exp(df*(l-s*s/2+0.5))) AS wt, any_value(k)*0.25/sqrt(2*pi())*sum(exp(-z*z/2)*power(greatest((" + upper_tail("y") + ")-(" + upper_tail("z") + "),0.0),k-1)) AS pr FROM zn GROUP BY ALL), tp AS (SELECT questionnaire, arm_a, arm_b, greatest(0.0,least(1.0,1-sum(wt*pr)/sum(wt))) AS p FROM rg GROUP BY ALL)"
+
+
+@query(_TK + " SELECT questionnaire, arm_a, arm_b, k, df::BIGINT AS df, " + sql6("diff", "q", "p") + ", p<0.05 AS differs FROM pr JOIN tp USING (questionnaire, arm_a, arm_b)")
+def tukey_hsd(spark, sf_dir):
+    """Every pair of groups with the p of its studentised range."""
+    t = hypothesis.tukey_kramer(cells(spark, sf_dir), ["questionnaire"], "arm")
+    t = t.withColumn("p", studentised_range_p(F.col("q"), F.col("k"), F.col("df").cast("double")))
+    return t.select("questionnaire", F.col("a").alias("arm_a"), F.col("b").alias("arm_b"), "k", "df", *r6("diff", "q", "p"), (F.col("p") < 0.05).alias("differs"))
+
+
+_SWT = shapiro_w()
+_SW = S + ", sz AS (SELECT questionnaire, arm, count(*)::DOUBLE AS n, avg(score) AS m, var_pop(score)*count(*) AS ss FROM c GROUP BY ALL), od AS (SELECT c.questionnaire, c.arm, n, ss, score-m AS x, row_number() OVER (PARTITION BY c.questionnaire, c.arm ORDER BY score)::DOUBLE AS i FROM c JOIN sz USING (questionnaire, arm)), ps AS (SELECT *, " + normal_quantile("((i-0.375)/(n+0.25))") + " AS s FROM od), sm AS (SELECT questionnaire, arm, n, ss, sum(s*s) AS mm, coalesce(sum(s*x) FILTER (NOT (i=1 OR i=n OR (n>5 AND (i=2 OR i=n-1)))),0) AS mid, max(s) FILTER (i=1) AS m1, max(s) FILTER (i=2) AS m2, max(x) FILTER (i=1) AS x1, max(x) FILTER (i=2) AS x2, max(x) FILTER (i=n) AS y1, max(x) FILTER (i=n-1) AS y2 FROM ps WHERE n>=3 GROUP BY ALL)"
+for _i, (_name, _text) in enumerate(_SWT.items()):
+    _SW += f", sw{_i} AS (SELECT *, {_text} AS {_name} FROM {f'sw{_i - 1}' if _i else 'sm'})"
+_SW += f", sp AS (SELECT questionnaire, arm, n::BIGINT AS n, w, {shapiro_p()} AS p FROM sw{len(_SWT) - 1})"
+
+
+@query(_SW + " SELECT questionnaire, arm, n, " + sql6("w", "p") + ", p>0.05 AS normal FROM sp")
+def shapiro_wilk(spark, sf_dir):
+    """Shapiro-Wilk by group."""
+    g = hypothesis.shapiro_wilk(cells(spark, sf_dir), ["questionnaire", "arm"])
+    return g.select("questionnaire", "arm", "n", *r6("w", "p"), (F.col("p") > 0.05).alias("normal"))
+
+
 def _mw_sql(by: str, source: str) -> str:
     """CTEs to mw (by, n1, n2, u, z, p) of rows (by, side, score) of `source`; side 1 against side 0."""
     return f""", mr AS (SELECT {by}, side, rank() OVER (PARTITION BY {by} ORDER BY score)+(count(*) OVER (PARTITION BY {by}, score)-1)/2.0 AS rk, count(*) OVER (PARTITION BY {by}, score)::DOUBLE AS t FROM {source}),
