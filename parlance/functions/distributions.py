@@ -69,7 +69,7 @@ def shapiro_w(n: str = "n") -> dict[str, str]:
     return {
         "a1": f"CASE WHEN {n}=3 THEN sqrt(0.5) ELSE {polynomial(W_FIRST, rsn)}-m1/sqrt(mm) END", "a2": f"{polynomial(W_SECOND, rsn)}-m2/sqrt(mm)",
         "fac": f"CASE WHEN {n}>5 THEN sqrt((mm-2*m1*m1-2*m2*m2)/(1-2*a1*a1-2*a2*a2)) WHEN {n}>3 THEN sqrt((mm-2*m1*m1)/(1-2*a1*a1)) ELSE 1.0 END",
-        "b": f"a1*(y1-x1)+CASE WHEN {n}>5 THEN a2*(y2-x2) ELSE 0.0 END+CASE WHEN {n}>3 THEN mid/fac ELSE 0.0 END", "w": "least(1.0, b*b/nullif(ss,0))",
+        "b": f"a1*(y1-x1)+CASE WHEN {n}>5 THEN a2*(y2-x2) ELSE 0.0 END+CASE WHEN {n}>3 THEN mid/fac ELSE 0.0 END", "w": "CASE WHEN ss>0 THEN least(1.0, b*b/ss) END",
     }
 
 
@@ -80,7 +80,7 @@ def shapiro_p(n: str = "n", w: str = "w") -> str:
     few = f"((-ln({gamma}-{y}))-{polynomial(W_FEW[0], n)})/exp({polynomial(W_FEW[1], n)})"
     many = f"({y}-{polynomial(W_MANY[0], ln_n)})/exp({polynomial(W_MANY[1], ln_n)})"
     three = f"greatest(0.0, 1.90985931710274*(asin(sqrt({w}))-1.04719755119660))"
-    return f"CASE WHEN {n}=3 THEN {three} WHEN {n}<=11 THEN CASE WHEN {y}>={gamma} THEN 0.0 ELSE {upper_tail(f'({few})')} END ELSE {upper_tail(f'({many})')} END"
+    return f"CASE WHEN {w} IS NULL THEN NULL WHEN {n}=3 THEN {three} WHEN {n}<=11 THEN CASE WHEN {y}>={gamma} THEN 0.0 ELSE {upper_tail(f'({few})')} END ELSE {upper_tail(f'({many})')} END"
 
 
 def _cdf(z: Column) -> Column:
