@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import cosine, ratio
 from ..operators import compute as cost
-from ..operators import paired, vectors
+from ..operators import paired, personas, vectors
 from .costs import _NEAR, costs
 from .scores import _P6, _R6, _contrast_sql, _holm_sql
 from .sessions import _CH, _CHAN, _channels, shapes
@@ -62,24 +60,11 @@ def pooled_direction_quality(spark, sf_dir):
     return g.select("arm", "n", *r6("wins", "gap"))
 
 
-def persona_order(spark, seed: int, iterations: int, n: int = 96) -> DataFrame:
-    """(iteration, file_index, persona_id): the order in which a run met its personas, a list that grows with the settings only.
-
-    A run shuffles the numbers of its personas once an iteration with Python's generator, seeded by seed + iteration + 1.
-    """
-    rows = []
-    for it in range(iterations):
-        order = list(range(n))
-        random.Random(seed + it + 1).shuffle(order)
-        rows += [(it, i, p) for i, p in enumerate(order)]
-    return spark.createDataFrame(rows, "iteration int, file_index long, persona_id int")
-
-
 @query()
 def sessions_with_personas(spark, sf_dir):
     """Sessions with the persona that stood at their place of the iteration; places outside the order get -1."""
     s = shapes(spark, sf_dir).select("conv_id", "arm", "iteration", F.col("persona_id").alias("file_index"))
-    order = persona_order(spark, 42, 5)
+    order = personas.persona_order(spark, 42, 5)
     return s.join(F.broadcast(order), ["iteration", "file_index"], "left").select("conv_id", "arm", "iteration", "file_index", F.coalesce("persona_id", F.lit(-1)).alias("persona_id"))
 
 
