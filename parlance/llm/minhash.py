@@ -224,9 +224,12 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each group, the one with the smallest id; all columns stay, rows that repeat an id too."""
+    """docs with one document of each group, the one with the smallest id; all columns stay, rows that repeat an id too.
+
+    Texts are dealt by id to meet their decision, at any size of either side: what leaves may be as many as what stays.
+    """
     (gone,) = unused(docs, "gone")
-    drop = near_duplicates(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
+    drop = near_duplicates(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias(gone)).distinct().hint("merge")
     return docs.join(drop, docs["doc_id"].cast("long") == F.col(gone), "left_anti")
 
 
