@@ -109,12 +109,21 @@ def scan(items: Column, state: Column, step, emit, emitted: str, block: int = 25
 _SPAN = "struct<start:int,end:int,hit:string,before:string,after:string>"
 
 
+def _at_edge(gap: Column, context: int, before: bool) -> Column:
+    """The `context` code points of a gap next to its hit, without a word of letters and digits that goes on beyond them."""
+    if not context:
+        return F.lit("")
+    near = F.right(gap, F.lit(context + 1)) if before else F.left(gap, F.lit(context + 1))
+    cut = r"(?s)^(?:[A-Za-z0-9]+|.)" if before else r"(?s)(?:[A-Za-z0-9]+|.)$"
+    return F.when(F.length(near) > context, F.regexp_replace(near, cut, "")).otherwise(near)
+
+
 def find_spans(text: Column, pattern: str, context: int = 40) -> Column:
-    """All leftmost non-overlapping matches with code point offsets (end exclusive) and the text just before and after each.
+    """All leftmost non-overlapping matches with code point offsets (end exclusive) and the text just before and after each, in whole words.
 
     split() and regexp_extract_all() walk the same matches, so summed lengths of gaps and hits are offsets.
     """
-    gaps = lambda g: F.transform(g, lambda x, i: F.struct(x.alias("gap"), (F.left(F.get(g, i + 1), F.lit(context)) if context else F.lit("")).alias("after")))
+    gaps = lambda g: F.transform(g, lambda x, i: F.struct(x.alias("gap"), _at_edge(F.get(g, i + 1), context, False).alias("after")))
     zipped = F.zip_with(
         let(F.split(text, pattern, -1), gaps), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         lambda g, hit: F.struct(g["gap"].alias("gap"), g["after"].alias("after"), hit.alias("hit")),
@@ -123,7 +132,7 @@ def find_spans(text: Column, pattern: str, context: int = 40) -> Column:
     end = lambda at, x: start(at, x) + F.coalesce(F.length(x["hit"]), F.lit(0))
     spans = scan(
         zipped, F.struct(F.lit(0).alias("pos")), lambda at, x: F.struct(end(at, x).alias("pos")),
-        lambda at, x: F.struct(start(at, x).alias("start"), end(at, x).alias("end"), x["hit"].alias("hit"), F.right(x["gap"], F.lit(context)).alias("before"), x["after"].alias("after")), _SPAN,
+        lambda at, x: F.struct(start(at, x).alias("start"), end(at, x).alias("end"), x["hit"].alias("hit"), _at_edge(x["gap"], context, True).alias("before"), x["after"].alias("after")), _SPAN,
     )
     return F.when(text.rlike(pattern), F.filter(spans, lambda s: s["hit"].isNotNull())).otherwise(F.array().cast(f"array<{_SPAN}>"))
 

@@ -52,6 +52,15 @@ def rows(spark):
     return spark.createDataFrame([(i // 2, t, "clash") for i, t in enumerate(CASES)], "doc_id long, text string, spans string").repartition(3)
 
 
+def test_context_is_whole_words(spark):
+    """A word that the edge of the context cuts is none: 'id' as the end of 'tid', 'tax' as the beginning of 'taxi'."""
+    ssn = "123-45-6789"
+    cases = {"id " + "." * 37 + ssn: True, "tid " + "." * 37 + ssn: False, "tid" + " " * 38 + ssn: False, "id" + " " * 38 + ssn: True, "id" + " " * 39 + ssn: False, ssn + " " * 37 + "tax": True, ssn + " " * 37 + "taxi": False, ssn + " " * 36 + "taxi": False, ssn + " " * 37 + "tax?": True}
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: "ssn" in r.spans for r in pii.digest(df).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
 def test_secrets_match_brute_force(spark, rows):
     want = sorted((i // 2, sha(base_secrets(t or ""))) for i, t in enumerate(CASES))
     got = secrets.digest(rows).collect()
