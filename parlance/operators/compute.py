@@ -72,11 +72,6 @@ def with_floor(comp: DataFrame, recorded: DataFrame, by: list[str]) -> DataFrame
     return running_total(joined, by[:1], by[1], "cost_floor", "cum_cost_floor")
 
 
-def missing_cells(wanted: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
-    """Wanted cells without a result."""
-    return wanted.join(present.select(*keys).distinct(), keys, "left_anti")
-
-
 def priced(plan: DataFrame, chars: str, calls: str, chars_per_token: float, price_in: float, price_out: float, out_tokens: float, factor: float = 1.0) -> DataFrame:
     """plan with tokens and cost per million tokens, scaled by `factor` (a receipt, a batch discount)."""
     tokens = col(chars) / chars_per_token

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,10 +56,20 @@ def coverage(df: DataFrame, by: list[str], unit: str, expected: int, required: i
     return g.withColumns({"pct": 100.0 * F.col("n") / expected, "complete": F.col("n") >= required})
 
 
-def missing(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Combinations of the keys' values that have no row. The grid is a product of dimension lists, not of data rows."""
-    grid = reduce(lambda a, b: a.crossJoin(b), (df.select(k).distinct() for k in keys))
-    return grid.join(df.select(*keys).distinct(), keys, "left_anti")
+def missing(df: DataFrame, keys: list[str], unit: str, grid: DataFrame | None = None) -> DataFrame:
+    """Combinations of the keys' values that have no row, for every unit that has any.
+
+    The other keys are settings: their combinations (all of their values' by default, or those of `grid`) are one short array. A unit's rows are
+    gathered as the set of settings it has, and only what it lacks is expanded; no grid of units and settings is made.
+    """
+    settings = [k for k in keys if k != unit]
+    if grid is None:
+        grid = df.agg(*(F.collect_set(k).alias(k) for k in settings))
+        for k in settings:
+            grid = grid.withColumn(k, F.explode(k))
+    every = grid.select(*settings).distinct().agg(F.collect_list(F.struct(*settings)).alias("_all"))
+    has = df.groupBy(unit).agg(F.collect_set(F.struct(*settings)).alias("_has"))
+    return has.crossJoin(F.broadcast(every)).select(unit, F.explode(F.array_except("_all", "_has")).alias("_x")).select(unit, "_x.*")
 
 
 def rubric_pairs(cells: DataFrame, keys: tuple[str, ...] = ("arm", "iteration", "persona_id"), name: str = "questionnaire", value: str = "score") -> DataFrame:

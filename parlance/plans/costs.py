@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import ratio
 from ..operators import compute as cost
-from ..operators import paired, resample
+from ..operators import paired, ranking, resample, reshape
 from .contrasts import draws_sql
 from .scores import _P6, _R6, _contrast_sql, _holm_sql
 from .views import C, S, cells, compute, query, r6, sql6, table
@@ -153,8 +153,8 @@ def plan_sweep(spark, sf_dir):
     """Cells that are wanted and not there, by grader and rubric."""
     j = cells(spark, sf_dir, "judge")
     states = j.select("arm", "iteration").distinct()
-    wanted = states.crossJoin(j.select("questionnaire").distinct()).crossJoin(j.select("judge").distinct()).crossJoin(j.select("persona_id").distinct())
-    left = cost.missing_cells(wanted, j, ["arm", "iteration", "questionnaire", "judge", "persona_id"])
+    grid = states.crossJoin(j.select("questionnaire").distinct()).crossJoin(j.select("judge").distinct())  # settings only
+    left = reshape.missing(j, ["arm", "iteration", "questionnaire", "judge", "persona_id"], "persona_id", grid)
     return left.groupBy("judge", "questionnaire").agg(F.count(F.lit(1)).alias("n_missing"), F.count_distinct("persona_id").alias("n_personas"))
 
 
@@ -182,9 +182,9 @@ def sweep_report(spark, sf_dir):
 
 @query("WITH t AS (SELECT item_id, text, lead(text) OVER (ORDER BY item_id) AS nxt FROM benchmark), p AS (SELECT item_id, text, nxt, (SELECT max(n) FROM (SELECT unnest(range(0, least(length(text),length(nxt))+1)) AS n) WHERE text[1:n]=nxt[1:n]) AS shared FROM t WHERE nxt IS NOT NULL) SELECT item_id, shared::INT AS shared, " + sql6("shared/4.0 AS tokens") + " FROM p")
 def prefix_report(spark, sf_dir):
-    """How many characters a prompt shares with the next one: what a cache would save."""
-    from pyspark.sql import Window
-
-    t = table(spark, sf_dir, "benchmark").select("item_id", "text", F.lead("text").over(Window.partitionBy(F.lit(1)).orderBy("item_id")).alias("next")).where("next IS NOT NULL")
+    """How many characters a prompt shares with the next one by number: what a cache would save. Numbers are unique."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    placed = ranking.with_rank(items, [], "item_id", "place").withColumn("place", F.col("place").cast("long"))
+    t = placed.join(placed.select((F.col("place") - 1).alias("place"), F.col("text").alias("next")), "place").where("text IS NOT NULL AND next IS NOT NULL")
     n = cost.shared_prefix(F.col("text"), F.col("next"))
     return t.select("item_id", n.alias("shared")).select("item_id", "shared", *r6(tokens=F.col("shared") / 4.0))

@@ -135,7 +135,7 @@ def complete_cells(spark, sf_dir):
 def missing_cells(spark, sf_dir):
     c = cells(spark, sf_dir)
     keys = ["arm", "iteration", "persona_id", "questionnaire"]
-    return reshape.missing(c, keys).groupBy("arm", "iteration").agg(F.count(F.lit(1)).alias("missing"))
+    return reshape.missing(c, keys, "persona_id").groupBy("arm", "iteration").agg(F.count(F.lit(1)).alias("missing"))
 
 
 def _iterations(spark, sf_dir, arm) -> DataFrame:

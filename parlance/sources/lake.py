@@ -7,6 +7,7 @@ times; the fold keeps the signatures it was made from, and serves a partition on
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,13 +44,17 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
 
 
+def _signature(name: Column) -> Column:
+    """An aggregate over files that does not depend on their order: two sums of hashes of name, size and time, and the count."""
+    part = lambda seed: F.sum(F.xxhash64(F.lit(seed), name, F.col("length"), F.unix_micros("modificationTime")).cast("decimal(38,0)")).cast("string")
+    return F.sha2(F.concat_ws("|", part(1), part(2), F.count(F.lit(1)).cast("string")), 256)
+
+
 def signatures(spark: SparkSession, root: str) -> DataFrame:
     """judge, rep, metric, n_files, bytes, signature of each partition."""
     part = lambda i: F.regexp_extract("path", _PART, i)
     f = _files(spark, root).where(F.col("path").rlike(_PART)).select(part(1).alias("judge"), part(2).cast("int").alias("rep"), part(3).alias("metric"), "path", "length", "modificationTime")
-    line = F.concat_ws("|", F.regexp_extract("path", _PART + "(.*)$", 4), "length", F.unix_micros("modificationTime"))
-    g = f.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("bytes"), F.sha2(F.array_join(F.sort_array(F.collect_list(F.sha2(line, 256))), ""), 256).alias("signature"))
-    return g
+    return f.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("bytes"), _signature(F.regexp_extract("path", _PART + "(.*)$", 4)).alias("signature"))
 
 
 def fold(spark: SparkSession, root: str, out: str) -> None:
@@ -135,6 +140,25 @@ def filter_arms(arms: DataFrame, **wanted: list | None) -> DataFrame:
     return arms
 
 
+def reset_cache(spark: SparkSession, store: str) -> int:
+    """Delete every frame that cached() has kept in a store; how many there were. Frames held in memory leave, too."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    kept = [x.getPath() for x in files.listStatus(where) if re.search(r"-[0-9a-f]{24}$", x.getPath().getName())] if files.exists(where) else []
+    for path in kept:
+        files.delete(path, True)
+    spark.catalog.clearCache()
+    return len(kept)
+
+
+def judge_scores(scores: DataFrame, judge: str, rep: int | None = None) -> DataFrame:
+    """The rows of one grader, of one repeat or, without one, the mean over its repeats of each conversation."""
+    own = scores.where(F.col("judge") == judge)
+    if rep is not None:
+        return own.where(F.col("rep") == rep)
+    return own.groupBy("judge", "metric", "model", "file_index").agg(F.avg("mean").alias("mean"), F.avg("total").alias("total"), F.count(F.lit(1)).alias("n_reps"))
+
+
 def cached(spark: SparkSession, store: str, name: str, inputs: list[str], params: dict, build: Callable[[], DataFrame]) -> DataFrame:
     """What build() gives, kept as Parquet under a key of name, parameters and the signature of the input files.
 
@@ -143,8 +167,7 @@ def cached(spark: SparkSession, store: str, name: str, inputs: list[str], params
     """
     sign = hashlib.sha256(repr((name, sorted(params.items()))).encode())
     for root in inputs:
-        line = F.sha2(F.concat_ws("|", "path", "length", F.unix_micros("modificationTime")), 256)
-        sign.update((_files(spark, root).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), ""), 256)).first()[0] or "").encode())
+        sign.update(_files(spark, root).agg(_signature(F.col("path"))).first()[0].encode())
     path = f"{store}/{name}-{sign.hexdigest()[:24]}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):

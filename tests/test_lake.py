@@ -74,6 +74,15 @@ def test_arms_and_cache(spark, tmp_path):
     assert (get(a=1), get(a=1), len(built)) == (3, 3, 1)
     put(tmp_path / "runs/odd/iteration_0/1.csv", "role,text\n")
     assert (get(a=1), len(built)) == (3, 2)
+    assert (sources.reset_cache(spark, f"file:{tmp_path}/cache"), sources.reset_cache(spark, f"file:{tmp_path}/cache"), sources.reset_cache(spark, f"file:{tmp_path}/none")) == (2, 0, 0)
+    assert (get(a=1), len(built)) == (3, 3)
+
+
+def test_scores_of_a_grader(spark):
+    rows = [("j", 0, "Q1", "m", 1, 2.0, 4.0, 2), ("j", 1, "Q1", "m", 1, 3.0, 8.0, 2), ("h", 0, "Q1", "m", 1, 9.0, 9.0, 2)]
+    df = spark.createDataFrame(rows, "judge string, rep int, metric string, model string, file_index int, mean double, total double, n_items int")
+    assert [tuple(r) for r in sources.judge_scores(df, "j").collect()] == [("j", "Q1", "m", 1, 2.5, 6.0, 2)]
+    assert [r.mean for r in sources.judge_scores(df, "j", 1).collect()] == [3.0]
 
 
 def test_ledger_and_tables(spark, tmp_path):
