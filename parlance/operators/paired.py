@@ -46,6 +46,8 @@ def summary(pairs: DataFrame, by: list[str], least: int = 3) -> DataFrame:
 
 #: Nonzero differences up to which the signed-rank p is exact: without ties and zeros, and with them.
 EXACT, EXACT_TIES = 50, 13
+#: Digits to which two sizes of differences tie.
+TIE_DIGITS = 9
 
 
 @cache
@@ -68,12 +70,12 @@ def _tail_of(ranks: Column, w: Column) -> Column:
 def signed_ranks(pairs: DataFrame, by: list[str], *more: Column) -> DataFrame:
     """by, n_nonzero, t_plus, t_minus, w, z, p and the aggregates `more`, in one grouping of ranked rows.
 
-    Zero differences take no rank, ties the mean rank. p is exact up to 50 differences if none is zero and no sizes tie, up to 13 nonzero
+    Zero differences take no rank, ties the mean rank; both are told to nine digits, so the order of a float sum makes or breaks none. p is exact up to 50 differences if none is zero and no sizes tie, up to 13 nonzero
     ones otherwise, and the normal approximation beyond. Groups whose differences are all zero have n_nonzero 0, null statistics and p 1
     (the convention of the core contrast).
     """
-    zero = F.col("d") == 0
-    ranked = pairs.where("d IS NOT NULL").withColumns({"_size": F.abs("d"), "_zero": zero})
+    size = F.round(F.abs("d"), TIE_DIGITS)
+    ranked = pairs.where("d IS NOT NULL").withColumns({"_size": size, "_zero": size == 0})
     ranked = ranked.withColumns({"_rank": average_rank([*by, "_zero"], "_size"), "_ties": F.count(F.lit(1)).over(Window.partitionBy(*by, "_size")).cast("double"), "_own": F.count(F.lit(1)).over(Window.partitionBy(*by, "_zero"))})
     n = F.count_if(~F.col("_zero")).cast("double")
     some = lambda c: F.sum(F.when(~F.col("_zero"), c))

@@ -69,7 +69,7 @@ def record_summary(spark, sf_dir):
 
 # --- channels at the budgets that a selection takes ------------------------------------------------------------------------
 
-_SELCH = _PICK + _CHAN[len("WITH z AS (SELECT 1)") if _CHAN.startswith("WITH z") else len(S) :] + ", sel AS (SELECT * FROM (SELECT a.judge AS select_judge, a.budget, a.iteration AS ia, b.iteration AS ib, row_number() OVER (PARTITION BY a.judge ORDER BY a.budget DESC) AS top FROM pk a JOIN pk b ON a.judge=b.judge AND a.budget=b.budget WHERE a.arm='A_K0' AND b.arm='A_K5') WHERE top=1), cl AS (SELECT arm, iteration, persona_id, unnest(" + repr(list(_CH)) + ") AS channel, unnest([" + ", ".join(_CH) + "]) AS score FROM ch), pr0 AS (SELECT select_judge, ia, ib, x.channel, x.persona_id, x.score AS a, y.score AS b, x.score-y.score AS d FROM sel JOIN cl x ON x.arm='A_K0' AND x.iteration=ia JOIN cl y ON y.arm='A_K5' AND y.iteration=ib AND y.channel=x.channel AND y.persona_id=x.persona_id WHERE x.score IS NOT NULL AND y.score IS NOT NULL)" + _contrast_sql("select_judge, ia, ib, channel", "SELECT * FROM pr0") + _holm_sql("ct", "select_judge", "channel")
+_SELCH = _PICK + _CHAN[len(S) :] + ", sel AS (SELECT * FROM (SELECT a.judge AS select_judge, a.budget, a.iteration AS ia, b.iteration AS ib, row_number() OVER (PARTITION BY a.judge ORDER BY a.budget DESC) AS top FROM pk a JOIN pk b ON a.judge=b.judge AND a.budget=b.budget WHERE a.arm='A_K0' AND b.arm='A_K5') WHERE top=1), cl AS (SELECT arm, iteration, persona_id, unnest(" + repr(list(_CH)) + ") AS channel, unnest([" + ", ".join(_CH) + "]) AS score FROM ch), pr0 AS (SELECT select_judge, ia, ib, x.channel, x.persona_id, x.score AS a, y.score AS b, x.score-y.score AS d FROM sel JOIN cl x ON x.arm='A_K0' AND x.iteration=ia JOIN cl y ON y.arm='A_K5' AND y.iteration=ib AND y.channel=x.channel AND y.persona_id=x.persona_id WHERE x.score IS NOT NULL AND y.score IS NOT NULL)" + _contrast_sql("select_judge, ia, ib, channel", "SELECT * FROM pr0") + _holm_sql("ct", "select_judge", "channel")
 
 
 @query(_SELCH + f" SELECT select_judge, ia AS iter_a, ib AS iter_b, channel, n, n_nonzero, {_P6} FROM hm")

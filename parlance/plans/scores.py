@@ -191,7 +191,7 @@ def _contrast_sql(by: str, pairs: str) -> str:
     on = " AND ".join(f"st.{k.strip()} = wx.{k.strip()}" for k in by.split(","))
     we = " AND ".join(f"wx0.{k.strip()} = we.{k.strip()}" for k in by.split(","))
     return f""", pr AS ({pairs}), st AS (SELECT {by}, {_STAT} FROM pr GROUP BY {by}),
-rk AS (SELECT *, rank() OVER (PARTITION BY {by} ORDER BY abs(d)) + (count(*) OVER (PARTITION BY {by}, abs(d)) - 1)/2.0 AS r, count(*) OVER (PARTITION BY {by}, abs(d)) AS t FROM pr WHERE d<>0),
+rk AS (SELECT *, rank() OVER (PARTITION BY {by} ORDER BY round(abs(d),9)) + (count(*) OVER (PARTITION BY {by}, round(abs(d),9)) - 1)/2.0 AS r, count(*) OVER (PARTITION BY {by}, round(abs(d),9)) AS t FROM pr WHERE round(abs(d),9)<>0),
 w0 AS (SELECT {by}, count(*) AS n_nonzero, sum(CASE WHEN d>0 THEN r ELSE 0 END) AS t_plus, sum(CASE WHEN d<0 THEN r ELSE 0 END) AS t_minus, count(*)*(count(*)+1)/4.0 AS mu, list(r) AS rs, max(t) AS most,
  count(*)::DOUBLE*(count(*)+1)*(2*count(*)+1)/24.0 - sum(t::DOUBLE*t-1)/48.0 AS va FROM rk GROUP BY {by}),
 wd AS (SELECT 0 AS wn, [1.0::DOUBLE] || [0.0::DOUBLE for i in range(1275)] AS wf UNION ALL SELECT wn+1, [(wf[i] + CASE WHEN i>wn+1 THEN wf[i-wn-1] ELSE 0 END)/2 for i in range(1,1277)] FROM wd WHERE wn<50),

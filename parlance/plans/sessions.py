@@ -48,7 +48,7 @@ og AS (SELECT conv_id, sum(times)::BIGINT AS n, sum(chars) AS ch, max(times) AS
 sh AS (SELECT conv_id, (['A_K0','A_K5','B_K0','B_K5'])[1+conv_id%4] AS arm, ((conv_id//4)%5)::INT AS iteration, (conv_id//20)::BIGINT AS persona_id, coalesce(n,0) AS n_turns, coalesce(ch/nullif(n,0)::DOUBLE,0) AS mean_chars, coalesce(mr,0)::BIGINT AS max_repeat, coalesce(mk/nullif(n,0)::DOUBLE,0) AS marks_per_turn FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN og USING (conv_id)),
 sm AS (SELECT *, arm[1:1] AS method, arm[4:4]::INT AS k FROM sh)
 """
-_SHAPE0 = "WITH z AS (SELECT 1)" + _SHAPE
+_SHAPE0 = "WITH RECURSIVE z AS (SELECT 1)" + _SHAPE
 _TM = ("n_turns", "mean_chars", "max_repeat", "marks_per_turn")
 
 
