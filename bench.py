@@ -13,7 +13,7 @@ from parlance.plans.catalogue import QUERIES
 
 HEADLINE = (
     "main_results", "scores_wide", "paired_k_contrast", "did_by_iter", "friedman", "trajectory", "rubric_correlation_spearman", "icc_2_1", "agreement", "gain_retention",
-    "group_frame", "dispersion_by_iter", "weights_grpo", "pair_yield", "turn_metrics", "vocab_top_n", "direction_by_label", "budget_sweep", "span_imputed", "bootstrap_ci_hash",
+    "group_frame", "dispersion_by_iter", "weights_grpo", "pair_yield", "turn_metrics", "vocab_top_n", "direction_by_label", "budget_sweep", "span_imputed", "bootstrap_ci_hash", "dependability", "crossjudge_sweep", "budget_sweep_ci",
 )
 
 

@@ -1,8 +1,8 @@
 """Resampling by hashed draws: replicate b always draws a unit as often, however the data is partitioned.
 
 How often a unit is drawn follows a Poisson distribution of mean one, as for draws with replacement from many units. The counts come
-from a hash of (seed, replicate, unit), so a group is never put in order or kept together: each row adds to eight replicates of a block,
-sums are combined before the shuffle, and series with the same units are resampled jointly.
+from a hash of (seed, replicate, unit), so a group is never put in order or kept together: sums are combined before the shuffle, and series
+with the same units are resampled jointly.
 """
 
 from __future__ import annotations
@@ -31,15 +31,25 @@ def counts(seed: int, block: Column, unit: Column) -> list[Column]:
     return drawn
 
 
+def unit_draws(rows: DataFrame, unit: str, n: int = REPLICATES, seed: int = SEED) -> DataFrame:
+    """_u, _w: of each distinct unit how often it is drawn in each of n replicates, as small integers in one array."""
+    blocks = rows.select(F.col(unit).alias("_u")).distinct().withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(-(-n // SLOTS) - 1))))
+    drawn = blocks.select("_u", F.struct("_j", F.array(*(w.cast("tinyint") for w in counts(seed, F.col("_j"), F.col("_u")))).alias("w")).alias("_x"))
+    whole = F.flatten(F.transform(F.sort_array(F.collect_list("_x")), lambda x: x["w"]))
+    return drawn.groupBy("_u").agg(F.slice(whole, 1, n).alias("_w"))
+
+
 def replicates(rows: DataFrame, by: list[str], unit: str, values: list[str], n: int = REPLICATES, seed: int = SEED) -> DataFrame:
-    """by, b and the mean of each value over the units drawn in replicate b; rows of one unit share its draws."""
-    blocks = rows.select(*by, F.col(unit).alias("_u"), *values).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(-(-n // SLOTS) - 1))))
-    blocks = blocks.withColumns({f"_w{i}": w for i, w in enumerate(counts(seed, F.col("_j"), F.col("_u")))})
-    sums = [F.sum(F.when(F.col(v).isNotNull(), F.col(f"_w{i}")) * w).alias(f"_{k}{i}_{at}") for at, v in enumerate(values) for i in range(SLOTS) for k, w in (("n", F.lit(1)), ("s", F.col(v)))]
-    g = blocks.groupBy(*by, "_j").agg(*sums)
-    slots = F.array(*(F.struct(F.lit(i).alias("i"), *(ratio(f"_s{i}_{at}", f"_n{i}_{at}").alias(v) for at, v in enumerate(values))) for i in range(SLOTS)))
-    out = g.select(*by, "_j", F.explode(slots).alias("_x"))
-    return out.select(*by, (F.col("_j") * SLOTS + F.col("_x.i")).alias("b"), *(F.col(f"_x.{v}").alias(v) for v in values)).where(F.col("b") < n)
+    """by, b and the mean of each value over the units drawn in replicate b; rows of one unit share its draws.
+
+    Draws are made once a unit, not once a row; sums are combined before they are dealt by replicate. Rows without a unit are one unit.
+    """
+    known = rows.withColumn("_u", F.col(unit))
+    each = known.join(unit_draws(rows, unit, n, seed).withColumnRenamed("_u", "_own"), F.col("_u").eqNullSafe(F.col("_own")))
+    drawn = each.select(*by, *(F.col(v).cast("double").alias(v) for v in values), F.posexplode("_w").alias("b", "_n")).where("_n > 0")
+    mean = lambda v: ratio(F.sum(F.col("_n") * F.col(v)), F.sum(F.when(F.col(v).isNotNull(), F.col("_n").cast("int"))))
+    g = drawn.groupBy(*by, "b").agg(*(mean(v).alias(v) for v in values))
+    return g.select(*by, "b", *values)
 
 
 def interval(draws: DataFrame, by: list[str], value: Column, alpha: float = 0.05) -> DataFrame:
