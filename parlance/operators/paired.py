@@ -68,10 +68,10 @@ def _tail_of(ranks: Column, w: Column) -> Column:
 
 
 def signed_ranks(pairs: DataFrame, by: list[str], *more: Column) -> DataFrame:
-    """by, n_nonzero, t_plus, t_minus, w, z, p and the aggregates `more`, in one grouping of ranked rows.
+    """by, n_nonzero, t_plus, t_minus, w, z, p, p_normal and the aggregates `more`, in one grouping of ranked rows.
 
     Zero differences take no rank, ties the mean rank; both are told to nine digits, so the order of a float sum makes or breaks none. p is exact up to 50 differences if none is zero and no sizes tie, up to 13 nonzero
-    ones otherwise, and the normal approximation beyond. Groups whose differences are all zero have n_nonzero 0, null statistics and p 1
+    ones otherwise, and the normal approximation, p_normal, beyond. Groups whose differences are all zero have n_nonzero 0, null statistics and p 1
     (the convention of the core contrast).
     """
     size = F.round(F.abs("d"), TIE_DIGITS)
@@ -92,18 +92,18 @@ def signed_ranks(pairs: DataFrame, by: list[str], *more: Column) -> DataFrame:
     both = lambda tail: F.least(F.lit(1.0), 2 * tail)
     p = F.when(F.col("n_nonzero") == 0, 1.0).when(F.col("n_nonzero") <= EXACT_TIES, both(_tail_of(F.col("_few"), (2 * F.col("w")).cast("int"))))
     p = p.when((F.col("n_nonzero") <= EXACT) & ~F.col("_uneven"), both(F.get("_tail", F.col("w").cast("int")))).otherwise(two_sided_p("z"))
-    return g.withColumn("p", p).drop("_tail", "_few", "_uneven")
+    return g.withColumns({"p": p, "p_normal": F.when(F.col("n_nonzero") == 0, 1.0).otherwise(two_sided_p("z"))}).drop("_tail", "_few", "_uneven")
 
 
 def wilcoxon(pairs: DataFrame, by: list[str], d: str = "d") -> DataFrame:
-    """by, n_nonzero, t_plus, t_minus, w, z, p of the differences in column d."""
+    """by, n_nonzero, t_plus, t_minus, w, z, p, p_normal of the differences in column d."""
     return signed_ranks(pairs.withColumn("d", col(d)), by)
 
 
 def of_pairs(pairs: DataFrame, by: list[str], least: int = 3) -> DataFrame:
     """by, the summary of the paired differences and the signed-rank statistics; all but the counts are null under `least` pairs."""
     g = signed_ranks(pairs, by, *_moments())
-    return _enough(g.withColumn("dz", ratio("mean_delta", "sd_delta")), (*MOMENTS, "w", "z", "p"), least)
+    return _enough(g.withColumn("dz", ratio("mean_delta", "sd_delta")), (*MOMENTS, "w", "z", "p", "p_normal"), least)
 
 
 def contrast(cells: DataFrame, by: list[str], first: Column, second: Column, unit: str = UNIT, value: str = "score") -> DataFrame:

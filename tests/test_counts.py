@@ -6,8 +6,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from parlance.operators import compute, hypothesis, paired, reliability, resample
-from parlance.plans import extra, sessions
+from parlance.operators import compute, hypothesis, paired, personas, reliability, resample
+from parlance.plans import sessions
 
 
 def test_pairs_that_agree_are_counted_without_pairing(spark):
@@ -54,7 +54,7 @@ def test_small_operators(spark):
     grid = sessions.persona_grid(spark).orderBy("persona_id").collect()
     names = list(sessions.PERSONA)
     assert [tuple(r[n] for n in names) for r in grid] == list(itertools.product(*sessions.PERSONA.values()))
-    order = {(r.iteration, r.file_index): r.persona_id for r in extra.persona_order(spark, 7, 2, 10).collect()}
+    order = {(r.iteration, r.file_index): r.persona_id for r in personas.persona_order(spark, 7, 2, 10).collect()}
     want = list(range(10))
     random.Random(9).shuffle(want)
     assert [order[1, i] for i in range(10)] == want

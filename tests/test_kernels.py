@@ -22,7 +22,8 @@ def test_wilcoxon_and_dz(spark):
     df = spark.createDataFrame([("g", float(d), 0.0, float(d)) for d in (1, -0.5, 2, 0.5, -1.5, 3, 0)], "g string, a double, b double, d double")
     w = one(paired.wilcoxon(df, ["g"]))
     assert (w["n_nonzero"], w["t_plus"], w["t_minus"], w["w"]) == (6, 15.5, 5.5, 5.5)
-    assert w["z"] == pytest.approx(1.051177, abs=1e-6) and w["p"] == pytest.approx(0.293177, abs=1e-5)
+    assert w["z"] == pytest.approx(1.051177, abs=1e-6) and w["p_normal"] == pytest.approx(0.293177, abs=1e-5)
+    assert w["p"] == pytest.approx(22 / 64)  # 11 of the 64 choices of signs give a sum of ranks of 5.5 at most
     assert one(paired.summary(df, ["g"]))["dz"] == pytest.approx(0.423013, abs=1e-6)
     zero = df.where("d = 0")
     assert one(paired.wilcoxon(zero, ["g"]))["p"] == 1.0 and one(paired.summary(zero, ["g"]))["dz"] is None
