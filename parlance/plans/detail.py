@@ -161,3 +161,40 @@ def repeatability(spark, sf_dir):
     g = jp.groupBy("questionnaire").agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean_abs_diff"), F.max(d).alias("largest"))
     j = cells(spark, sf_dir, "judge").withColumn("target", F.concat_ws("|", "arm", "iteration", "persona_id"))
     return g.join(reliability.icc_2_1(j, ["questionnaire"], "target", "judge").select("questionnaire", "icc"), "questionnaire").select("questionnaire", "n", *r6("mean_abs_diff", "largest", "icc"))
+
+
+# --- coders' responses ------------------------------------------------------------------------------------------------------
+
+#: Instruments of coders: global ratings with their bounds, and behaviours that are counted.
+CODERS = {
+    "miti": (("cultivate", "soften", "partner", "empathy"), (1, 5), ("sr", "cr", "q", "af", "persuade", "seek")), "pct": (("warmth",), (0, 10), ("open", "closed")), "mici": (("tone", "pace"), (-3, 3), ("advise", "confront", "direct")),
+}
+_CODED = "WITH r AS (SELECT event_id, ['miti','pct','mici'][1+event_id%3] AS coder, event_id%11 AS v, (floor(value)::INT % 5 + 1)::DOUBLE AS g, event_id%4 AS n FROM events WHERE value IS NOT NULL), k AS (SELECT *, CASE coder WHEN 'miti' THEN 4 WHEN 'pct' THEN 1 ELSE 2 END AS ng, CASE coder WHEN 'miti' THEN 6 WHEN 'pct' THEN 2 ELSE 3 END AS nb, CASE WHEN coder='mici' THEN 3.0 WHEN coder='pct' THEN 10.0 ELSE 5.0 END AS top FROM r), j AS (SELECT *, CASE WHEN v=0 THEN 'not_json' WHEN v=1 THEN 'wrong_id' WHEN v=2 THEN 'missing' WHEN v=3 THEN 'negative' WHEN g>top THEN 'out_of_bounds' END AS reject FROM k)"
+
+
+@query(_CODED + " SELECT event_id, coder, reject, CASE WHEN reject IS NULL THEN nb*n END AS n_behaviours, " + sql6("CASE WHEN reject IS NULL THEN g END AS mean_global") + " FROM j")
+def parse_coder_responses(spark, sf_dir):
+    """Responses of three coding instruments as JSON text: each parsed with its own nested schema and checked field by field, the reason of a reject kept."""
+    from .sessions import nested_schema
+
+    e = table(spark, sf_dir, "events").where("value IS NOT NULL").select(
+        "event_id", F.element_at(F.array(*map(F.lit, CODERS)), (F.col("event_id") % 3 + 1).cast("int")).alias("coder"), (F.col("event_id") % 11).alias("v"), (F.floor("value").cast("int") % 5 + 1).cast("double").alias("g"), (F.col("event_id") % 4).alias("n"))
+    out = None
+    for coder, (ratings, (low, high), behaviours) in CODERS.items():
+        given = [F.when((F.col("v") == 2) & F.lit(i == 0), None).otherwise(F.col("g")).alias(x) for i, x in enumerate(ratings)]
+        seen = [F.when((F.col("v") == 3) & F.lit(i == 0), -1).otherwise(F.col("n")).alias(x) for i, x in enumerate(behaviours)]
+        name = F.when(F.col("v") == 1, "other").otherwise(F.lit(coder)).alias("questionnaire_id")
+        text = F.when(F.col("v") == 0, "{not json").otherwise(F.to_json(F.struct(name, F.struct(*given).alias("globals"), F.struct(*seen).alias("behaviors"))))
+        p = e.where(F.col("coder") == coder).select("event_id", "coder", F.from_json(text, nested_schema(list(ratings), list(behaviours))).alias("r"))
+        of = lambda part, names: F.array(*(F.col(f"r.{part}.{x}").cast("double") for x in names))
+        p = p.select("event_id", "coder", "r", of("globals", ratings).alias("gs"), of("behaviors", behaviours).alias("bs"))
+        any_of = lambda c, test: F.exists(c, test)
+        reject = (
+            F.when(F.col("r.questionnaire_id").isNull(), "not_json").when(F.col("r.questionnaire_id") != coder, "wrong_id").when(any_of("gs", F.isnull) | any_of("bs", F.isnull), "missing")
+            .when(any_of("bs", lambda x: x < 0), "negative").when(any_of("gs", lambda x: (x < low) | (x > high)), "out_of_bounds")
+        )
+        total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+        good = lambda c, r=reject: F.when(r.isNull(), c)
+        one = p.select("event_id", "coder", reject.alias("reject"), good(total("bs")).cast("long").alias("n_behaviours"), *r6(mean_global=good(total("gs") / len(ratings))))
+        out = one if out is None else out.unionByName(one)
+    return out
