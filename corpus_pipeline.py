@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import decontaminate, minhash, mixing, secrets, toxicity
-from parlance.llm.common import stored
+from parlance.llm.common import scratch, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, as a stored table; the tables of the stages before it go when they have been read.
+
+    Null and repeated ids, null texts and further columns pass through all stages but for the rows that a stage drops; without documents
+    there are no rows.
+    """
     docs = _table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    with scratch(spark):
+        for name, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}", result=name == STAGES[-1][0])
     return docs
