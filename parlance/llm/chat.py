@@ -99,6 +99,7 @@ def swapped_reply_pairs(turns: DataFrame) -> DataFrame:
 
 
 def digest(turns: DataFrame) -> DataFrame:
+    """A row per conversation: its pair, formatted, with masks as start:end. Turns without conv_id are left out; nulls, ties, repeats and empty tables as above."""
     out = format_preferences(swapped_reply_pairs(turns))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return out.select(

@@ -287,4 +287,5 @@ def _near_duplicates(vectors: DataFrame, threshold: float, recall: float) -> Dat
 
 
 def digest(vectors: DataFrame) -> DataFrame:
+    """near_duplicates() with its defaults: every row has a result, also those that link with nothing; an empty table gives an empty one."""
     return near_duplicates(vectors)

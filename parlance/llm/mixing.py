@@ -139,4 +139,5 @@ def mix(docs: DataFrame, share: float = KEPT_SHARE, seed: int = SEED, topic: Col
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """mix() of all rows without their texts; null languages and sources are values of their own, an empty table gives an empty one."""
     return mix(docs.select("doc_id", "text", "lang", "source")).drop("text")
