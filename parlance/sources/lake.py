@@ -77,8 +77,8 @@ def served(spark: SparkSession, root: str, out: str) -> DataFrame:
     state = _current(spark, root, out)
     names = ["judge", "rep", "metric", "model", "file_index", "mean", "total", "n_items"]
     folded = spark.read.schema(f"model string, file_index int, {SCORES}, judge string, rep int, metric string").parquet(f"{out}/scores")
-    fresh = folded.join(F.broadcast(state.where("is_current")), KEYS, "left_semi")
-    stale = read_scores(spark, root).join(F.broadcast(state.where("NOT is_current")), KEYS, "left_semi")
+    fresh = folded.join(state.where("is_current"), KEYS, "left_semi")
+    stale = read_scores(spark, root).join(state.where("NOT is_current"), KEYS, "left_semi")
     return fresh.select(*names).unionByName(stale.select(*names))
 
 
