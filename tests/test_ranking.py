@@ -89,3 +89,20 @@ def test_resampled_pairs(spark):
         for b in range(16):
             pairs = [(weight[p[1], b] * weight[q[1], b], (p[2] - q[2]) * (p[3] - q[3]) > 0) for p, q in itertools.combinations([r for r in rows if r[0] == g], 2) if p[2] != q[2] and p[3] != q[3]]
             assert got.get((g, b), (0, 0)) == (sum(w for w, _ in pairs), sum(w for w, same in pairs if same))
+
+
+def test_resampled_pairs_are_weighed_by_parts(spark):
+    """Parts of four rows, a value that most rows have, and a plan whose rows do not grow with the number of replicates before the parts are weighed."""
+    rng = random.Random(6)
+    rows = [(g, i, float(rng.choice([3, 3, 3, rng.randrange(40)])), float(rng.choice([5, rng.randrange(50)]))) for g, size in (("a", 150), ("b", 9), ("c", 1)) for i in range(size)]
+    df = spark.createDataFrame(rows, "g string, u int, x double, y double").repartition(3)
+    whole, cut = (reliability.pair_replicates(df, ["g"], "x", "y", F.col("u"), n=300, seed=9, **k) for k in ({}, {"part": 4}))
+    got = {(r.g, r.b): (r.n_pairs, r.n_same) for r in cut.collect()}
+    assert {k: v for k, v in got.items() if v[0]} == {(r.g, r.b): (r.n_pairs, r.n_same) for r in whole.collect() if r.n_pairs}
+    for g in "abc":
+        own = [r for r in rows if r[0] == g]
+        w = resample.drawn(9, [str(r[1]) for r in own], 0, 300).astype(int)
+        for b in (0, 8, 255, 299):
+            pairs = [(w[i, b] * w[j, b], (p[2] - q[2]) * (p[3] - q[3]) > 0) for (i, p), (j, q) in itertools.combinations(enumerate(own), 2) if p[2] != q[2] and p[3] != q[3]]
+            assert got.get((g, b), (0, 0)) == (sum(v for v, _ in pairs), sum(v for v, same in pairs if same))
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("md5") == 0
