@@ -100,14 +100,22 @@ def feature_push(weighted: DataFrame, feature: Column, by: list[str], group: lis
 def grouped_split(rows: DataFrame, group: str, share: float, seed: int) -> DataFrame:
     """rows with split 'eval' or 'train' by whole groups: the first max(1, share n) groups by hash, never all of them.
 
-    Only distinct group ids are ordered; rows follow by an equi-join.
+    Distinct ids are counted by the first three digits of their hash; only those that share the digits of the last chosen one are ordered.
     """
-    ids = rows.select(group).distinct()
-    n = ids.count()
-    take = 0 if n < 2 else min(max(1, int(n * share)), n - 1)
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string")))
-    chosen = ids.orderBy(key, group).limit(take).withColumn("split_eval", F.lit(True))
-    return rows.join(chosen, group, "left").withColumn("split", F.when(F.col("split_eval"), "eval").otherwise("train")).drop("split_eval")
+    start = F.substring(key, 1, 3)
+    ids = rows.select(group).distinct()
+    counts = sorted(ids.groupBy(start.alias("start")).count().collect())  # 4,096 rows at most
+    n = sum(c for _, c in counts)
+    left = 0 if n < 2 else min(max(1, int(n * share)), n - 1)
+    edge = ""
+    for edge, c in counts:
+        if c > left:
+            break
+        left -= c
+    at_edge = ids.where(start == edge).orderBy(key, group).limit(left).withColumn("split_eval", F.lit(True))
+    chosen = (F.col(group).isNotNull() & (start < edge)) | F.col("split_eval")
+    return rows.join(at_edge, group, "left").withColumn("split", F.when(chosen, "eval").otherwise("train")).drop("split_eval")
 
 
 def call_counts(gens: DataFrame, by: list[str]) -> DataFrame:

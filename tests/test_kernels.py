@@ -1,5 +1,8 @@
 """Hand-computed values and edge cases."""
 
+import hashlib
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +100,14 @@ def test_transcript_round_trip(spark):
 def test_empty_tables(spark):
     e = spark.createDataFrame([], "arm string, questionnaire string, iteration int, persona_id int, score double")
     assert paired.main_results(e).count() == 0 and reshape.coverage(e, ["arm"], "persona_id", 5, 2).count() == 0
+
+
+def test_grouped_split_orders_few_ids(spark):
+    """Every id is hashed and counted, only those that share the first digits of the last chosen one are put in order."""
+    df = spark.range(5000).select(F.when(F.col("id") % 1000 > 0, F.col("id")).alias("g"))
+    out = training.grouped_split(df, "g", 0.1, 7)
+    ids = [r.g for r in df.distinct().collect()]
+    order = sorted(ids, key=lambda g: (hashlib.md5(("7" if g is None else f"7|{g}").encode()).hexdigest(), g or -1))
+    assert {r.g for r in out.where("split = 'eval'").collect()} == set(order[: int(len(ids) * 0.1)]) - {None}
+    limits = re.findall(r"(?:GlobalLimit|LocalLimit) (\d+)", out._jdf.queryExecution().optimizedPlan().toString())
+    assert all(int(n) < 50 for n in limits)
