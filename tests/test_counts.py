@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from parlance.operators import compute, hypothesis, paired, personas, reliability, resample
@@ -61,3 +62,25 @@ def test_small_operators(spark):
     normal = spark.createDataFrame([("g", float(x)) for x in (-2, -1, -1, 0, 0, 0, 1, 1, 2)], "g string, score double")
     r = hypothesis.jarque_bera(normal, ["g"]).first()
     assert abs(r.skew) < 1e-12 and 0.5 < r.p <= 1
+
+
+def test_replicates_are_weighed_before_they_are_dealt(spark, monkeypatch):
+    """Keys of two kinds with nulls, null and infinite values, no unit; groups sent two at a time; no row is multiplied by the replicates."""
+    monkeypatch.setattr(resample, "HELD", 2)
+    rows = [(None if i % 5 == 0 else f"k{i % 3}", i % 2 or None, None if i % 7 == 0 else i % 11, None if i % 4 == 0 else i / 3, float("inf") if i == 9 else i * 1.5) for i in range(90)]
+    df = spark.createDataFrame(rows, "a string, b2 int, u int, x double, y double")
+    out = resample.replicates(df, ["a", "b2"], "u", ["x", "y"], n=20, seed=3)
+    got = {(r.a, r.b2, r.b): (r.x, r.y) for r in out.collect()}
+    units = sorted({None if r[2] is None else str(r[2]) for r in rows}, key=str)
+    w = dict(zip(units, resample.drawn(3, units, 0, 20).astype(int), strict=True))
+    want = {}
+    for key in {r[:2] for r in rows}:
+        for b in range(20):
+            own = [(r, w[None if r[2] is None else str(r[2])][b]) for r in rows if r[:2] == key]
+            if any(n for _, n in own):
+                mean = lambda at: (lambda k: sum(n * r[at] for r, n in k) / sum(n for _, n in k) if k else None)([(r, n) for r, n in own if n and r[at] is not None])  # noqa: B023, E731
+                want[(*key, b)] = (mean(3), mean(4))
+    assert got.keys() == want.keys()
+    for k, pair in want.items():
+        assert got[k] == tuple(v if v is None else pytest.approx(v) for v in pair), k
+    assert "_w" not in out._jdf.queryExecution().optimizedPlan().toString()
