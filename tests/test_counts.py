@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +41,17 @@ def test_draws_follow_from_the_hash_alone(spark):
     assert ends.n == 50 and ends.lo < 24.5 < ends.hi and 6 < ends.hi - ends.lo < 10
 
 
+def test_draws_of_names_of_any_length_are_those_of_the_hash():
+    units = [None, "", "7", "x" * 44, "x" * 46, "x" * 47, "y" * 300, "\u00e9" * 20]
+    got = resample.drawn(9, units, 3, 850)
+    for u, row in zip(units, got, strict=True):
+        for b in (3, 79, 80, 807, 849):
+            digest = hashlib.md5((f"9|{b // 8}" + ("" if u is None else f"|{u}")).encode()).hexdigest()
+            x = int(digest[4 * (b % 8) : 4 * (b % 8) + 4], 16)
+            assert row[b - 3] == sum(x >= t for t in resample.POISSON)
+    assert len(resample._digests(np.zeros((3, 64), "uint8"))) == 3
+
+
 def test_contrast_conventions(spark):
     rows = [("all_zero", i, 1.0, 1.0) for i in range(4)] + [("few", i, 1.0, 0.0) for i in range(2)] + [("some", i, float(d), 0.0) for i, d in enumerate((1, -2, 3, 0, 3))]
     pairs = spark.createDataFrame(rows, "g string, persona_id int, a double, b double").withColumn("d", F.col("a") - F.col("b"))
