@@ -2,16 +2,17 @@
 
 The trie is cut into shards by the middle word of a trigram, so a shard holds all of a word's contexts, successors and trigrams and
 needs no other shard. Its levels - words, their contexts, the words that follow a context, the words that follow a word - are
-monotone sequences in Elias-Fano code with monotone pointers between them and 16-bit codes of smoothed probabilities, in
-memory-mapped pages. A trigram is found by its word, its context and a successor search relative to the context's base; what has no
+monotone sequences in Elias-Fano code with monotone pointers between them and codes of smoothed probabilities, in memory-mapped
+pages. A trigram is found by its word, its context and a successor search relative to the context's base; what has no
 entry goes on with the weight that its context leaves to the next lower level. Every level is smoothed by its lower level
 (p = (count + prior * lower) / (total + prior)), so the probabilities of any context add up to one.
 
 Texts are not regrouped. Each run of texts sends its trigrams once, by shard, which adds them up, builds its trie and answers one sum
 per document and run; the answers meet again by run. Frequent words, whose number is fixed, are counted first and known
-everywhere, so they travel as numbers. Where a middle word alone has more trigrams than a shard should, they are dealt by context too,
-then by trigram; what is frequent beyond that is answered where the texts are. No task holds the model, the corpus, or all rows of a
-frequent key.
+everywhere, so they travel as numbers; a shard asks for the counts of all other words that end its trigrams. Where a middle word alone
+has more trigrams than a shard should, they are dealt by its pair with the last word, then by trigram; what is frequent beyond that is
+answered where the texts are. A context of such a word is a pair that another shard counts: it divides there, once for every time the
+pair occurs. No task holds the model, the corpus, or all rows of a frequent key, and no probability depends on how words are dealt.
 """
 
 from __future__ import annotations
@@ -31,10 +32,10 @@ from . import bytekit as bk
 FOLDS, HELD_OUT = 7, 2
 #: What the lower level weighs, in tokens: words below pairs, pairs below trigrams.
 PRIORS = (8.0, 2.0)
-#: A word is frequent if it makes up one in so many tokens; rarer words share their probability at the lowest level.
+#: A word is frequent if it makes up one in so many tokens: every task knows its count, those of rarer words are asked for.
 OFTEN = 2_000_000
-#: The same for pairs and trigrams around words that are split.
-PAIRS_OFTEN = 200_000
+#: Tokens among which pairs and trigrams are looked for that are to be dealt; one that is missed makes a shard larger, nothing else.
+LOOKED_AT = 8_000_000
 #: Tokens per shard that the number of shards aims at; a key with more is split.
 SHARD_TOKENS, LEAST_SHARDS = 1_000_000, 48
 #: Distinct words a task adds up, and tokens over which it looks for frequent pairs, before it sends them.
@@ -126,14 +127,11 @@ class EliasFano:
 
 
 class Quantised:
-    """16-bit codes of values; the levels are quantiles of the distinct values, which are kept as they are if few."""
+    """Codes of values, of 16 bits if there are few levels; the levels are the distinct values."""
 
     def __init__(self, values: np.ndarray):
-        levels = np.unique(values)
-        if len(levels) > 1 << 16:
-            levels = levels[np.linspace(0, len(levels) - 1, 1 << 16).astype(np.int64)]
-        self.levels = levels
-        self.codes = mapped(np.searchsorted((levels[1:] + levels[:-1]) / 2, values).astype(np.uint16))
+        self.levels, codes = np.unique(values, return_inverse=True)
+        self.codes = mapped(codes.astype(np.uint16 if len(self.levels) <= 1 << 16 else np.uint32))
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         return self.levels[self.codes[i]]
@@ -174,7 +172,7 @@ class Trie:
     def ask(self, v, u, w, lowest: np.ndarray, below_word: np.ndarray, split: np.ndarray) -> np.ndarray:
         """log10 of p(w | u v): `lowest` is log10 of p(w), `below_word` log10 of p(w | v) where it is known elsewhere, else NaN.
 
-        `split` is log10 of what a context leaves to the level below if its successors are dealt over shards, else NaN.
+        `split` is log10 of the prior where a context's successors are dealt over shards and its count divides elsewhere, else NaN.
         """
         out = np.where(np.isnan(below_word), lowest, below_word)
         dealt = ~np.isnan(split)
@@ -311,16 +309,17 @@ def _add_words(least):
 
 @dataclass
 class Known:
-    """What every task holds: the frequent words, and the frequent pairs and trigrams around words that are split. OFTEN bounds each."""
+    """What every task holds: the frequent words, and the pairs and trigrams around split words that are frequent enough to be dealt."""
 
     names: np.ndarray  # of frequent words, sorted
     own: np.ndarray  # counts in texts that are learned from
     lowest: np.ndarray  # p(w) of each
-    rare: float  # p(w) of any other word
+    rare: float  # the mean p(w) of all other words
     top: np.ndarray  # words with more tokens than a shard should have
     split: int
     shards: int
     tokens: int
+    mass: int  # tokens and distinct words that are learned from, and one
     pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     pair_own: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     pair_every: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
@@ -350,19 +349,25 @@ class Known:
     def is_top(self, code: np.ndarray) -> np.ndarray:
         return np.append(False, self.top)[code]
 
-    def split_context(self, u: np.ndarray, v: np.ndarray, v_code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(count, whether its trigrams are dealt over shards) of each context; before the start of a text there is one context."""
+    def split_pair(self, v: np.ndarray, w: np.ndarray, v_code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count, whether its trigrams are dealt over shards) of each pair."""
         count, dealt = np.zeros(len(v), np.int64), np.zeros(len(v), bool)
-        i = np.flatnonzero(self.is_top(v_code))
+        i = np.flatnonzero(self.is_top(v_code)) if len(self.pairs) else ()
         if len(i):
-            at, there = _find(self.pairs, _pair_name(u[i], v[i]))
+            at, there = _find(self.pairs, _pair_name(v[i], w[i]))
             there[there] = self.pair_every[at[there]] >= self.split
             count[i[there]] = self.pair_own[at[there]]
-            alone = u[i] == _NONE
-            count[i[alone]] = self.own[v_code[i[alone]] - 1]
-            dealt[i] = there | alone
+            dealt[i] = there
         return count, dealt
 
+    def divided(self, v: np.ndarray, w_code: np.ndarray, of_pair: np.ndarray) -> np.ndarray:
+        """log10 of what a trigram's pair divides by: the trigram after it if w is split, its own if it starts a text and starts are split."""
+        out = np.where(self.is_top(w_code), -np.log10(of_pair + PRIORS[1]), 0.0)
+        at, there = _find(self.names, np.array([_START]))
+        if there[0] and self.top[at[0]]:
+            out[v == _START] -= np.log10(self.own[at[0]] + PRIORS[1])
+        return out
+
     def below(self, v_code: np.ndarray, v: np.ndarray, w: np.ndarray, lowest: np.ndarray) -> np.ndarray:
         """p(w | v) where v is split, NaN elsewhere: that of a frequent pair, or the share of the rest that p(w) has."""
         out = np.full(len(v), np.nan)
@@ -386,7 +391,7 @@ def _known(words: list[dict], often: int) -> tuple[Known, int, int]:
     rare = shared / (n + kinds + 1) / (kinds - int(seen.sum()) + 1)
     split = max(SHARD_TOKENS, -(-tokens // often))
     lowest = np.where(seen, (own + 1) / (n + kinds + 1), rare)
-    return Known(name, own, lowest, rare, (every >= split) & (name != _END), split, max(LEAST_SHARDS, -(-tokens // SHARD_TOKENS)), tokens), n, kinds
+    return Known(name, own, lowest, rare, (every >= split) & (name != _END), split, max(LEAST_SHARDS, -(-tokens // SHARD_TOKENS)), tokens, n + kinds + 1), n, kinds
 
 
 _NAMED = "name long, n long"
@@ -441,14 +446,17 @@ def _count_named(shared, wanted):
     return run
 
 
-def _with_frequent(rows: DataFrame, known: Known, often: int) -> Known:
-    """known with the frequent pairs and trigrams around split words, in two passes that run only where there are such words."""
+def _with_frequent(rows: DataFrame, known: Known, often: int, share: float = 1.0) -> Known:
+    """known with the frequent pairs and trigrams around split words, looked for in a share of the rows and then counted in all, where there are any."""
     if not known.top.any():
         return known
     context = rows.sparkSession.sparkContext
     shared = context.broadcast(known)
     least = 0.75 * known.tokens / often
-    names = rows.mapInArrow(_candidates(shared, often), _NAMED).groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("name").toArrow()
+    looked = rows.sample(share, 0) if share < 1 else rows
+    names = looked.mapInArrow(_candidates(shared, often), _NAMED).groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= least * share).select("name").toArrow()
+    if not names.num_rows:
+        return known
     wanted = context.broadcast(np.sort(np.asarray(names.column("name")).view(np.uint64)))
     t = rows.mapInArrow(_count_named(shared, wanted), _COUNTED).groupBy("name", "u", "v", "w").agg(F.sum("own").alias("own"), F.sum("every").alias("every")).toArrow()
     name, u, v, w = (np.asarray(t.column(c)).view(np.uint64) for c in ("name", "u", "v", "w"))
@@ -464,10 +472,12 @@ def _with_frequent(rows: DataFrame, known: Known, often: int) -> Known:
     listed, free = (np.bincount(code[first], x[first], len(known.names) + 1)[1:] for x in (known.pair_p, lowest))
     known.rest = (1 - listed) / np.maximum(1 - free, 1e-12)
     three = ~two & (every >= known.split)
-    u, v, w, own = u[three], v[three], w[three], own[three]
-    code, lowest = known.code(v), known.p(known.code(w))
-    p = (own + PRIORS[1] * known.below(code, v, w, lowest)) / (known.split_context(u, v, code)[0] + PRIORS[1])
-    known.trigrams, known.trigram_logs = name[three], np.log10(p)
+    three[three] = known.split_pair(v[three], w[three], known.code(v[three]))[1]
+    v, w, own = v[three], w[three], own[three]
+    code, last = known.code(v), known.code(w)
+    of_pair = known.split_pair(v, w, code)[0]
+    p2 = (of_pair + PRIORS[0] * (np.append(0, known.own)[last] + 1) / known.mass) / (np.append(0, known.own)[code] + PRIORS[0])
+    known.trigrams, known.trigram_logs = name[three], np.log10(own + PRIORS[1] * p2) + known.divided(v, last, of_pair)
     return known
 
 
@@ -476,7 +486,7 @@ def _with_frequent(rows: DataFrame, known: Known, often: int) -> Known:
 _SENT = "kind int, shard long, run long, rows binary, sizes binary, a binary, b binary, c binary"
 _SENT_NAMES = [x.split()[0] for x in _SENT.split(", ")]
 _SENT_TYPES = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
-_OWN, _PACKET, _ANSWER = range(3)
+_OWN, _PACKET, _ANSWER, _COUNTS = range(4)
 _ZSTD = "zstd"
 
 
@@ -501,12 +511,70 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _shard_of(known: Known, u, v, w, code) -> np.ndarray:
-    """By middle word; by context too if the word is split, by trigram if the context is."""
-    top, (_, dealt) = known.is_top(code), known.split_context(u, v, code)
-    name = np.where(dealt, _trigram_name(u, v, w), np.where(top, _pair_name(u, v), v)) if top.any() else v
+    """By middle word; by its pair with the last word if it is split, by trigram if the pair is."""
+    name, i = v, np.flatnonzero(known.is_top(code))
+    if len(i):
+        name = v.copy()
+        name[i] = _pair_name(v[i], w[i])
+        i = np.flatnonzero(known.split_pair(v, w, code)[1])
+        name[i] = _trigram_name(u[i], v[i], w[i])
     return (bk.mixed(name ^ np.uint64(0x9FB21C651E98DF25)) % np.uint64(known.shards)).astype(np.int64)
 
 
+_ASKED = "bucket int, names binary, shards binary, own binary"
+
+
+def _added(name, shard, own):
+    """Distinct (name, shard) in order, counts added up."""
+    order = np.lexsort((shard, name))
+    name, shard = name[order], shard[order]
+    first = _starts(name, shard)
+    return name[first], shard[first], np.add.reduceat(own[order], first) if len(first) else own
+
+
+def _ask_rare(shared):
+    """Words that are not frequent, the shards of the trigrams that they end, and how often those are learned from."""
+
+    def sent(name, shard, own):
+        bucket = (name % np.uint64(LEAST_SHARDS)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        edge = np.searchsorted(bucket[order], np.arange(LEAST_SHARDS + 1))
+        cut = [order[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        columns = [[x[c].tobytes() for c in cut] for x in (name, shard.astype(np.uint32), own.astype(np.uint32))]
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(LEAST_SHARDS, dtype=np.int32)), *(pa.array(c, pa.binary()) for c in columns)], names=[x.split()[0] for x in _ASKED.split(", ")])
+
+    def run(batches):
+        known, held = shared.value, []
+        for batch in batches:
+            learned = ~np.asarray(batch.column("held_out").to_numpy(zero_copy_only=False), bool)
+            for top, _, _, u, v, w, row in _tokens(batch.column("text")):
+                i = np.flatnonzero(known.code(w) == 0)
+                held.append(_added(w[i], _shard_of(known, u[i], v[i], w[i], known.code(v[i])), learned[top + row[i]].astype(np.int64)))
+                if sum(len(x[0]) for x in held) > _RUN:
+                    held = [_added(*map(np.concatenate, zip(*held, strict=True)))]
+                    if len(held[0][0]) > _RUN // 2:
+                        yield sent(*held.pop())
+        if held:
+            yield sent(*_added(*map(np.concatenate, zip(*held, strict=True))))
+
+    return run
+
+
+def _tell_rare(key, table):
+    """How often each word of a bucket is learned from, to every shard that asked."""
+    name, shard, own = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("names", np.uint64), ("shards", np.uint32), ("own", np.uint32)))
+    name, shard, own = _added(name, shard, own.astype(np.int64))
+    if not len(name):
+        return pa.Table.from_batches([_batch([])])
+    first = _starts(name)
+    count = np.repeat(np.add.reduceat(own, first), np.diff(np.append(first, len(name)))).astype(np.uint32)
+    kept = np.flatnonzero(count)
+    kept = kept[np.argsort(shard[kept], kind="stable")]
+    edge = np.append(_starts(shard[kept]), len(kept))
+    rows = [(_COUNTS, int(shard[kept[a]]), 0, None, None, name[kept[a:b]].tobytes(), count[kept[a:b]].tobytes(), None) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    return pa.Table.from_batches([_batch(rows)])
+
+
 def _send(shared):
     """Trigrams of each run by shard, and a row for the run with what is known of its texts there and then."""
 
@@ -579,30 +647,35 @@ def _answer(shared):
         one = order[first]
         u, v, w, code = u[one], v[one], w[one], code[:, one].astype(np.int64)
         del word, order, one, learned
-        lowest = known.p(code[2])
-        below = known.below(code[1], v, w, lowest)
-        # counts of words, contexts and pairs; those of split words and contexts are known
+        told = table.filter(pa.array(kinds == _COUNTS))
+        names, counts = _merged(*(np.frombuffer(b"".join(told.column(c).to_pylist()), t) for c, t in (("a", np.uint64), ("b", np.uint32))))
+        count, asked = np.append(0, known.own)[code[2]], np.flatnonzero(code[2] == 0)
+        at, there = _find(names, w[asked])
+        count[asked[there]] = counts[at[there]]
+        lowest = (count + 1) / known.mass
+        # counts of words, contexts and pairs; those of split words and pairs are known, contexts of split words divide as pairs
         at_word, at_context = _starts(v), _starts(v, u)
         spread = lambda starts, x: np.repeat(x, np.diff(np.append(starts, len(v))))
         top = known.is_top(code[1])
         of_word = np.where(top, np.append(0, known.own)[code[1]], spread(at_word, np.add.reduceat(own, at_word)))
         of_context = spread(at_context, np.add.reduceat(own, at_context))
-        total, dealt = known.split_context(u, v, code[1])
-        of_context = np.where(dealt, total, of_context)
+        total, dealt = known.split_pair(v, w, code[1])
         by_pair = np.lexsort((w, v))
         at_pair = _starts(v[by_pair], w[by_pair])
         pair = by_pair[at_pair]
         of_pair = np.empty(len(v), np.int64)
         of_pair[by_pair] = np.repeat(np.add.reduceat(own[by_pair], at_pair), np.diff(np.append(at_pair, len(v))))
-        p2 = np.where(np.isnan(below), (of_pair + PRIORS[0] * lowest) / (of_word + PRIORS[0]), below)
-        p3 = (own + PRIORS[1] * p2) / (of_context + PRIORS[1])
+        of_pair = np.where(dealt, total, of_pair)
+        p2 = (of_pair + PRIORS[0] * lowest) / (of_word + PRIORS[0])
+        below = np.where(top, p2, np.nan)
+        p3 = (own + PRIORS[1] * p2) / np.where(top, 1.0, of_context + PRIORS[1])
         kept = np.flatnonzero(own)
         pair = pair[(of_pair[pair] > 0) & np.isnan(below[pair])]
         words, contexts = kept[_starts(v[kept])], kept[_starts(v[kept], u[kept])]
         pair = pair[np.isin(v[pair], v[words])]
         leave = lambda prior, total: np.log10(prior / (total + prior))
         trie = Trie(v[kept], u[kept], w[kept], np.log10(p3[kept]), v[pair], w[pair], np.log10(p2[pair]), leave(PRIORS[0], of_word[words]), leave(PRIORS[1], of_context[contexts]))
-        logs = trie.ask(v, u, w, np.log10(lowest), np.log10(below), np.where(dealt, leave(PRIORS[1], of_context), np.nan))
+        logs = trie.ask(v, u, w, np.log10(lowest), np.log10(below), np.where(top, math.log10(PRIORS[1]), np.nan)) + known.divided(v, code[2], of_pair)
         score = np.bincount(owner, logs[turn], len(texts))
         # rare words are middle words of their shard only: what they add to the base
         rare = (code[1] == 0) & (v != _START)
@@ -647,11 +720,12 @@ def score(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold, F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     context = docs.sparkSession.sparkContext
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    least = max(1, size // 8 // OFTEN)  # tokens are at least an eighth of the bytes or so; only the number of frequent words follows from it
+    least = max(1, size // 8 // OFTEN)  # tokens are at least an eighth of the bytes or so; only which words are asked for follows from it
     counted = rows.mapInArrow(_count_words, _WORDS).groupBy("shard").applyInArrow(_add_words(least), _WORDS).toArrow().to_pylist()
     known, n, kinds = _known(counted, OFTEN)
-    shared = context.broadcast(_with_frequent(rows, known, PAIRS_OFTEN))
-    answers = rows.mapInArrow(_send(shared), _SENT).groupBy("shard").applyInArrow(_answer(shared), _SENT)
+    shared = context.broadcast(_with_frequent(rows, known, max(1, known.tokens // known.split), min(1.0, LOOKED_AT / max(1, known.tokens))))
+    told = rows.mapInArrow(_ask_rare(shared), _ASKED).groupBy("bucket").applyInArrow(_tell_rare, _SENT)
+    answers = rows.mapInArrow(_send(shared), _SENT).union(told).groupBy("shard").applyInArrow(_answer(shared), _SENT)
     sums = answers.groupBy("run").applyInArrow(_gather, _SCORED)
     unit = math.log10(n + 1 + kinds)
     return sums.select(

@@ -252,6 +252,21 @@ def test_ngram_rare_words_share_what_is_left(spark, rows, docs, monkeypatch):
         assert abs(p[listed].sum() + known.rest[at] * free - 1) < 0.05
 
 
+def test_ngram_scores_do_not_depend_on_what_is_frequent(spark, rows, docs, monkeypatch):
+    """Rare words, split words, dealt pairs and trigrams: each has the probability that its own counts give."""
+    same = [(910000 + i, "the same " * 40 + f"the x{i} the y{i} the same") for i in range(60)]
+    more = docs.select("doc_id", "text").union(spark.createDataFrame(same, "doc_id long, text string"))
+    monkeypatch.setattr(ngram_lm, "LEAST_SHARDS", 5)
+    for often, tokens in ((300, 300), (3000, 1_000_000)):
+        monkeypatch.setattr(ngram_lm, "OFTEN", often)
+        monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", tokens)
+        want = scored_by_hand([*rows, *same])
+        got = ngram_lm.score(more).collect()
+        assert len(got) == len(rows) + len(same)
+        for r in got:
+            assert any(abs(r.base_score - w[4]) < 1e-5 and abs(r.score - w[5]) < 1e-5 for w in want[str(r.doc_id)])
+
+
 def test_ngram_long_text_is_read_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(ngram_lm, "_CHUNK", 64)
     column = ngram_lm.pa.array(["a b", LONG * 3, "", "x" * 300 + " y", "c"])
