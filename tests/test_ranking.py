@@ -43,6 +43,24 @@ def test_quantile_of_all_rows(spark, groups):
     assert ranking.quantiles(frame(spark, groups), [], "v", {"m": 0.5}).first().m == pytest.approx(statistics.median(every))
 
 
+def test_values_whose_last_bit_differs_each_time_they_are_computed(spark, groups):
+    """As means do whose parts arrive in another order: no row is lost, no rank or quantile moves."""
+    shaken = F.udf(lambda v: v * (1 + random.SystemRandom().randrange(3) * 2.3e-16), "double").asNondeterministic()
+    rows = frame(spark, {g: sorted(set(groups[g])) for g in ("even", "wide")}).withColumn("u", F.col("v")).withColumn("v", shaken("v"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = ranking.with_rank(ranking.with_rank(rows, ["g"], "v", "rank"), ["g"], "v", "again").collect()
+        counts = ranking.ranked_counts(ranking.counted(rows, ["g"], "v"), ["g"]).collect()
+        middle = {r.g: r.m for r in ranking.quantiles(rows, ["g"], "v", {"m": 0.5}).collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    for g in ("even", "wide"):
+        vs = sorted(set(groups[g]))
+        assert sorted((r.u, r["rank"], r.again) for r in got if r.g == g) == [(v, i, i) for i, v in enumerate(vs, 1)]
+        assert sorted(r._rank for r in counts if r.g == g) == list(range(1, len(vs) + 1))
+        assert middle[g] == pytest.approx(statistics.median(vs), rel=1e-12)
+
+
 def ranks(sizes):
     return [sum(y < x for y in sizes) + (sizes.count(x) + 1) / 2 for x in sizes]
 
