@@ -13,6 +13,9 @@ GROUP = ["arm", "train_iter", "group_id"]
 TAU = 0.1
 CANDIDATE = "struct<idx:int,completion:string,score:double,sub_scores:map<string,double>,role:string,oracle:struct<success:boolean,retries:int>,lookahead:struct<k:int,realized_turns:int,ended_early:boolean,tail:string>>"
 BRANCH = f"method string, iteration int, phase string, conversation_id int, branch_id int, epoch double, prefix string, group_mean double, group_std double, chosen_idx int, candidates array<{CANDIDATE}>"
+#: Of these, what scores of a record and what tails of its candidates take: fields that aren't named are skipped by the parser.
+BRANCH_SCORES = "method string, iteration int, branch_id int, prefix string, chosen_idx int, candidates array<struct<idx:int,score:double>>"
+BRANCH_TAILS = "method string, iteration int, branch_id int, candidates array<struct<score:double,lookahead:struct<realized_turns:int,tail:string>>>"
 
 
 def flatten(branches: DataFrame) -> DataFrame:

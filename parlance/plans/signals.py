@@ -117,18 +117,25 @@ def eval_phase_filter(spark, sf_dir):
 # --- nested records ----------------------------------------------------------------------------------------------------
 
 
-def branches(spark, sf_dir) -> DataFrame:
-    """A record per group with its candidates nested, as a log holds them, parsed from its JSON text."""
-    g = generations(spark, sf_dir)
-    tail = F.when(F.col("realized_turns") > 0, F.concat(F.lit("[PATIENT] a"), F.when(F.col("realized_turns") % 2 == 1, F.lit(" ")).otherwise(F.lit(""))))
-    cand = F.struct(
-        F.col("cand_idx").cast("int").alias("idx"), F.concat(F.lit("text "), F.col("cand_idx").cast("string")).alias("completion"), "score",
-        F.create_map(F.lit("Q1"), F.col("score"), F.lit("Q2"), F.col("score") / 2).alias("sub_scores"),
-        F.struct(F.lit(5).alias("k"), F.col("realized_turns").cast("int").alias("realized_turns"), (F.col("realized_turns") < 5).alias("ended_early"), tail.alias("tail")).alias("lookahead"),
+def _candidate(c):
+    """A candidate as a log holds it, from its number, score and realized turns."""
+    turns = c["turns"]
+    tail = F.when(turns > 0, F.concat(F.lit("[PATIENT] a"), F.when(turns % 2 == 1, F.lit(" ")).otherwise(F.lit(""))))
+    return F.struct(
+        c["idx"].alias("idx"), F.concat(F.lit("text "), c["idx"].cast("string")).alias("completion"), c["score"].alias("score"), F.create_map(F.lit("Q1"), c["score"], F.lit("Q2"), c["score"] / 2).alias("sub_scores"),
+        F.struct(F.lit(5).alias("k"), turns.alias("realized_turns"), (turns < 5).alias("ended_early"), tail.alias("tail")).alias("lookahead"),
     )
-    rec = g.groupBy("arm", "train_iter", "group_id").agg(F.collect_list(cand).alias("candidates"))
-    text = F.to_json(F.struct(F.col("arm").alias("method"), F.col("train_iter").alias("iteration"), F.lit("train").alias("phase"), F.col("group_id").alias("branch_id"), F.lit("[THERAPIST] a\n\n[PATIENT] b").alias("prefix"), F.lit(1).alias("chosen_idx"), "candidates"))
-    return rec.select(F.from_json(text, training.BRANCH).alias("r")).select("r.*")
+
+
+def branches(spark, sf_dir, fields: str = training.BRANCH) -> DataFrame:
+    """A record per group with its candidates nested, as a log holds them, parsed from its JSON text into the fields asked for.
+
+    Three numbers a candidate are shuffled and the rest is written after it; the group's number leads the keys, as most groups differ in it when they are sorted.
+    """
+    numbers = F.struct(F.col("cand_idx").cast("int").alias("idx"), "score", F.col("realized_turns").cast("int").alias("turns"))
+    rec = generations(spark, sf_dir).groupBy("group_id", "train_iter", "arm").agg(F.collect_list(numbers).alias("numbers"))
+    text = F.to_json(F.struct(F.col("arm").alias("method"), F.col("train_iter").alias("iteration"), F.lit("train").alias("phase"), F.col("group_id").alias("branch_id"), F.lit("[THERAPIST] a\n\n[PATIENT] b").alias("prefix"), F.lit(1).alias("chosen_idx"), F.transform("numbers", _candidate).alias("candidates")))
+    return rec.select(F.from_json(text, fields).alias("r")).select("r.*")
 
 
 @query(G + "SELECT arm AS method, train_iter, train_iter-1 AS eval_iter, group_id AS branch_id, cand_idx, realized_turns, cand_idx=1 AS is_chosen, coalesce(realized_turns<5,false) AS early, " + sql6("score", "score AS q1", "score/2 AS q2") + " FROM g")
@@ -141,12 +148,13 @@ def flatten_candidates(spark, sf_dir):
 @query(G + "SELECT arm AS method, train_iter AS iteration, group_id AS branch_id, 2::INT AS n_turns, " + sql6("max(score) AS proxy_max", "avg(score) AS proxy_mean", "max(score) FILTER (cand_idx=1) AS proxy_chosen") + " FROM g GROUP BY ALL")
 def branch_reliability(spark, sf_dir):
     """A record's length in turns and its proxy score: best, mean or chosen candidate."""
-    b = branches(spark, sf_dir)
-    known = F.filter(F.transform("candidates", lambda c: c["score"]), lambda x: x.isNotNull())
-    chosen = F.array_max(F.transform(F.filter("candidates", lambda c: c["idx"] == F.col("chosen_idx")), lambda c: c["score"]))
+    b = branches(spark, sf_dir, training.BRANCH_SCORES)
+    scores = F.col("candidates.score")
+    known = F.filter(scores, lambda x: x.isNotNull())
+    chosen = F.array_max(F.filter("candidates", lambda c: c["idx"] == F.col("chosen_idx"))["score"])
     turns = F.regexp_count("prefix", F.lit(r"(?m)^\[(?:THERAPIST|PATIENT)\]")).cast("int")
     mean = ratio(F.aggregate(known, F.lit(0.0), lambda s, x: s + x), F.size(known))
-    return b.select("method", "iteration", F.col("branch_id").cast("long").alias("branch_id"), turns.alias("n_turns"), *r6(proxy_max=F.array_max(known), proxy_mean=mean, proxy_chosen=chosen))
+    return b.select("method", "iteration", F.col("branch_id").cast("long").alias("branch_id"), turns.alias("n_turns"), *r6(proxy_max=F.array_max(scores), proxy_mean=mean, proxy_chosen=chosen))
 
 
 @query(G + "SELECT arm AS method, train_iter AS iteration, count(DISTINCT group_id) AS n_records, count(*) AS n_candidates, count(score) AS n_scored, " + sql6("avg(score) AS mean_score") + ", sum(ceil(coalesce(realized_turns,0)/2.0))::BIGINT AS tail_calls FROM g GROUP BY ALL")
