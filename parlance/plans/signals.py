@@ -170,15 +170,17 @@ def stream_record_stats(spark, sf_dir):
 _TAIL = G + ", tl AS (SELECT *, CASE WHEN realized_turns IS NULL THEN 'not_simulated' WHEN realized_turns>=5 THEN 'full' WHEN realized_turns=0 THEN 'no_tail' WHEN realized_turns%2=1 THEN 'patient_closed' ELSE 'after_therapist' END AS reason FROM g)"
 
 
-def _tails(spark, sf_dir) -> DataFrame:
-    f = training.flatten(branches(spark, sf_dir))
-    return f.withColumn("reason", end_reason("realized_turns", "tail", 5))
+def _tails(records: DataFrame) -> DataFrame:
+    """A row per candidate: score, realized_turns and why its tail ended, beside the other columns of its record."""
+    rows = records.withColumn("c", F.explode("candidates"))
+    turns = F.col("c.lookahead.realized_turns")
+    return rows.withColumns({"score": F.col("c.score"), "realized_turns": turns, "reason": end_reason(turns, F.col("c.lookahead.tail"), 5)}).drop("c", "candidates")
 
 
 @query(_TAIL + " SELECT arm AS method, coalesce(train_iter::VARCHAR,'pooled') AS iteration, count(*) AS n, " + sql6("avg((reason='full')::INT) AS full_share", "avg((reason IN ('patient_closed','after_therapist'))::INT) AS early_share", "avg((reason='not_simulated')::INT) AS missing_share", "avg(realized_turns) AS mean_turns", "avg(score) FILTER (reason='full') AS full_score", "avg(score) FILTER (reason IN ('patient_closed','after_therapist')) AS early_score") + " FROM tl GROUP BY GROUPING SETS ((arm, train_iter), (arm))")
 def tail_audit_by_iter(spark, sf_dir):
     """How simulated tails end and what they score, with a pooled row from rows."""
-    t = _tails(spark, sf_dir)
+    t = _tails(branches(spark, sf_dir, training.BRANCH_TAILS)).withColumnRenamed("iteration", "train_iter")
     full, early = F.col("reason") == "full", F.col("reason").isin("patient_closed", "after_therapist")
     g = t.groupingSets([["method", "train_iter"], ["method"]], "method", "train_iter").agg(
         F.count(F.lit(1)).alias("n"), F.avg(full.cast("int")).alias("full_share"), F.avg(early.cast("int")).alias("early_share"), F.avg((F.col("reason") == "not_simulated").cast("int")).alias("missing_share"),
@@ -189,8 +191,8 @@ def tail_audit_by_iter(spark, sf_dir):
 @query(_TAIL + ", k AS (SELECT *, score - avg(score) OVER w AS dev, realized_turns - avg(realized_turns) OVER w AS dt FROM tl WHERE score IS NOT NULL AND realized_turns IS NOT NULL WINDOW w AS (PARTITION BY arm, train_iter, group_id)) SELECT arm AS method, count(*) AS n, " + sql6("corr(dev,dt) AS within_r", "avg(dev) FILTER (reason='full') AS dev_full", "avg(dev) FILTER (reason<>'full') AS dev_other") + " FROM k GROUP BY ALL")
 def tail_within_group(spark, sf_dir):
     """Score against length of tail within groups."""
-    w = Window.partitionBy("method", "train_iter", "branch_id")
-    k = _tails(spark, sf_dir).where("score IS NOT NULL AND realized_turns IS NOT NULL").withColumns({"dev": F.col("score") - F.avg("score").over(w), "dt": F.col("realized_turns") - F.avg("realized_turns").over(w)})
+    w = Window.partitionBy("method", "iteration", "branch_id")
+    k = _tails(branches(spark, sf_dir, training.BRANCH_TAILS)).where("score IS NOT NULL AND realized_turns IS NOT NULL").withColumns({"dev": F.col("score") - F.avg("score").over(w), "dt": F.col("realized_turns") - F.avg("realized_turns").over(w)})
     side = lambda c: F.avg(F.when(c, F.col("dev")))
     g = k.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.corr("dev", "dt").alias("within_r"), side(F.col("reason") == "full").alias("dev_full"), side(F.col("reason") != "full").alias("dev_other"))
     return g.select("method", "n", *r6("within_r", "dev_full", "dev_other"))

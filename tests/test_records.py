@@ -20,7 +20,7 @@ def test_three_numbers_a_candidate_are_shuffled(spark, name):
     assert collected and all("map(" not in c and "completion" not in c for c in collected)
 
 
-@pytest.mark.parametrize("name", ["branch_reliability"])
+@pytest.mark.parametrize("name", ["branch_reliability", "tail_audit_by_iter", "tail_within_group"])
 def test_only_the_fields_of_a_query_are_parsed(spark, name):
     assert "StructField(role," not in plan(QUERIES[name](spark, SF))
 
