@@ -190,9 +190,12 @@ def tail_audit_by_iter(spark, sf_dir):
 
 @query(_TAIL + ", k AS (SELECT *, score - avg(score) OVER w AS dev, realized_turns - avg(realized_turns) OVER w AS dt FROM tl WHERE score IS NOT NULL AND realized_turns IS NOT NULL WINDOW w AS (PARTITION BY arm, train_iter, group_id)) SELECT arm AS method, count(*) AS n, " + sql6("corr(dev,dt) AS within_r", "avg(dev) FILTER (reason='full') AS dev_full", "avg(dev) FILTER (reason<>'full') AS dev_other") + " FROM k GROUP BY ALL")
 def tail_within_group(spark, sf_dir):
-    """Score against length of tail within groups."""
-    w = Window.partitionBy("method", "iteration", "branch_id")
-    k = _tails(branches(spark, sf_dir, training.BRANCH_TAILS)).where("score IS NOT NULL AND realized_turns IS NOT NULL").withColumns({"dev": F.col("score") - F.avg("score").over(w), "dt": F.col("realized_turns") - F.avg("realized_turns").over(w)})
+    """Score against length of tail within groups; a record holds all of its group, so its means need no second shuffle."""
+    both = F.filter("candidates", lambda c: c["score"].isNotNull() & c["lookahead"]["realized_turns"].isNotNull())
+    mean = lambda xs: ratio(F.aggregate(xs, F.lit(0.0), lambda s, x: s + x), F.size(xs))
+    b = branches(spark, sf_dir, training.BRANCH_TAILS).select("method", both.alias("candidates"))
+    b = b.withColumns({"mean_score": mean(F.col("candidates.score")), "mean_turns": mean(F.col("candidates.lookahead.realized_turns"))})
+    k = _tails(b).withColumns({"dev": F.col("score") - F.col("mean_score"), "dt": F.col("realized_turns") - F.col("mean_turns")})
     side = lambda c: F.avg(F.when(c, F.col("dev")))
     g = k.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.corr("dev", "dt").alias("within_r"), side(F.col("reason") == "full").alias("dev_full"), side(F.col("reason") != "full").alias("dev_other"))
     return g.select("method", "n", *r6("within_r", "dev_full", "dev_other"))

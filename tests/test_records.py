@@ -25,6 +25,10 @@ def test_only_the_fields_of_a_query_are_parsed(spark, name):
     assert "StructField(role," not in plan(QUERIES[name](spark, SF))
 
 
+def test_tails_within_groups_take_no_second_shuffle(spark):
+    assert "Window" not in plan(QUERIES["tail_within_group"](spark, SF))
+
+
 @pytest.mark.parametrize("fields", ["BRANCH_SCORES", "BRANCH_TAILS"])
 def test_fewer_fields_leave_the_records_as_they_are(spark, fields):
     def part(value, like):
