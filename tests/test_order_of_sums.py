@@ -45,3 +45,7 @@ def test_means_follow_the_given_order(spark):
     for dealt in (rows.repartition(5, "i"), rows.orderBy(F.desc("i")), rows.coalesce(1)):
         got = {r.u: (r.v, r.w) for r in paired.means_in_order(dealt, ["u"], ["i"], "v", "w").collect()}
         assert got == {0: (total / 6, None), 1: (total / 6, 2.0), 2: (total / 6, 2.0)}
+
+
+def test_rank_agreement_leaves_out_the_same_tie(spark, folder):
+    assert [(r.n_pairs, r.agreement) for r in QUERIES["rank_agreement"](spark, folder).collect()] == [(27, 1.0)]
