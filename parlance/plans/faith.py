@@ -16,7 +16,7 @@ _FD = JP + ", fd AS (SELECT arm, arm[4:4]::INT AS k, arm[1:1] AS method, iterati
 
 def proxies(spark, sf_dir) -> DataFrame:
     """arm, k, method, iteration, persona_id, n_turns, stratum, p (what training saw), h (what evaluation gave)."""
-    g = paired.means_in_order(judge_pairs(spark, sf_dir), ["arm", "k", "method", "iteration", "persona_id"], ["questionnaire"], "p", "h")
+    g = paired.means_in_order(judge_pairs(spark, sf_dir), ["arm", "k", "method", "iteration", "persona_id"], "event_id", "p", "h")
     return g.withColumns({"n_turns": (F.col("persona_id") % 6 + 1).cast("int"), "stratum": (F.col("persona_id") % 3).cast("int")})
 
 

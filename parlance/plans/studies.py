@@ -76,7 +76,7 @@ def concordance_bins(spark, sf_dir):
 
 @query(JP + ", q AS (SELECT arm, iteration, persona_id, avg(p) AS p, avg(h) AS h FROM jp GROUP BY ALL) SELECT arm, iteration, count(*) AS n_pairs, " + sql6("avg((sign(pa-pb)=sign(ha-hb))::INT) AS agreement") + " FROM (SELECT x.arm, x.iteration, x.p AS pa, y.p AS pb, x.h AS ha, y.h AS hb FROM q x JOIN q y ON x.arm=y.arm AND x.iteration=y.iteration AND x.persona_id<y.persona_id WHERE x.p<>y.p AND x.h<>y.h) GROUP BY ALL HAVING count(*)>=20")
 def rank_agreement(spark, sf_dir):
-    q = paired.means_in_order(judge_pairs(spark, sf_dir), ["arm", "iteration", "persona_id"], ["questionnaire"], "p", "h")
+    q = paired.means_in_order(judge_pairs(spark, sf_dir), ["arm", "iteration", "persona_id"], "event_id", "p", "h")
     return reliability.rank_agreement(q, ["arm", "iteration"], "p", "h", "persona_id", 20).select("arm", "iteration", "n_pairs", *r6("agreement"))
 
 

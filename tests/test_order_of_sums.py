@@ -1,6 +1,7 @@
 """Means that are compared for equality: the order in which rows lie must not make or break a tie."""
 
 from datetime import datetime
+from itertools import permutations
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,8 +44,19 @@ def test_means_follow_the_given_order(spark):
     for v in values:
         total += v or 0.0
     for dealt in (rows.repartition(5, "i"), rows.orderBy(F.desc("i")), rows.coalesce(1)):
-        got = {r.u: (r.v, r.w) for r in paired.means_in_order(dealt, ["u"], ["i"], "v", "w").collect()}
-        assert got == {0: (total / 6, None), 1: (total / 6, 2.0), 2: (total / 6, 2.0)}
+        got = {r.u: (r.v, r.w, r.i) for r in paired.means_in_order(dealt, ["u"], "i", "v", "w").collect()}
+        assert got == {0: (total / 6, None, 0), 1: (total / 6, 2.0, 0), 2: (total / 6, 2.0, 0)}
+
+
+def test_rubrics_are_added_up_in_the_order_of_their_first_events(spark, tmp_path):
+    """The same three scores whatever the order of the rubrics' names: six conversations tie, and the last is above them."""
+    rows = []
+    for i, names in enumerate([*permutations("abc"), "bca"]):
+        unit = 6 * i + 1
+        for at, (name, v) in enumerate(zip(names, (0.1, 0.2, 0.3 + (i > 5)), strict=True)):
+            rows += [(10 * i + 2 * at, datetime(2024, 1, 1), unit, name, v, '{"k": 0}'), (10 * i + 2 * at + 1, datetime(2024, 1, 1), unit, name, float(i), '{"k": 0}')]
+    spark.createDataFrame(rows[::-1], EVENTS).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in QUERIES["agreement_cells"](spark, str(tmp_path)).collect()] == [("A_K0", 0, 2, 6, 6)]
 
 
 def test_rank_agreement_leaves_out_the_same_tie(spark, folder):
