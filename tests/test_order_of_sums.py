@@ -59,5 +59,18 @@ def test_rubrics_are_added_up_in_the_order_of_their_first_events(spark, tmp_path
     assert [tuple(r) for r in QUERIES["agreement_cells"](spark, str(tmp_path)).collect()] == [("A_K0", 0, 2, 6, 6)]
 
 
+def test_signs_of_differences_follow_the_order_of_events(spark, tmp_path):
+    """0.1 + 0.2 + 0.3 over three is more than 0.2, 0.3 + 0.2 + 0.1 over three is less; the latest iteration has the first event."""
+    day = lambda i: datetime(2024, 1, 1 + 6 * i)
+    rows = []
+    for unit in range(40):
+        given = [(i, v) for i, v in enumerate((0.1, 0.2, 0.3))]
+        rows += [(100 * unit + 2 - i, day(i), unit, "click", v, '{"k": 0}') for i, v in (given, given[::-1])[unit % 2]]
+        rows.append((100 * unit + 50, day(0), unit, "click", 0.2, '{"k": 1}'))
+    for dealt in (rows, rows[::-1]):
+        spark.createDataFrame(dealt, EVENTS).repartition(3, "ts").write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+        assert [(r.n, r.n_up, r.n_down) for r in QUERIES["paired_models"](spark, str(tmp_path)).collect()] == [(40, 0, 40)]
+
+
 def test_rank_agreement_leaves_out_the_same_tie(spark, folder):
     assert [(r.n_pairs, r.agreement) for r in QUERIES["rank_agreement"](spark, folder).collect()] == [(27, 1.0)]
