@@ -74,3 +74,14 @@ def test_signs_of_differences_follow_the_order_of_events(spark, tmp_path):
 
 def test_rank_agreement_leaves_out_the_same_tie(spark, folder):
     assert [(r.n_pairs, r.agreement) for r in QUERIES["rank_agreement"](spark, folder).collect()] == [(27, 1.0)]
+
+
+def test_gains_that_cancel_have_no_retention(spark, tmp_path):
+    """0.3 - 0.1 and 0.0 - 0.2 add up to nothing but rounding; without the third unit a resample has no gain to divide by."""
+    rows = []
+    for unit, (before, after, judge) in enumerate([(0.1, 0.3, 1.0), (0.2, 0.0, 2.0), (0.0, 5.0, 5.0)]):
+        given = [(before, 1), (0.0, 1), (after, 7), (judge, 7)]
+        rows += [(10 * unit + at, datetime(2024, 1, day), unit, "click", v, '{"k": 0}') for at, (v, day) in enumerate(given)]
+    spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    (r,) = QUERIES["retention_ci_hash"](spark, str(tmp_path)).collect()
+    assert r.n == 3 and max(abs(r.lo), abs(r.hi)) < 1000
